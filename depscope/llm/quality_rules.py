@@ -4,7 +4,7 @@ A text splits at \\n. A line without a word (`[^\\x20\\x09-\\x0D]+`) is neutral:
 A line with n words fails if one of these holds (integers only, so that every engine agrees):
 
 * punctuation: over 2 of `#*$%&|<>[]` for 5 words, or over one `!` for 2 words and 4 of them at least;
-* ending: 8 words or more, and the last character is an ASCII letter, digit or one of `,;:-|/`;
+* ending: 8 words or more without one of `.!?`;
 * navigation: over one `|` or `>` for 4 words;
 * shouting: 20 ASCII letters or more, over 3 of 4 in upper case;
 * boilerplate: it holds one of BOILERPLATE, ignoring the case of A-Z, or equals an earlier line of its text.
@@ -55,7 +55,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
 _LETTER = _UPPER.copy()
 _LETTER[0x61:0x7B] = True
-_OPEN_END = _LETTER | _flags(",;:-|/0123456789")
+_END = _flags(".!?")
 _LEAD = (np.arange(256) & 0xC0) != 0x80
 
 
@@ -103,14 +103,12 @@ def judge(texts: pa.Array) -> list[pa.Array]:
     words_before = np.searchsorted(starts, np.concatenate([ls, le]))
     w0, w1 = words_before[: len(ls)], words_before[len(ls) :]
     lw = w1 - w0
-    count = {k: (c := _sums(data, t))[le] - c[ls] for k, t in (("symbols", _SYMBOL), ("bars", _BAR), ("bangs", _BANG), ("upper", _UPPER), ("letters", _LETTER))}
+    count = {k: (c := _sums(data, t))[le] - c[ls] for k, t in (("symbols", _SYMBOL), ("bars", _BAR), ("bangs", _BANG), ("upper", _UPPER), ("letters", _LETTER), ("ends", _END))}
     brackets = _sums(data, _flags("[]"))
     count["symbols"] = count["symbols"] + brackets[le] - brackets[ls]
-    _, later = _repeats(B.mix(B.span_hash(sums, ls, le) + B.mix(row.astype(np.uint64))) | np.uint64(1)) if len(ls) else (None, np.zeros(0, bool))
+    _, later = _repeats(B.mix(B.span_hash(sums, ls, le) + B.mix(row.astype(np.uint64))))
     duplicate = later & (lw > 0)
-    last = np.zeros(len(ls), np.uint8)
     has = lw > 0
-    last[has] = data[ends[w1[has] - 1] - 1]
     lowered = B.LOWER[data].tobytes()
     phrase = np.zeros(len(ls), bool)
     for p in BOILERPLATE:
@@ -122,7 +120,7 @@ def judge(texts: pa.Array) -> list[pa.Array]:
     failed = has & (
         (5 * count["symbols"] > 2 * lw)
         | ((count["bangs"] >= 4) & (2 * count["bangs"] > lw))
-        | ((lw >= 8) & _OPEN_END[last])
+        | ((lw >= 8) & (count["ends"] == 0))
         | (4 * count["bars"] > lw)
         | ((count["letters"] >= 20) & (4 * count["upper"] > 3 * count["letters"]))
         | phrase
@@ -182,9 +180,9 @@ l0 AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscri
 l1 AS (SELECT rid, pos, line, lower(line) AS low, regexp_extract_all(line, '{_W}') AS ws, row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS nth FROM l0),
 l2 AS (SELECT rid, ws, len(ws) AS n, nth > 1 AS dup, length(array_to_string(ws, '')) AS chars,
     {_COUNT.format(r"\[\]#*$%&|<>")} AS symbols, {_COUNT.format("|>")} AS bars, {_COUNT.format("!")} AS bangs,
-    {_COUNT.format("A-Z")} AS upper, {_COUNT.format("A-Za-z")} AS letters, right(ws[-1], 1) AS last, ({_PHRASES}) AS phrase
+    {_COUNT.format("A-Z")} AS upper, {_COUNT.format("A-Za-z")} AS letters, {_COUNT.format(".!?")} AS ends, ({_PHRASES}) AS phrase
     FROM l1 WHERE len(ws) > 0),
-l3 AS (SELECT *, (5 * symbols > 2 * n OR (bangs >= 4 AND 2 * bangs > n) OR (n >= 8 AND regexp_matches(last, '[A-Za-z0-9,;:|/-]')) OR 4 * bars > n
+l3 AS (SELECT *, (5 * symbols > 2 * n OR (bangs >= 4 AND 2 * bangs > n) OR (n >= 8 AND ends = 0) OR 4 * bars > n
     OR (letters >= 20 AND 4 * upper > 3 * letters) OR phrase OR dup) AS failed FROM l2),
 l4 AS (SELECT rid, count(*) FILTER (WHERE dup) AS n_dup, count(*) FILTER (WHERE failed) AS n_failed, coalesce(sum(chars) FILTER (WHERE failed), 0) AS lost FROM l3 GROUP BY rid),
 r AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
