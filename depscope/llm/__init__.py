@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP2_SQL, op2_chat_format
 from .decontaminate import OP4_SQL, op4_benchmark_decontamination
+from .line_dedup import OP1_SQL, op1_line_dedup
 from .ngram_join import OP3_SQL, op3_ngram_jaccard_join
 from .quality_rules import OP10_SQL, op10_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_benchmark_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_ngram_jaccard_join, op4_benchmark_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op10_quality_rules": OP10_SQL}
