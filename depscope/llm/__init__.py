@@ -11,10 +11,11 @@ from .decontaminate import OP4_SQL, op4_benchmark_decontamination
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .ngram_join import OP3_SQL, op3_ngram_jaccard_join
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .token_files import op7_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_ngram_jaccard_join, op4_benchmark_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_ngram_jaccard_join, op4_benchmark_decontamination, op7_token_files, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
