@@ -22,6 +22,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -89,7 +90,7 @@ class ByteLevelEncoder:
         self.known: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.dtype.char, e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
