@@ -12,11 +12,12 @@ from .line_dedup import OP1_SQL, op1_line_dedup
 from .ngram_join import OP3_SQL, op3_ngram_jaccard_join
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sentencepiece_codec import op8_sentencepiece
+from .token_counts import op5_token_counts
 from .token_files import op7_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_ngram_jaccard_join, op4_benchmark_decontamination, op7_token_files, op8_sentencepiece, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_counts, op7_token_files, op8_sentencepiece, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
