@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP2_SQL, op2_chat_format
+from .context_tree import op6_context_tree_score
 from .decontaminate import OP4_SQL, op4_benchmark_decontamination
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .ngram_join import OP3_SQL, op3_ngram_jaccard_join
@@ -17,7 +18,7 @@ from .token_files import op7_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_counts, op7_token_files, op8_sentencepiece, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_counts, op6_context_tree_score, op7_token_files, op8_sentencepiece, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
