@@ -13,13 +13,21 @@ from .line_dedup import OP1_SQL, op1_line_dedup
 from .ngram_join import OP3_SQL, op3_ngram_jaccard_join
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sentencepiece_codec import op8_sentencepiece
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op5_token_counts
 from .token_files import op7_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_counts, op6_context_tree_score, op7_token_files, op8_sentencepiece, op10_quality_rules)}
+    found = (
+        op1_line_dedup, op2_chat_format, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_counts,
+        op6_context_tree_score, op7_token_files, op8_sentencepiece, op9_suffix_dedup, op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op10_quality_rules": OP10_SQL}
+    return {
+        "op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL,
+        "op4_benchmark_decontamination": OP4_SQL, "op10_quality_rules": OP10_SQL,
+    }

@@ -7,10 +7,12 @@ Plan, for sets of distinct `size`-word shingles and a threshold num/den:
    order is: shingles that are not heavy by hash, then heavy ones by count. Any fixed order gives right results; this
    one keeps frequent shingles out of prefixes.
 2. One row per document: set size, 128-bit set signature, the prefix in that order (its length follows from the
-   threshold) and a histogram of the set over 64 ranges of the hash. Equal sets collapse to the least id.
+   threshold) and a parity sketch of 512 bits. Equal sets collapse to the least id.
 3. Prefix shingles that two sets share make postings. Each set is verified against one pivot of its postings; what
    these links join is one component. Then, within each posting, every pair of *different* components that passes the
-   length, positional and suffix filters is verified, once. A pair inside one component can change nothing, so no
+   length, positional and suffix filters is verified, once. The suffix filter bounds how far the rests of two sets
+   differ: every shingle of one set only flips one bit of its sketch, so sketches differ in no more bits than sets
+   in shingles. It is part of the join's condition. A pair inside one component can change nothing, so no
    link that counts is lost, and a large group of near copies costs its size, not its square.
 4. Components of all links, by rounds of stars in the shared folder.
 
@@ -20,23 +22,27 @@ rows of one id are one node and all returned; shorter texts have their whole seq
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
 from .components import components
 from .rows import col
-from .scratch import small_batches, written
+from .scratch import if_small, release, small_batches, written
 
 HEAVY_LIMIT = 1 << 16
 LOCAL_COUNT = 4
 CHUNK = 1 << 21
-BINS = 64
+SKETCH = [f"s{k}" for k in range(8)]
+#: Narrow tables of at most so many rows, counted first, may be broadcast; larger ones are joined by shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,11 +94,11 @@ def heavy_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     return h[order], (len(h) - np.arange(len(h)))[order].astype(np.int64)
 
 
-_SET = "id long, n long, sig_a long, sig_b long, prefix array<long>, bins binary"
+_SET = "id long, n long, sig_a long, sig_b long, prefix array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def set_rows(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """One row per document: its set's size, signature, prefix and histogram."""
+    """One row per document: its set's size, signature, prefix and parity sketch."""
     heavy = texts.sparkSession.sparkContext.broadcast(heavy_shingles(texts, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,15 +129,15 @@ def set_rows(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     else:
                         prefix.append(x[np.argsort(w, kind="stable")[:p]])
                 flat = np.concatenate(prefix) if prefix else np.empty(0, np.uint64)
-                bins = np.bincount(row * BINS + (h >> np.uint64(58)).astype(np.int64), minlength=len(n) * BINS)
-                bins = np.minimum(bins, 255).astype(np.uint8)
+                bits = np.bincount(row * 512 + (h >> np.uint64(55)).astype(np.int64), minlength=len(n) * 512) & 1
+                sketch = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, len(SKETCH))
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(flat.view(np.int64))),
-                        pa.array([bins[i : i + BINS].tobytes() for i in range(0, len(bins), BINS)], pa.binary()),
+                        *(pa.array(sketch[:, k].copy()) for k in range(len(SKETCH))),
                     ],
-                    names=["id", "n", "sig_a", "sig_b", "prefix", "bins"],
+                    names=["id", "n", "sig_a", "sig_b", "prefix", *SKETCH],
                 )
 
     small_batches(texts.sparkSession)
@@ -144,82 +150,81 @@ def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int
     return (den * n1 >= num * n2) & (den * n2 >= num * n1) & ((den + num) * most >= num * (n1 + n2))
 
 
-def _after_suffix_filter(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose histograms leave room for the overlap that the threshold asks for."""
+def _in_reach(x: str, y: str, num: int, den: int) -> Column:
+    """Suffix filter for rows with columns n and SKETCH of two sets under these prefixes: may the sets differ so little?"""
+    apart = reduce(operator.add, (F.bit_count(F.col(x + s).bitwiseXOR(F.col(y + s))) for s in SKETCH))
+    return (den + num) * apart <= (den - num) * (F.col(f"{x}n") + F.col(f"{y}n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (4, 5))
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            apart = np.abs(x - y).sum(axis=1)
-            yield batch.filter(pa.array((den + num) * (n - apart) >= 2 * num * n)).select([0, 1])
 
-    side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(f"bins_{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets meet the threshold."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in B.bind_columns(batch, 1):
-                h, first = shingle_sets(piece.column(1), size)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["rep", "shingles"])
+    """The pairs (a, b) whose whole sets meet the threshold. Texts take less room than their sets, so they travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = np.count_nonzero(both[1:] == both[:-1])
-                ok.append(den * common >= num * (len(x) + len(y) - common))
+            ok: list[bool] = []
+            for piece in B.bind_columns(batch, 2):
+                x, x_first = shingle_sets(piece.column(2), size)
+                y, y_first = shingle_sets(piece.column(3), size)
+                for i in range(piece.num_rows):
+                    both = np.concatenate([x[x_first[i] : x_first[i + 1]], y[y_first[i] : y_first[i + 1]]])
+                    both.sort(kind="stable")
+                    common = np.count_nonzero(both[1:] == both[:-1])
+                    ok.append(den * common >= num * (len(both) - common))
             yield batch.filter(pa.array(ok, pa.bool_())).select([0, 1])
 
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    found = written(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "rep long, shingles binary"), "sets")
-    first = pairs.join(found.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    both = first.join(found.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+    ids = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+    found = texts.join(if_small(ids, BROADCAST_ROWS), "id", "left_semi").select("id", "text")
+    first = pairs.join(found.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    both = first.join(found.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    small_batches(texts.sparkSession)
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) for every row of docs: the least id reachable by links of Jaccard num/den or more."""
     texts = _texts(docs, id_col, text_col)
-    rows = written(set_rows(texts, size, num, den), "shingle-sets")
     signature = ["n", "sig_a", "sig_b"]
+    full = written(set_rows(texts, size, num, den), "shingle-sets")
+    real = full.where("n > 0 AND id IS NOT NULL")
+    whole = written(real.groupBy(*signature).agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), *[F.first(s).alias(s) for s in SKETCH]), "distinct-sets")
+    rows = written(full.select("id", *signature), "signatures")
     real = rows.where("n > 0 AND id IS NOT NULL")
-    reps = written(real.groupBy(*signature).agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins")), "distinct-sets")
-
-    entries = reps.select("rep", "n", F.posexplode("prefix").alias("p", "h"))
-    shared = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
-    entries = written(entries.join(shared, "h", "left_semi"), "postings")
-
-    pivots = entries.groupBy("h").agg(F.min(F.struct("p", "rep", "n")).alias("pivot"))
-    e, v = F.col, lambda k: F.col(f"pivot.{k}")
-    tried = entries.join(pivots, "h").where((e("rep") != v("rep")) & _may_link(e("n"), e("p"), v("n"), v("p"), num, den))
-    best = tried.groupBy("rep", v("rep").alias("pivot")).agg(F.count("*").alias("k"))
-    best = best.groupBy("rep").agg(F.max(F.struct("k", "pivot")).alias("best")).select(F.least("rep", "best.pivot").alias("a"), F.greatest("rep", "best.pivot").alias("b")).distinct()
-    stars = written(_after_suffix_filter(best, reps, num, den), "star-pairs")
+    release(full)
+
+    # postings of two sets at least, each with the pivot of its shingle: the set that has it first
+    w = Window.partitionBy("h")
+    entries = whole.select("rep", "n", F.posexplode("prefix").alias("p", "h"))
+    pivot = F.min(F.struct("p", "rep", "n")).over(w)
+    entries = entries.withColumn("df", F.count("*").over(w)).withColumn("pivot", pivot).where("df > 1")
+    entries = written(entries.select("h", "rep", "n", "p", *[F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("rep", "n", "p")]), "postings")
+    reps = written(whole.select("rep", *signature, *SKETCH), "representatives")
+    release(whole)
+
+    tried = entries.where((F.col("rep") != F.col("pivot_rep")) & _may_link(*(F.col(c) for c in ("n", "p", "pivot_n", "pivot_p")), num, den))
+    best = tried.groupBy("rep", "pivot_rep").agg(F.count("*").alias("k")).groupBy("rep").agg(F.max(F.struct("k", "pivot_rep")).alias("best"))
+    best = best.select(F.least("rep", "best.pivot_rep").alias("a"), F.greatest("rep", "best.pivot_rep").alias("b")).distinct()
+    sketches = reps.select("rep", "n", *SKETCH)
+    near = best.join(_prefixed(sketches, "a_"), F.col("a") == F.col("a_rep")).join(_prefixed(sketches, "b_"), (F.col("b") == F.col("b_rep")) & _in_reach("a_", "b_", num, den))
+    stars = written(near.select("a", "b").distinct(), "star-pairs")
     links = written(_verified(stars, texts, size, num, den), "star-links")
 
-    joined = components(links)
-    placed = entries.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = written(placed, "placed-postings")
-    sizes = placed.groupBy("h", "component").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("h").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("h", F.col("top.component").alias("top"))
-    in_mixed = placed.join(mixed, "h")
-    left = in_mixed.where("component <> top").select("h", *[F.col(c).alias(f"l_{c}") for c in ("rep", "n", "p", "component")])
-    right = in_mixed.select("h", "top", *[F.col(c).alias(f"r_{c}") for c in ("rep", "n", "p", "component")])
-    differ = (F.col("l_component") != F.col("r_component")) & ((F.col("r_component") == F.col("top")) | (F.col("l_rep") < F.col("r_rep")))
-    passed = _may_link(*(F.col(c) for c in ("l_n", "l_p", "r_n", "r_p")), num, den)
-    cross = left.join(right, "h").where(differ & passed).select(F.least("l_rep", "r_rep").alias("a"), F.greatest("l_rep", "r_rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    cross = written(_after_suffix_filter(cross, reps, num, den), "cross-pairs")
+    # shingles whose postings are not all in one component, and their pairs across components
+    joined = if_small(written(components(links), "components"), BROADCAST_ROWS)
+    of = lambda rows, c: rows.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+    apart = of(of(entries, "rep"), "pivot_rep").where("rep_in <> pivot_rep_in").select("h").distinct()
+    apart = if_small(written(apart, "mixed-shingles"), BROADCAST_ROWS)
+    placed = written(of(entries.join(apart, "h", "left_semi").select("h", "rep", "n", "p"), "rep").withColumnRenamed("rep_in", "component"), "mixed-postings")
+    top = placed.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "component")).alias("top")).select("h", F.col("top.component").alias("top"))
+    in_mixed = placed.join(top, "h").join(sketches, ["rep", "n"])
+    left, right = _prefixed(in_mixed.where("component <> top"), "l_"), _prefixed(in_mixed, "r_")
+    differ = (F.col("l_component") != F.col("r_component")) & ((F.col("r_component") == F.col("r_top")) | (F.col("l_rep") < F.col("r_rep")))
+    passed = _may_link(*(F.col(c) for c in ("l_n", "l_p", "r_n", "r_p")), num, den) & _in_reach("l_", "r_", num, den)
+    cross = left.join(right, (F.col("l_h") == F.col("r_h")) & differ & passed).select(F.least("l_rep", "r_rep").alias("a"), F.greatest("l_rep", "r_rep").alias("b"))
+    cross = written(cross.distinct().join(stars, ["a", "b"], "left_anti"), "cross-pairs")
     more = _verified(cross, texts, size, num, den)
 
     several = real.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in signature for f in (F.min, F.max)]).where(" OR ".join(f"min_{c} <> max_{c}" for c in signature)).select("id")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -34,6 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, which is written and of narrow rows, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def release(df: DataFrame) -> None:
+    """Delete what written() made, once nothing reads it any more."""
+    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop(df.sparkSession, f)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, as the path may be in a store that only Spark reads."""
     jvm = spark.sparkContext._jvm

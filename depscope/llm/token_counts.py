@@ -25,19 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
+from .byte_letters import byte_letters
 from .rows import with_arrow_columns
 
 CACHE_ENTRIES = 250_000
 LIMIT = 2048
 
 
-def _byte_letters() -> list[str]:
-    """The printable letter that byte-level vocabularies write for each byte: itself, or the next free one from 256 on."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
-
-
 class PrefixCounter:
     _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
     _cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+").findall
@@ -58,7 +52,7 @@ class PrefixCounter:
         self.final = {t[: -len(self.end)] if self.end else t for t in model["vocab"] if t.endswith(self.end)}
         self.longest = max(map(len, model["vocab"]))
         self.added = re.compile("|".join(re.escape(x["content"]) for x in whole["added_tokens"]) or "x^").search
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.states: dict[str, tuple[str, int]] = {"": ("", 0)}
         self.words: dict[str, int] = {}
         self.follows: dict[tuple[str, str, bool], bool] = {}

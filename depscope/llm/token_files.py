@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .byte_letters import byte_letters
 from .rows import col
 from .scratch import fresh_path, small_batches
 
 FILE_BYTES = 8 << 20
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 _MASK_ADD = 0xA282EAD8
 
 
@@ -64,12 +65,31 @@ def records(content: bytes | memoryview) -> Iterator[bytes]:
         at += 16 + n
 
 
+class _Known(dict):
+    """Results by key, made on demand, in two generations: what was not used while one filled up is forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) > CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
+        return out
+
+
 class ByteLevelEncoder:
-    """Ids of texts under a byte-level BPE file of the tokenizers library, each distinct pre-token encoded once.
+    """Ids of texts under a byte-level BPE file of the tokenizers library, each distinct part encoded once.
 
-    Pre-tokens are encoded alone in any case, so for texts of plain Latin characters, whose classes are the same in
-    every Unicode version, they are cut here and kept with their ids; other texts, and texts that hold an added
-    token, go to the library whole.
+    The library's model encodes pre-tokens alone in any case, and none reaches over a space before another character.
+    So texts of plain Latin characters, whose classes are the same in every Unicode version, are split at single
+    spaces, and parts and their pre-tokens are kept with the ids that the model gave. Other texts, and texts that hold
+    an added token, go to the library whole.
     """
 
     _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -87,23 +107,28 @@ class ByteLevelEncoder:
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kinds["normalizer"]
         self.added = re.compile("|".join(re.escape(x["content"]) for x in kinds["added_tokens"]) or "x^").search
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.pretokens = _Known(self._pretoken)
+        self.parts = _Known(lambda part: b"".join(map(self.pretokens.__getitem__, self._cut(part))))
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [array(self.dtype.char, e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _pretoken(self, text: str) -> bytes:
+        plain = text.isascii() and text.isprintable()
+        letters = text.replace(" ", self.letters[32]) if plain else "".join([self.letters[b] for b in text.encode()])
+        found = self.library.model.tokenize(letters)
+        return array(self.dtype.char, [t.id for t in found]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        plain = [self.cuts and not self._odd(t) and not self.added(t) for t in texts]
-        cut = [self._cut(t) if p else () for t, p in zip(texts, plain, strict=True)]
-        new = list(set().union(*cut).difference(self.known))
-        for k in range(0, len(new), 4096):
-            self.known.update(zip(new[k : k + 4096], self._bytes(new[k : k + 4096]), strict=True))
-        whole = iter(self._bytes([t for t, p in zip(texts, plain, strict=True) if not p]))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if p else next(whole) for c, p in zip(cut, plain, strict=True)]
+        out = []
+        for text in texts:
+            if not self.cuts or self._odd(text) or self.added(text):
+                out.append(array(self.dtype.char, self.library.encode(text, add_special_tokens=False).ids).tobytes())
+            elif "  " in text or text[-1:] == " ":
+                out.append(b"".join(map(self.pretokens.__getitem__, self._cut(text))))
+            else:
+                first, *rest = text.split(" ")
+                out.append(b"".join([self.parts[first], *map(self.parts.__getitem__, map(" ".__add__, rest))]))
+        return out
 
 
 _encoders: dict[str, ByteLevelEncoder] = {}
