@@ -82,7 +82,7 @@ def source_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def readmes(spark: SparkSession, path: str, limit: int = 1_000_000) -> DataFrame:
     """README texts, blank ones as null, cut at the limit."""
-    df = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return df.select("path", F.when(F.trim("value") != "", F.substring("value", 1, limit)).alias("readme"))
 
 
@@ -93,7 +93,7 @@ def documentation(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 
 def advisory_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Advisory files with TOML front matter between +++ or --- lines (or a fenced block), and the first heading of the body."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), "value")
     pattern = r"(?s)^\s*(?:```toml|\+\+\+|---)\r?\n(.*?)\r?\n(?:```|\+\+\+|---)\s*\r?\n?(.*)$"
     body = F.regexp_extract("value", pattern, 2)
     return df.where(F.col("value").rlike(pattern)).select("path", F.regexp_extract("value", pattern, 1).alias("front_matter"), F.nullif(F.regexp_extract(body, r"(?m)^#\s+(.+)$", 1), F.lit("")).alias("title"), body.alias("body"))
