@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import bytesops as B
 from .fm_index import FMIndex
-from .rows import col
+from .rows import col, fresh
 from .scratch import small_batches
 
 SHARD_BYTES = 8 << 20
@@ -191,7 +191,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     blocks = [spark.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, window)]
     new = {f.name for f in FIELDS}
     wanted = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    source = docs.select(*[col(c) for c in wanted], col(text).cast("string").alias("__text"))
+    source = docs.select(*[col(c) for c in wanted], col(text).cast("string").alias(fresh("__text", wanted)))
     n = len(wanted)
     schema = T.StructType([*source.schema.fields[:n], *FIELDS])
     names = schema.fieldNames()

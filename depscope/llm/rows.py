@@ -18,6 +18,13 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores behind it as make it new."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def with_arrow_columns(df: DataFrame, text: str, fields: list[T.StructField], fn: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
     """df with the columns `fields`, which fn makes from the text column of a few MB of rows.
 
@@ -26,7 +33,7 @@ def with_arrow_columns(df: DataFrame, text: str, fields: list[T.StructField], fn
     small_batches(df.sparkSession)
     new = {f.name for f in fields}
     wanted = [c for c in (df.columns if keep is None else keep) if c not in new]
-    source = df.select(*[col(c) for c in wanted], col(text).cast("string").alias("__text"))
+    source = df.select(*[col(c) for c in wanted], col(text).cast("string").alias(fresh("__text", wanted)))
     n = len(wanted)
     schema = T.StructType([*source.schema.fields[:n], *fields])
     names = schema.fieldNames()

@@ -7,7 +7,7 @@ came from. The library encodes the normalised text, and each piece projects to t
 Merges of a model whose pieces hold the space mark only at their front never cross a space, and those without a
 newline inside never cross one, so normalised text is cut before runs of spaces and at newlines, and each distinct
 part is encoded once. Whether this holds is read from the vocabulary; else, and for texts that hold the mark itself,
-the library encodes the whole text. The mark that the library puts in front of a text spans no byte.
+the library encodes the whole text. The mark that the library puts in front of a text spans no byte, and a byte piece spans its own byte.
 
 Defined cases: a null text is empty and gives no ids; rows are treated one by one; an empty table gives an empty result.
 """
