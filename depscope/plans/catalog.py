@@ -540,3 +540,104 @@ def feature_impact(r):
 SELECT a.version AS version_a, b.version AS version_b FROM o a, o b WHERE a.package_id = 3 AND b.package_id = 7 AND a.place <= 5 AND b.place <= 5 ORDER BY a.place, b.place LIMIT 25""")
 def compatibility_matrix(r):
     return resolve.matrix(r.versions, 3, 7).select("version_a", "version_b")
+
+
+# states of the index by package and version
+
+
+@query("SELECT version_id, count(*) FILTER (WHERE kind = 'normal') > 0 AS has_normal, count(*) FILTER (WHERE optional) > 0 AS has_optional FROM edges GROUP BY 1")
+def content_flags(r):
+    return r.edges.groupBy("version_id").agg(F.bool_or(F.col("kind") == "normal").alias("has_normal"), F.bool_or("optional").alias("has_optional"))
+
+
+@query("SELECT package_id, max(finished_at) AS checked_at, coalesce(max(finished_at) < TIMESTAMP '2024-01-24', true) AS due FROM packages LEFT JOIN (SELECT package_id, finished_at FROM jobs WHERE scope = 'security' AND status = 'finished') USING (package_id) GROUP BY 1")
+def security_due(r):
+    done = r.jobs.where("scope = 'security' AND status = 'finished'").groupBy("package_id").agg(F.max("finished_at").alias("checked_at"))
+    return r.packages.select("package_id").join(done, "package_id", "left").withColumn("due", F.coalesce(F.col("checked_at") < F.lit("2024-01-24 00:00:00").cast("timestamp_ntz"), F.lit(True)))
+
+
+@query("SELECT version_id, package_id, version FROM versions v WHERE NOT yanked AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.package_id = v.package_id AND j.scope = 'docs' AND j.status = 'finished' AND j.finished_at >= TIMESTAMP '2024-01-30')")
+def enrichment_candidates(r):
+    fresh = r.jobs.where((F.col("scope") == "docs") & (F.col("status") == "finished") & (F.col("finished_at") >= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")))
+    return r.versions.where("NOT yanked").join(fresh.select("package_id"), "package_id", "left_anti").select("version_id", "package_id", "version")
+
+
+@query("SELECT version_id, p.name || '-' || version AS key FROM versions JOIN packages p USING (package_id)")
+def version_keys(r):
+    return r.versions.join(r.packages.select("package_id", "name"), "package_id").select("version_id", F.concat_ws("-", "name", "version").alias("key"))
+
+
+@query("SELECT max(published_at) AS versions, (SELECT max(created_at) FROM invocations) AS invocations, (SELECT max(finished_at) FROM jobs) AS jobs FROM versions")
+def index_freshness(r):
+    latest = lambda df, c, n: df.agg(F.max(c).alias("t")).select(F.lit(n).alias("of"), "t")
+    both = latest(r.versions, "published_at", "versions").unionAll(latest(r.invocations, "created_at", "invocations")).unionAll(latest(r.jobs, "finished_at", "jobs"))
+    return both.agg(*[F.max(F.when(F.col("of") == n, F.col("t"))).alias(n) for n in ("versions", "invocations", "jobs")])
+
+
+@query("""SELECT v.version_id, v.package_id, v.version_id = l.version_id AS is_latest, v.yanked, CAST(floor(epoch(TIMESTAMP '2002-01-01') - epoch(v.published_at)) AS BIGINT) // 86400 >= 365 AS is_legacy,
+coalesce(a.n, 0) AS advisories FROM versions v JOIN latest_versions l USING (package_id) LEFT JOIN (SELECT package_id, count(DISTINCT advisory_id) AS n FROM advisories GROUP BY 1) a ON a.package_id = v.package_id""")
+def version_markers(r):
+    newest = r.latest_versions.select("package_id", F.col("version_id").alias("latest_id"))
+    adv = r.advisories.groupBy("package_id").agg(F.count_distinct("advisory_id").alias("advisories"))
+    rows = lookup.timeline(r.versions, F.lit(AS_OF).cast("timestamp")).join(newest, "package_id").join(adv, "package_id", "left")
+    return rows.select("version_id", "package_id", (F.col("version_id") == F.col("latest_id")).alias("is_latest"), "yanked", (F.col("age_days") >= 365).alias("is_legacy"), F.coalesce("advisories", F.lit(0)).alias("advisories"))
+
+
+@query("""WITH t AS (SELECT package_id, sum(downloads) AS total, count(*) AS n, count(*) FILTER (WHERE yanked) AS y FROM versions GROUP BY 1), d AS (SELECT e.target_id AS package_id, count(DISTINCT v.package_id) AS dep FROM edges e JOIN versions v USING (version_id) GROUP BY 1),
+o AS (SELECT version_id, count(*) AS deps FROM edges GROUP BY 1)
+SELECT p.package_id, p.name, l.version, CAST(total AS BIGINT) AS total_downloads, n AS n_versions, y AS yanked_versions, coalesce(dep, 0) AS dependents, coalesce(deps, 0) AS dependencies, deps IS NOT NULL AS dependencies_known
+FROM packages p JOIN latest_versions l USING (package_id) JOIN t ON t.package_id = p.package_id LEFT JOIN d ON d.package_id = p.package_id LEFT JOIN o ON o.version_id = l.version_id""")
+def package_intel(r):
+    totals = r.versions.groupBy("package_id").agg(F.sum("downloads").alias("total_downloads"), F.count("*").alias("n_versions"), F.count_if("yanked").alias("yanked_versions"))
+    own = r.edges.groupBy("version_id").agg(F.count("*").alias("dependencies"))
+    rows = r.packages.select("package_id", "name").join(r.latest_versions.select("package_id", "version_id", "version"), "package_id").join(totals, "package_id").join(lookup.dependent_counts(r.edges, r.versions), "package_id", "left").join(own, "version_id", "left")
+    known = F.col("dependencies").isNotNull().alias("dependencies_known")
+    return rows.select("package_id", "name", "version", "total_downloads", "n_versions", "yanked_versions", F.coalesce("dependents", F.lit(0)).alias("dependents"), F.coalesce("dependencies", F.lit(0)).alias("dependencies"), known)
+
+
+@query("SELECT name, kind, symbol_id FROM symbols WHERE release = 0 AND visibility = 'public' AND index_source = 'documented'")
+def api_surface(r):
+    return r.symbols.where("release = 0").where(search.symbol_filters(source="documented", public_only=True)).select("name", "kind", "symbol_id")
+
+
+@query("SELECT symbol_id, name FROM symbols WHERE lower(name) LIKE '%ring' OR lower(name) LIKE '%get'")
+def error_like_types(r):
+    return api.error_types(r.symbols, ("ring", "get")).select("symbol_id", "name")
+
+
+@query("SELECT kind, min(start_line) AS first_line, count(*) AS n FROM symbols WHERE visibility = 'public' GROUP BY 1")
+def symbol_first_lines(r):
+    return r.symbols.where("visibility = 'public'").groupBy("kind").agg(F.min("start_line").alias("first_line"), F.count("*").alias("n"))
+
+
+@query("""SELECT package_id, array_to_string(list_filter([CASE WHEN contains(lower(name), '01') THEN 'name' END, CASE WHEN contains(lower(keyword), '1') AND contains(lower(keyword), '01') THEN 'keyword' END, CASE WHEN contains(lower(category), '01') THEN 'category' END], lambda x: x IS NOT NULL), ',') AS reasons FROM packages""")
+def match_reasons(r):
+    none = F.lit(None).cast("string")
+    return r.packages.select("package_id", F.array_join(X.match_reasons("01", F.col("name"), F.coalesce(none, F.lit("")), F.array("keyword"), F.array("category")), ",").alias("reasons"))
+
+
+@query("SELECT symbol_id, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> ''), ',') AS tokens FROM symbols")
+def symbol_keys(r):
+    return r.symbols.select("symbol_id", api.symbol_key(F.col("name")).alias("key"), F.array_join(api.symbol_tokens(F.col("name")), ",").alias("tokens"))
+
+
+@query("SELECT job_id, CAST(least(5 * pow(2, least(greatest(attempts - 1, 0), 5)), 300) AS BIGINT) AS delay FROM jobs WHERE status = 'failed'")
+def retry_delays(r):
+    return r.jobs.where("status = 'failed'").select("job_id", S.retry_delay(F.col("attempts")).alias("delay"))
+
+
+@query("SELECT doc_id, trim(split_part(content, chr(10) || chr(10), 1)) AS summary, substring(content, 1, 100) AS head, length(content) > 100 AS cut FROM docs_pages")
+def docs_summary(r):
+    head, cut = X.shortened(F.col("content"), 100)
+    return r.docs_pages.select("doc_id", X.doc_summary(F.col("content")).alias("summary"), head.alias("head"), cut.alias("cut"))
+
+
+@query("SELECT version_id, target_id, kind FROM edges WHERE version_id NOT IN (SELECT version_id FROM versions WHERE package_id % 10 = 0)")
+def cascade_delete(r):
+    gone = r.versions.where("package_id % 10 = 0")
+    return snapshot.delete(r.edges.select("version_id", "target_id", "kind"), gone, ["version_id"])
+
+
+@query("SELECT job_id, scope FROM jobs WHERE requested_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")
+def retained_jobs(r):
+    return r.jobs.where(F.col("requested_at") >= _now(EVENTS_AS_OF) - F.make_dt_interval(F.lit(7))).select("job_id", "scope")
