@@ -7,12 +7,13 @@ Plan, for sets of distinct `size`-word shingles and a threshold num/den:
    order is: shingles that are not heavy by hash, then heavy ones by count. Any fixed order gives right results; this
    one keeps frequent shingles out of prefixes.
 2. One row per document: set size, 128-bit set signature, the prefix in that order (its length follows from the
-   threshold) and a parity sketch of 512 bits. Equal sets collapse to the least id.
+   threshold) and a parity sketch of two bits or more per shingle. Equal sets collapse to the least id.
 3. Prefix shingles that two sets share make postings. Each set is verified against one pivot of its postings; what
    these links join is one component. Then, within each posting, every pair of *different* components that passes the
    length, positional and suffix filters is verified, once. The suffix filter bounds how far the rests of two sets
    differ: every shingle of one set only flips one bit of its sketch, so sketches differ in no more bits than sets
-   in shingles. It is part of the join's condition. A pair inside one component can change nothing, so no
+   in shingles. Folded to 512 bits it is part of the join's condition; pairs that pass are held against whole
+   sketches, and only the texts of those that pass again travel to be verified. A pair inside one component can change nothing, so no
    link that counts is lost, and a large group of near copies costs its size, not its square.
 4. Components of all links, by rounds of stars in the shared folder.
 
@@ -88,13 +89,27 @@ def heavy_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
             yield counted()
 
     small_batches(texts.sparkSession)
-    rows = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY_LIMIT).toPandas()
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    rows = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY_LIMIT).toArrow()
+    h = rows["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     return h[order], (len(h) - np.arange(len(h)))[order].astype(np.int64)
 
 
-_SET = "id long, n long, sig_a long, sig_b long, prefix array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
+def _sketch(h: np.ndarray) -> np.ndarray:
+    """Parity of the hashes that fall on each bit, 64 bits a word; the number of bits is a power of two from 512 to 65536."""
+    bits = 1 << min(max((2 * len(h)).bit_length(), 9), 16)
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch that the same set has with fewer bits."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+_SET = "id long, n long, sig_a long, sig_b long, prefix array<long>, sketch binary, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def set_rows(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -129,15 +144,15 @@ def set_rows(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     else:
                         prefix.append(x[np.argsort(w, kind="stable")[:p]])
                 flat = np.concatenate(prefix) if prefix else np.empty(0, np.uint64)
-                bits = np.bincount(row * 512 + (h >> np.uint64(55)).astype(np.int64), minlength=len(n) * 512) & 1
-                sketch = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, len(SKETCH))
+                sketches = [_sketch(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                short = np.array([_folded(x, len(SKETCH)) for x in sketches]).reshape(-1, len(SKETCH)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(flat.view(np.int64))),
-                        *(pa.array(sketch[:, k].copy()) for k in range(len(SKETCH))),
+                        pa.array([x.tobytes() for x in sketches], pa.binary()), *(pa.array(short[:, k].copy()) for k in range(len(SKETCH))),
                     ],
-                    names=["id", "n", "sig_a", "sig_b", "prefix", *SKETCH],
+                    names=["id", "n", "sig_a", "sig_b", "prefix", "sketch", *SKETCH],
                 )
 
     small_batches(texts.sparkSession)
@@ -145,9 +160,14 @@ def set_rows(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int) -> Column:
-    """Length and positional filters for two sets that share the shingle at places p1 and p2 of their order."""
+    """Length and positional filters for two sets that share the shingle at places p1 and p2 of their order.
+
+    Linked sets differ in at most (1 - t) / (1 + t) of their sizes' sum, and what stands before the first shingle
+    that they share is all different; so for linked sets one shared shingle at least passes.
+    """
     most = F.least(p1, p2) + 1 + F.least(n1 - 1 - p1, n2 - 1 - p2)
-    return (den * n1 >= num * n2) & (den * n2 >= num * n1) & ((den + num) * most >= num * (n1 + n2))
+    first = (den + num) * (p1 + p2) <= (den - num) * (n1 + n2)
+    return (den * n1 >= num * n2) & (den * n2 >= num * n1) & ((den + num) * most >= num * (n1 + n2)) & first
 
 
 def _in_reach(x: str, y: str, num: int, den: int) -> Column:
@@ -156,6 +176,24 @@ def _in_reach(x: str, y: str, num: int, den: int) -> Column:
     return (den + num) * apart <= (den - num) * (F.col(f"{x}n") + F.col(f"{y}n"))
 
 
+def _after_sketches(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Suffix filter with whole sketches: pairs (a, b) that may still differ little enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                words = min(len(x), len(y))
+                apart.append(int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()))
+            yield batch.filter(pa.array((den + num) * np.array(apart, np.int64) <= (den - num) * n)).select([0, 1])
+
+    side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return joined.mapInArrow(run, "a long, b long").distinct()
+
+
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
@@ -190,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signature = ["n", "sig_a", "sig_b"]
     full = written(set_rows(texts, size, num, den), "shingle-sets")
     real = full.where("n > 0 AND id IS NOT NULL")
-    whole = written(real.groupBy(*signature).agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), *[F.first(s).alias(s) for s in SKETCH]), "distinct-sets")
+    whole = written(real.groupBy(*signature).agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), *[F.first(s).alias(s) for s in SKETCH]), "distinct-sets")
     rows = written(full.select("id", *signature), "signatures")
     real = rows.where("n > 0 AND id IS NOT NULL")
     release(full)
@@ -201,15 +239,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivot = F.min(F.struct("p", "rep", "n")).over(w)
     entries = entries.withColumn("df", F.count("*").over(w)).withColumn("pivot", pivot).where("df > 1")
     entries = written(entries.select("h", "rep", "n", "p", *[F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("rep", "n", "p")]), "postings")
-    reps = written(whole.select("rep", *signature, *SKETCH), "representatives")
+    reps = written(whole.select("rep", *signature, "sketch", *SKETCH), "representatives")
     release(whole)
 
     tried = entries.where((F.col("rep") != F.col("pivot_rep")) & _may_link(*(F.col(c) for c in ("n", "p", "pivot_n", "pivot_p")), num, den))
     best = tried.groupBy("rep", "pivot_rep").agg(F.count("*").alias("k")).groupBy("rep").agg(F.max(F.struct("k", "pivot_rep")).alias("best"))
     best = best.select(F.least("rep", "best.pivot_rep").alias("a"), F.greatest("rep", "best.pivot_rep").alias("b")).distinct()
     sketches = reps.select("rep", "n", *SKETCH)
-    near = best.join(_prefixed(sketches, "a_"), F.col("a") == F.col("a_rep")).join(_prefixed(sketches, "b_"), (F.col("b") == F.col("b_rep")) & _in_reach("a_", "b_", num, den))
-    stars = written(near.select("a", "b").distinct(), "star-pairs")
+    stars = written(_after_sketches(best, reps, num, den), "star-pairs")
     links = written(_verified(stars, texts, size, num, den), "star-links")
 
     # shingles whose postings are not all in one component, and their pairs across components
@@ -224,7 +261,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differ = (F.col("l_component") != F.col("r_component")) & ((F.col("r_component") == F.col("r_top")) | (F.col("l_rep") < F.col("r_rep")))
     passed = _may_link(*(F.col(c) for c in ("l_n", "l_p", "r_n", "r_p")), num, den) & _in_reach("l_", "r_", num, den)
     cross = left.join(right, (F.col("l_h") == F.col("r_h")) & differ & passed).select(F.least("l_rep", "r_rep").alias("a"), F.greatest("l_rep", "r_rep").alias("b"))
-    cross = written(cross.distinct().join(stars, ["a", "b"], "left_anti"), "cross-pairs")
+    cross = written(cross.distinct().join(stars, ["a", "b"], "left_anti"), "cross-candidates")
+    cross = written(_after_sketches(cross, reps, num, den), "cross-pairs")
     more = _verified(cross, texts, size, num, den)
 
     several = real.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in signature for f in (F.min, F.max)]).where(" OR ".join(f"min_{c} <> max_{c}" for c in signature)).select("id")
