@@ -26,9 +26,10 @@ from pyspark.sql import types as T
 
 from . import bytesops as B
 from .byte_letters import byte_letters
+from .memo import Memo
 from .rows import with_arrow_columns
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 LIMIT = 2048
 
 
@@ -54,9 +55,9 @@ class PrefixCounter:
         self.added = re.compile("|".join(re.escape(x["content"]) for x in whole["added_tokens"]) or "x^").search
         self.letters = byte_letters()
         self.states: dict[str, tuple[str, int]] = {"": ("", 0)}
-        self.words: dict[str, int] = {}
+        self.words = Memo(self._word, CACHE_ENTRIES)
         self.follows: dict[tuple[str, str, bool], bool] = {}
-        self.parts: dict[bytes, int] = {}
+        self.parts = Memo(lambda part: self.part(part.decode()), CACHE_ENTRIES)
 
     def _may_follow(self, a: str, b: str, last: bool) -> bool:
         """Whether encoding a then b (the end of a word if last) gives just these two tokens."""
@@ -90,18 +91,15 @@ class PrefixCounter:
                 return token, count + 1
         raise ValueError(f"no token ends {prefix!r}")
 
-    def word(self, letters: str) -> int:
+    def _word(self, letters: str) -> int:
         """Tokens of a pre-token in byte letters."""
-        found = self.words.get(letters)
-        if found is None:
-            # the last letter is the word end's own, so states are needed up to the one before
-            known = len(letters) - 1
-            while letters[:known] not in self.states:
-                known -= 1
-            for k in range(known + 1, len(letters)):
-                self.states[letters[:k]] = self._step(letters[:k], False)
-            found = self.words[letters] = self._step(letters, True)[1]
-        return found
+        # the last letter is the word end's own, so states are needed up to the one before
+        known = len(letters) - 1
+        while letters[:known] not in self.states:
+            known -= 1
+        for k in range(known + 1, len(letters)):
+            self.states[letters[:k]] = self._step(letters[:k], False)
+        return self._step(letters, True)[1]
 
     def part(self, part: str) -> int:
         """Tokens of a text without white space."""
@@ -109,20 +107,18 @@ class PrefixCounter:
             return len(self.library.encode(part, add_special_tokens=False).ids)
         part = part.lower()
         if part.isascii():
-            return sum(map(self.word, self._cut(part)))
-        return sum(self.word("".join([self.letters[b] for b in w.encode()])) for w in self._cut(part))
+            return sum(map(self.words.__getitem__, self._cut(part)))
+        return sum(self.words["".join([self.letters[b] for b in w.encode()])] for w in self._cut(part))
 
     def prefixes(self, part: str) -> list[int]:
         """Tokens of each prefix of a part, by characters, the empty one first."""
         return [self.part(part[:i]) for i in range(len(part) + 1)]
 
     def count(self, parts: list[bytes]) -> list[int]:
-        for memo in (self.parts, self.words, self.states, self.follows):
+        for memo in (self.states, self.follows):
             if len(memo) > CACHE_ENTRIES:
                 memo.clear()
                 self.states[""] = ("", 0)
-        for p in set(parts).difference(self.parts):
-            self.parts[p] = self.part(p.decode())
         return list(map(self.parts.__getitem__, parts))
 
 
