@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .byte_letters import byte_letters
+from .memo import Memo
 from .rows import col
 from .scratch import fresh_path, small_batches
 
 FILE_BYTES = 8 << 20
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 _MASK_ADD = 0xA282EAD8
 
 
@@ -65,24 +66,6 @@ def records(content: bytes | memoryview) -> Iterator[bytes]:
         at += 16 + n
 
 
-class _Known(dict):
-    """Results by key, made on demand, in two generations: what was not used while one filled up is forgotten."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) > CACHE_ENTRIES:
-            self.old = dict(self)
-            self.clear()
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-        self[key] = out
-        return out
-
-
 class ByteLevelEncoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library, each distinct part encoded once.
 
@@ -108,8 +91,8 @@ class ByteLevelEncoder:
         self.added = re.compile("|".join(re.escape(x["content"]) for x in kinds["added_tokens"]) or "x^").search
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = byte_letters()
-        self.pretokens = _Known(self._pretoken)
-        self.parts = _Known(lambda part: b"".join(map(self.pretokens.__getitem__, self._cut(part))))
+        self.pretokens = Memo(self._pretoken, CACHE_ENTRIES)
+        self.parts = Memo(lambda part: b"".join(map(self.pretokens.__getitem__, self._cut(part))), CACHE_ENTRIES)
 
     def _pretoken(self, text: str) -> bytes:
         plain = text.isascii() and text.isprintable()
@@ -220,14 +203,16 @@ def _document(data: memoryview, dtype: np.dtype) -> tuple[int | None, np.ndarray
     return None if null else i, np.frombuffer(data, dtype, offset=9)
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, from the files; start counts the ids of all documents before it.
+def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, from the files.
 
-    Only one total per partition of the writer passes through the driver.
+    start counts the ids of all documents before it; ids_crc32 is of the ids as little-endian 32-bit integers. Only one
+    total per partition of the writer passes through the driver. with_ids: whether the ids themselves are returned.
     """
     index = spark.read.parquet(f"{folder}/index")
-    totals = index.groupBy("partition").agg(F.sum("n_tokens").alias("n")).orderBy("partition").toPandas()
-    before = spark.sparkContext.broadcast(dict(zip(totals["partition"], np.cumsum(totals["n"]) - totals["n"], strict=True)))
+    totals = index.groupBy("partition").agg(F.sum("n_tokens").alias("n")).orderBy("partition").toArrow()
+    n = totals["n"].to_numpy()
+    before = spark.sparkContext.broadcast(dict(zip(totals["partition"].to_pylist(), (np.cumsum(n) - n).tolist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +225,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 size = 0
                 for data in inside:
                     i, ids = _document(data, dtype)
-                    held.append((i, start, len(ids), ids.astype(np.int32)))
+                    held.append((i, start, len(ids), zlib.crc32(ids.astype("<u4")), ids.astype(np.int32) if with_ids else None))
                     start += len(ids)
                     size += len(ids)
                     if size > 1 << 19:
@@ -250,13 +235,16 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     yield _batch(held)
 
     small_batches(spark, 1)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.rec").load(f"{folder}/data").select("content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.rec").load(f"{folder}/data").select("content").mapInArrow(run, schema)
 
 
 def _batch(rows: list) -> pa.RecordBatch:
-    i, start, n, ids = zip(*rows, strict=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids)))
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), lists], names=["doc_id", "start", "n_tokens", "ids"])
+    i, start, n, crc, ids = zip(*rows, strict=True)
+    columns = {"doc_id": pa.array(i, pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+    if ids[0] is not None:
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids)))
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def shuffled_reads(index: DataFrame, folder: str, seed: int) -> DataFrame:
@@ -271,7 +259,7 @@ def shuffled_reads(index: DataFrame, folder: str, seed: int) -> DataFrame:
                 with fs.open_input_file(f"{path}/{f}") as file:
                     data = next(records(file.read_at(length, at)))
                 i, ids = _document(data, np.dtype(f"<u{(len(data) - 9) // n}"))
-                rows.append((i, 0, n, ids.astype(np.int32)))
+                rows.append((i, 0, n, 0, ids.astype(np.int32)))
             yield _batch(rows).select(["doc_id", "ids"])
 
     order = index.orderBy(F.xxhash64(F.lit(seed), "file", "offset"))
@@ -289,11 +277,4 @@ def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     folder = fresh_path(spark, "token-files")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     write_token_files(docs, folder, lambda: (encoder(tokenizer).encode, encoder(tokenizer).dtype), END_ID)
-    found = read_token_files(spark, folder)
-
-    def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return found.mapInArrow(crcs, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, folder, with_ids=False)

@@ -272,7 +272,8 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
         want.append((r[0], start, len(ids), ids))
         start += len(ids)
     found = token_files.read_token_files(spark, folder).orderBy("start").collect()
-    assert [tuple(f) for f in found] == want
+    assert [(f["doc_id"], f["start"], f["n_tokens"], f["ids"]) for f in found] == want
+    assert [f["ids_crc32"] for f in found] == [zlib.crc32(np.array(w[3], "<u4").tobytes()) for w in want]
     shuffled = token_files.shuffled_reads(index, folder, 5).collect()
     assert bag((f["doc_id"], tuple(f["ids"])) for f in shuffled) == bag((w[0], tuple(w[3])) for w in want)
     content = next(p for p in (tmp_path / "out/data").iterdir() if p.suffix == ".rec").read_bytes()
