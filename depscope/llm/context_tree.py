@@ -5,10 +5,12 @@ predicted from the last 0 to DEPTH bytes: every context and every node of the by
 Krichevsky-Trofimov estimate from its counts, and a context's weighted probability is half its own estimate and
 half the product of its children's, so that the prediction mixes all depths with weights that the training data sets.
 
-Counts come from all training texts: runs of DEPTH + 1 bytes are counted in each task, then summed by a shuffle. A
-context is a node of the tree if at least one in CONTEXT_SHARE of all training bytes stand in it; what the children
-of a node leave over is one more child, a leaf. So the tree has at most DEPTH * CONTEXT_SHARE + 1 nodes at any size
-of the corpus, and the finished predictions, one row of 256 for each node, are a broadcast of bounded size.
+Counts come from all training texts: runs of DEPTH + 1 bytes are counted in each task, then summed by a shuffle. Every
+context of the training texts is a node of the tree, at any size of the corpus. Weights are made level by level, and
+only for decisions that training texts met, as all others are even: the levels of three bytes or more by tasks that
+hold the runs of whole three-byte contexts, the levels above, which two bytes bound, on the driver. Each distinct run
+of any text then gets its one prediction. Runs that make up one in RUN_SHARE places or more, so RUN_SHARE at most, are
+broadcast with theirs; all other runs are joined with theirs by a shuffle.
 
 The base is an add-one unigram model over words (`[^\\x20\\x09-\\x0D]+`, lower-cased) and an end token per text. Words
 that make up one in WORD_SHARE tokens or more, so WORD_SHARE at most, are broadcast with their counts; all other
@@ -34,11 +36,16 @@ from .scratch import small_batches, written
 
 DEPTH = 5
 END = 0xFF
-CONTEXT_SHARE = 1 << 16
+RUN_SHARE = 1 << 22
 WORD_SHARE = 1 << 18
 _CHUNK = 1 << 22
 _HELD = 1 << 22
 _ROWS = 1024
+_RUNS = 1 << 17
+#: Bytes of a context whose runs one task holds together.
+_TOP = 3
+#: No run: runs have 48 bits.
+_EMPTY = np.uint64((1 << 64) - 1)
 #: The word key of the end token; words have hashes, one in 2**64 of them this one.
 END_KEY = 0x454E445F544F4B45
 
@@ -98,20 +105,29 @@ class _Sums:
         self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
 
+def _runs(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The DEPTH + 1 bytes that end at each place, the last one lowest."""
+    out = np.zeros(len(places), np.uint64)
+    for j in range(DEPTH, -1, -1):
+        out = out << np.uint64(8) | data[places - j]
+    return out
+
+
 def corpus_counts(texts: DataFrame) -> DataFrame:
-    """(kind, key, n): runs of DEPTH + 1 bytes (kind 0) and words (kind 1) of all texts, with their numbers."""
+    """(kind, key, n): runs of DEPTH + 1 bytes (kind 0) and words (kind 1) of the training texts, runs of the held-out ones (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [_Sums(), _Sums()]
+        sums = [_Sums(), _Sums(), _Sums()]
         for batch in batches:
-            for piece in B.bind_columns(batch, 0):
-                data, places, _ = _padded(piece.column(0))
-                gram = np.zeros(len(places), np.uint64)
-                for j in range(DEPTH, -1, -1):
-                    gram = gram << np.uint64(8) | data[places - j]
-                sums[0].add(gram)
-                words, _ = _word_keys(piece.column(0))
-                sums[1].add(np.concatenate([words, np.full(piece.num_rows, END_KEY, np.uint64)]))
+            for piece in B.bind_columns(batch, 1):
+                held = piece.column(0).to_numpy(zero_copy_only=False)
+                for kind, mask in ((0, ~held), (2, held)):
+                    part = piece.column(1).filter(pa.array(mask))
+                    data, places, _ = _padded(part)
+                    sums[kind].add(_runs(data, places))
+                    if kind == 0:
+                        words, _ = _word_keys(part)
+                        sums[1].add(np.concatenate([words, np.full(len(part), END_KEY, np.uint64)]))
             for kind, s in enumerate(sums):
                 if len(s.keys) > _HELD:
                     yield from s.rows(kind)
@@ -120,7 +136,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
             yield from s.rows(kind)
 
     small_batches(texts.sparkSession)
-    return texts.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return texts.select("held_out", "text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -156,7 +172,7 @@ def _nodes(counts: np.ndarray) -> np.ndarray:
 
 
 class ContextTree:
-    """Predictions of every node: log10 probability of each byte, and the node that each older byte leads to."""
+    """The model in memory, for a small corpus: log10 probability of each byte at every node, and the node that each older byte leads to."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         """levels[d]: sorted contexts of d bytes (the last one lowest) and their counts [contexts, 256]; level 0 has the empty one."""
@@ -218,24 +234,161 @@ class ContextTree:
         return np.add.reduceat(self.log10[node, data[places]].astype(np.float64), first[:-1]) if len(first) > 1 else np.empty(0)
 
 
-def context_tree(counts: DataFrame, share: int = CONTEXT_SHARE) -> ContextTree:
-    """The tree from counts of runs (key, n). Only contexts that are nodes reach the driver, at most `share` for each depth."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // share))
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    for d in range(DEPTH, -1, -1):
-        pairs = counts.groupBy(F.expr(f"(key >> 8) & {(1 << 8 * d) - 1}").alias("context"), F.expr("key & 255").alias("byte")).agg(F.sum("n").alias("n"))
-        rows = pairs.groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("byte", "n")).alias("bytes")).where(F.col("total") >= least).select("context", F.explode("bytes").alias("b")).select("context", "b.byte", "b.n").toArrow()
-        contexts, at = np.unique(rows["context"].to_numpy().astype(np.uint64), return_inverse=True)
-        table = np.zeros((max(len(contexts), 1 - min(d, 1)), 256))
-        table[at, rows["byte"].to_numpy()] = rows["n"].to_numpy()
-        levels.insert(0, (contexts if len(contexts) or d else np.zeros(1, np.uint64), table))
-    while not len(levels[-1][0]):
-        levels.pop()
-    return ContextTree(levels)
-
-
-_SCORED = "rid long, id long, held_out boolean, n_tokens long, n_common long, common_log double, score double, rare array<long>"
+def _summed(codes: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct codes in order, the place of each code among them, sums of the values)."""
+    found, at = np.unique(codes, return_inverse=True)
+    return found, at, [np.bincount(at, v, minlength=len(found)) for v in values]
+
+
+class _Level:
+    """Decisions met in contexts of one length: codes context << 8 | heap place, with their estimate and weight."""
+
+    def __init__(self, codes: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
+        """below: sum of the children's weighted logs; None where contexts have no children."""
+        pair = np.stack([n0, n1], axis=-1)
+        self.codes, self.n0, self.n1, self.one = codes, n0, n1, _one(pair)
+        own = _block(pair)
+        self.weighted = own if below is None else np.logaddexp(own, below) - np.log(2)
+        self.stop = np.ones(len(codes)) if below is None else np.exp(own - np.log(2) - self.weighted)
+        self.up = self.mixed = self.free = None
+
+    def shorter(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, n0, n1, weighted logs) summed over the contexts that agree on their last d bytes."""
+        codes, self.up, sums = _summed(self.codes & np.uint64((1 << 8 * (d + 1)) - 1), self.n0, self.n1, self.weighted)
+        return codes, *sums
+
+    def mix(self, mixed: np.ndarray, free: np.ndarray) -> None:
+        """mixed, free: of each decision's shorter context, the probability of a one so far and the weight still to give."""
+        self.mixed, self.free = mixed + free * self.stop * self.one, free * (1 - self.stop)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
+        return at, self.codes[at] == codes if len(self.codes) else np.zeros(len(codes), bool)
+
+
+def _deep_levels(keys: np.ndarray, n: np.ndarray) -> list[_Level]:
+    """Levels DEPTH to _TOP of the runs' contexts; the runs hold each context of _TOP bytes whole."""
+    met = n > 0
+    keys, n = keys[met], n[met].astype(np.float64)
+    byte, context = keys & np.uint64(255), keys >> np.uint64(8) << np.uint64(8)
+    codes = np.concatenate([context | (byte | np.uint64(256)) >> np.uint64(8 - k) for k in range(8)])
+    bit = np.concatenate([byte >> np.uint64(7 - k) & np.uint64(1) for k in range(8)]).astype(np.float64)
+    n = np.tile(n, 8)
+    codes, _, (n0, n1) = _summed(codes, n * (1 - bit), n * bit)
+    levels = [_Level(codes, n0, n1, None)]
+    for d in range(DEPTH - 1, _TOP - 1, -1):
+        levels.append(_Level(*levels[-1].shorter(d)))
+    return levels
+
+
+def _whole_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, n) of many runs at a time, cut where the last _TOP bytes of the context change; batches are in their order."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= _RUNS:
+            top = np.concatenate([b.column(0).to_numpy() for b in held])
+            cut = int(np.flatnonzero(top != top[-1])[-1]) + 1 if top[0] != top[-1] else 0
+            if cut:
+                table = pa.Table.from_batches(held)
+                yield table.column(1).to_numpy()[:cut].astype(np.uint64), table.column(2).to_numpy()[:cut]
+                held, rows = table.slice(cut).to_batches(), rows - cut
+    if rows:
+        table = pa.Table.from_batches(held)
+        yield table.column(1).to_numpy().astype(np.uint64), table.column(2).to_numpy()
+
+
+def run_logs(runs: DataFrame) -> DataFrame:
+    """(key, log): log10 probability of the last byte of each run after the others; runs: (key, n), n of the training texts."""
+    spark = runs.sparkSession
+    small_batches(spark, 1 << 16)
+    top = F.expr(f"(key >> 8) & {(1 << 8 * _TOP) - 1}").alias("top")
+    dealt = runs.select(top, "key", "n").repartition("top").sortWithinPartitions("top")
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _whole_contexts(batches):
+            codes, n0, n1, below = _deep_levels(keys, n)[-1].shorter(_TOP - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n0), pa.array(n1), pa.array(below)], names=["code", "n0", "n1", "below"])
+
+    sums = dealt.where("n > 0").mapInArrow(up, "code long, n0 double, n1 double, below double")
+    rows = sums.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toArrow().sort_by("code")
+    shallow = [_Level(rows["code"].to_numpy().astype(np.uint64), *[rows[c].to_numpy() for c in ("n0", "n1", "below")])]
+    for d in range(_TOP - 2, -1, -1):
+        shallow.append(_Level(*shallow[-1].shorter(d)))
+    shallow[-1].mix(np.zeros(len(shallow[-1].codes)), np.ones(len(shallow[-1].codes)))
+    for level, above in zip(shallow[-2::-1], shallow[:0:-1], strict=True):
+        level.mix(above.mixed[level.up], above.free[level.up])
+    for level in shallow:
+        level.n0 = level.n1 = level.weighted = level.stop = level.one = level.up = None
+    shared = spark.sparkContext.broadcast(shallow)
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shallow = shared.value
+        for keys, n in _whole_contexts(batches):
+            levels = _deep_levels(keys, n)
+            at, _ = shallow[0].find(levels[-1].codes & np.uint64((1 << 8 * _TOP) - 1))
+            if len(at):
+                levels[-1].mix(shallow[0].mixed[at], shallow[0].free[at])
+                for level, above in zip(levels[-2::-1], levels[:0:-1], strict=True):
+                    level.mix(above.mixed[level.up], above.free[level.up])
+            byte, context = keys & np.uint64(255), keys >> np.uint64(8) << np.uint64(8)
+            log = np.zeros(len(keys))
+            for k in range(8):
+                codes = context | (byte | np.uint64(256)) >> np.uint64(8 - k)
+                one = np.full(len(keys), 0.5)
+                left = np.arange(len(keys))
+                for d, level in zip(range(DEPTH, -1, -1), [*levels, *shallow], strict=True):
+                    at, ok = level.find(codes[left] & np.uint64((1 << 8 * (d + 1)) - 1))
+                    one[left[ok]] = level.mixed[at[ok]] + level.free[at[ok]] * 0.5 if ok.any() else 0.5
+                    left = left[~ok]
+                    if not len(left):
+                        break
+                one = np.clip(one, 1e-9, 1 - 1e-9)
+                log += np.log10(np.where(byte >> np.uint64(7 - k) & np.uint64(1), one, 1 - one))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(log)], names=["key", "log"])
+
+    return written(dealt.mapInArrow(down, "key long, log double"), "run-logs")
+
+
+class _Logs:
+    """Values of frequent runs by key, in open addressing: a look-up is a few gathers."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.logs = np.full(1 << self.bits, _EMPTY), np.zeros(1 << self.bits)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] == _EMPTY
+            self.keys[slot[free]] = keys[left[free]]
+            won = self.keys[slot] == keys[left]
+            self.logs[slot[won]] = logs[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value or 0, whether found)."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        known = there == keys
+        out = np.where(known, self.logs[slot], 0)
+        left = np.flatnonzero(~known & (there != _EMPTY))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            there, asked = self.keys[slot], keys[left]
+            hit = there == asked
+            known[left[hit]] = True
+            out[left[hit]] = self.logs[slot[hit]]
+            go = ~hit & (there != _EMPTY)
+            left, slot = left[go], slot[go]
+        return out, known
+
+
+_SCORED = "rid long, id long, held_out boolean, n_tokens long, n_common long, common_log double, score double, rare array<long>, runs array<long>"
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
@@ -243,8 +396,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     crc = F.crc32(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary"))
     texts = docs.select(col(id_col).cast("long").alias("id"), (crc % modulus == held).alias("held_out"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    counts = written(corpus_counts(texts.where("NOT held_out")), "corpus-counts")
-    tree = spark.sparkContext.broadcast(context_tree(counts.where("kind = 0")))
+    counts = written(corpus_counts(texts), "corpus-counts")
+    runs = counts.where("kind <> 1").groupBy("key").agg(F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("seen"))
+    logs = run_logs(runs)
+    places = counts.where("kind <> 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = runs.where(F.col("seen") >= max(1, -(-places // RUN_SHARE))).select("key")
+    near = logs.join(frequent, "key", "left_semi").toArrow()
+    tree = spark.sparkContext.broadcast(_Logs(near["key"].to_numpy().astype(np.uint64), near["log"].to_numpy()))
     words = counts.where("kind = 1").select("key", "n")
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     common = words.where(F.col("n") >= max(1, -(-size["n"] // WORD_SHARE))).toArrow()
@@ -268,12 +426,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     log[:-1] = np.where(known, logs[at], 0)
                 sums = np.bincount(row, log[:-1], minlength=len(n))
                 rare = np.concatenate([[0], np.cumsum(~known)])[first]
+                data, places, begin = _padded(piece.column(2))
+                asked_runs = _runs(data, places)
+                score, near = model.find(asked_runs)
+                far = np.concatenate([[0], np.cumsum(~near)])[begin]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rid + np.arange(len(n))), piece.column(0), piece.column(1), pa.array(n + 1), pa.array(np.bincount(row[known], minlength=len(n))), pa.array(sums),
-                        pa.array(model.score(piece.column(2))), pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(words[~known].view(np.int64))),
+                        pa.array(np.add.reduceat(score, begin[:-1]) if len(n) else np.empty(0)), pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(words[~known].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(far, pa.int32()), pa.array(asked_runs[~near].view(np.int64))),
                     ],
-                    names=["rid", "id", "held_out", "n_tokens", "n_common", "common_log", "score", "rare"],
+                    names=["rid", "id", "held_out", "n_tokens", "n_common", "common_log", "score", "rare", "runs"],
                 )
                 rid += len(n)
 
@@ -281,12 +444,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored = written(texts.select("id", "held_out", "text").mapInArrow(run, _SCORED), "scored")
     asked = scored.select("rid", F.explode("rare").alias("key"))
     found = asked.join(words, "key").groupBy("rid").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("n") + 1)).alias("rare_log"))
+    far = scored.select("rid", F.explode("runs").alias("key")).join(logs, "key").groupBy("rid").agg(F.sum("log").alias("far"))
     ends = words.where(F.col("key") == END_KEY).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     each = float(np.log10(size["n"] + size["v"] + 1))
     end_log = float(np.log10(ends + 1))
-    return scored.drop("rare").join(found, "rid", "left").select(
+    return scored.drop("rare", "runs").join(found, "rid", "left").join(far, "rid", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_common") + F.coalesce("n_rare", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(size["n"])).cast("long").alias("train_tokens"),
-        (F.col("common_log") + F.coalesce("rare_log", F.lit(0.0)) + end_log - F.col("n_tokens") * each).alias("base_score"), "score",
+        (F.col("common_log") + F.coalesce("rare_log", F.lit(0.0)) + end_log - F.col("n_tokens") * each).alias("base_score"), (F.col("score") + F.coalesce("far", F.lit(0.0))).alias("score"),
     )
 
 

@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from depscope import llm
@@ -404,6 +406,39 @@ def test_context_tree_is_exact():
     assert math.isclose(10.0 ** float(tree.log10[node, 2]), p, rel_tol=1e-4)
 
 
+def test_every_context_is_a_node(spark):
+    """Beyond 65,536 training bytes too, and with runs looked up by broadcast or by a join."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(500, 1500))) for _ in range(160)]
+    texts += ["abcq" * 2 + "zyx" * k + "é" + rng.choice("cvbn") * 3 for k in range(1, 40)] + ["qqqq", "", "never met 日本"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    counts = [Counter() for _ in range(context_tree.DEPTH + 1)]
+    for x, h in zip(texts, held, strict=True):
+        data = b"\xff" * context_tree.DEPTH + x.encode() + b"\xff"
+        for i in range(context_tree.DEPTH, len(data)) if not h else ():
+            for d in range(context_tree.DEPTH + 1):
+                counts[d][int.from_bytes(data[i - d : i], "big"), data[i]] += 1
+    assert sum(counts[0].values()) > 2 * 65536
+    levels = []
+    for c in counts:
+        keys = sorted({k for k, _ in c})
+        table = np.zeros((len(keys), 256))
+        at = {k: i for i, k in enumerate(keys)}
+        for (k, b), n in c.items():
+            table[at[k], b] = n
+        levels.append((np.array(keys, np.uint64), table))
+    want = context_tree.ContextTree(levels).score(pa.array(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    old = context_tree.RUN_SHARE, context_tree._RUNS
+    try:
+        for context_tree.RUN_SHARE, context_tree._RUNS in (old, (300, 50)):
+            found = {r["doc_id"]: r["score"] for r in context_tree.score_texts(docs).collect()}
+            assert len(found) == len(texts)
+            assert all(math.isclose(found[i], want[i], rel_tol=1e-4) for i in range(len(texts)))
+    finally:
+        context_tree.RUN_SHARE, context_tree._RUNS = old
+
+
 # repeated strings
 
 
