@@ -43,15 +43,24 @@ def distances(walk: DataFrame) -> DataFrame:
     return seen.groupBy("root_id", "node_id").agg(F.min("distance").alias("distance"))
 
 
-def closure(links: DataFrame, depth: int) -> DataFrame:
-    """(start, node) for every node reachable from start over links (a, b) in at most `depth` steps."""
-    links = links.select("a", "b").distinct()
+def _settled(df: DataFrame) -> DataFrame:
+    """The rows of df without their lineage: in the shared checkpoint folder, or on the executors where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def closure(links: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, node) for every node reachable from start over links (a, b): in at most `depth` steps, or in any number of them."""
+    links = _settled(links.select("a", "b").distinct())
     reach = front = links.select(F.col("a").alias("start"), F.col("b").alias("node"))
-    for _ in range(depth - 1):
-        front = front.join(links, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct().join(reach, ["start", "node"], "left_anti")
+    steps = 1
+    while depth is None or steps < depth:
+        front = _settled(front.join(links, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct().join(reach, ["start", "node"], "left_anti"))
         if front.isEmpty():
             break
         reach = reach.unionByName(front)
+        steps += 1
+        if steps % 8 == 0:
+            reach = _settled(reach)
     return reach
 
 

@@ -77,8 +77,8 @@ def audited(wanted: DataFrame, versions: DataFrame, advisories: DataFrame) -> Da
     return joined.withColumn("markers", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("ok"))))
 
 
-def feature_impact(features: DataFrame, dependencies: DataFrame, heavy: int = 5, depth: int = 8) -> DataFrame:
-    """Dependencies that each feature brings in beyond the ones that are not optional.
+def feature_impact(features: DataFrame, dependencies: DataFrame, heavy: int = 5) -> DataFrame:
+    """Dependencies that each feature brings in beyond the ones that are not optional, over chains of features of any length.
 
     features: (version_id, feature, target, is_dependency); dependencies: (version_id, name, optional).
     """
@@ -86,7 +86,7 @@ def feature_impact(features: DataFrame, dependencies: DataFrame, heavy: int = 5,
     links = features.where("NOT is_dependency").select(node("feature").alias("a"), node("target").alias("b"))
     starts = features.select(node("feature").alias("a"), "version_id", "feature").distinct()
     own = starts.select("a", F.col("a").alias("b"))
-    reach = closure(links, depth).select(F.col("start").alias("a"), F.col("node").alias("b")).unionByName(own).distinct()
+    reach = closure(links).select(F.col("start").alias("a"), F.col("node").alias("b")).unionByName(own).distinct()
     brings = features.where("is_dependency").select(node("feature").alias("b"), F.col("target").alias("name"))
     needed = dependencies.groupBy("version_id", "name").agg(F.bool_and("optional").alias("optional")).where("optional").select("version_id", "name")
     pairs = starts.join(reach, "a").join(brings, "b").select("version_id", "feature", "name").distinct().join(needed, ["version_id", "name"])

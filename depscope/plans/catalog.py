@@ -530,7 +530,19 @@ need AS (SELECT version_id, name FROM f GROUP BY 1, 2 HAVING bool_and(optional))
 hit AS (SELECT s.version_id, s.feature, f.name FROM s JOIN f ON f.version_id = s.version_id AND (f.feature = s.feature OR (s.feature = 'dev' AND f.feature = 'build')) JOIN need ON need.version_id = f.version_id AND need.name = f.name)
 SELECT s.version_id, s.feature, coalesce(string_agg(DISTINCT hit.name, ',' ORDER BY hit.name), '') AS brings, count(DISTINCT hit.name) >= 2 AS heavy FROM s LEFT JOIN hit USING (version_id, feature) GROUP BY 1, 2""")
 def feature_impact(r):
-    base = r.edges.where("version_id < 400").select("version_id", F.col("kind").alias("feature"), F.concat(F.lit("p"), "target_id").alias("name"), "optional").distinct()
+    return _impact(r.edges.where("version_id < 400"))
+
+
+@query("""WITH f AS (SELECT DISTINCT version_id, kind AS feature, 'p' || target_id AS name, optional FROM edges), link AS (SELECT DISTINCT version_id, 'dev' AS a, 'build' AS b FROM f WHERE feature = 'dev'),
+need AS (SELECT version_id, name FROM f GROUP BY 1, 2 HAVING bool_and(optional)), s AS (SELECT DISTINCT version_id, feature FROM f UNION SELECT version_id, 'dev' FROM link),
+hit AS (SELECT s.version_id, s.feature, f.name FROM s JOIN f ON f.version_id = s.version_id AND (f.feature = s.feature OR (s.feature = 'dev' AND f.feature = 'build')) JOIN need ON need.version_id = f.version_id AND need.name = f.name)
+SELECT s.version_id, s.feature, coalesce(string_agg(DISTINCT hit.name, ',' ORDER BY hit.name), '') AS brings, count(DISTINCT hit.name) >= 2 AS heavy FROM s LEFT JOIN hit USING (version_id, feature) GROUP BY 1, 2""")
+def feature_impact_all(r):
+    return _impact(r.edges)
+
+
+def _impact(edges: DataFrame) -> DataFrame:
+    base = edges.select("version_id", F.col("kind").alias("feature"), F.concat(F.lit("p"), "target_id").alias("name"), "optional").distinct()
     own = base.select("version_id", "feature", F.col("name").alias("target"), F.lit(True).alias("is_dependency"))
     chain = base.where("feature = 'dev'").select("version_id", "feature", F.lit("build").alias("target"), F.lit(False).alias("is_dependency")).distinct()
     return resolve.feature_impact(own.unionByName(chain), base.select("version_id", "name", "optional"), heavy=2).select("version_id", "feature", F.array_join("brings", ",").alias("brings"), "heavy")

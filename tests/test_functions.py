@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from depscope import session
 from depscope.functions import advisory, semver
 from depscope.functions import text as X
-from depscope.operators import api, graph
+from depscope.operators import api, graph, resolve
 
 
 def one(spark, column):
@@ -109,3 +109,20 @@ def test_closure(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "a string, b string")
     found = {(r["start"], r["node"]) for r in graph.closure(links, 8).collect()}
     assert found == {(p, q) for p in "abc" for q in "abc"} | {("x", "y")}
+
+
+def test_feature_impact_of_long_chains(spark):
+    """Features enable one another over 20 steps and in a circle; the last one brings a dependency in."""
+    links = [(1, f"f{i}", f"f{(i + 1) % 21}", False) for i in range(21)] + [(1, "f20", "late", True), (2, "f0", "f1", False)]
+    features = spark.createDataFrame(links, "version_id long, feature string, target string, is_dependency boolean")
+    dependencies = spark.createDataFrame([(1, "late", True), (2, "late", True)], "version_id long, name string, optional boolean")
+    found = {(r["version_id"], r["feature"]): r["brings"] for r in resolve.feature_impact(features, dependencies).collect()}
+    assert found == {(1, f"f{i}"): ["late"] for i in range(21)} | {(2, "f0"): []}
+
+
+def test_feature_impact_of_all_versions(spark):
+    from depscope.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    found = catalog.QUERIES["feature_impact_all"](spark, folder).select("version_id").distinct().count()
+    assert found == spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey").distinct().count()
