@@ -316,6 +316,11 @@ def graph_dependents(r):
     return graph.walk_dependents(r.packages.where("package_id < 40"), r.edges, r.versions, 2)
 
 
+@query(f"WITH {_BACK}, {_WALK2} SELECT w.* FROM w JOIN packages p ON p.package_id = w.root_id")
+def graph_dependents_all(r):
+    return graph.walk_dependents(r.packages, r.edges, r.versions, 2)
+
+
 @query(f"WITH {_HOP}, {_WALK2} SELECT root_id, node_id, min(distance) AS distance FROM (SELECT root_id, to_id AS node_id, depth AS distance FROM w UNION ALL SELECT root_id, root_id, 0 FROM w) GROUP BY 1, 2")
 def graph_distances(r):
     return graph.distances(graph.walk_dependencies(r.packages, r.edges, r.versions, 2))

@@ -126,3 +126,13 @@ def test_feature_impact_of_all_versions(spark):
     folder = "/root/testdata/sf0.001"
     found = catalog.QUERIES["feature_impact_all"](spark, folder).select("version_id").distinct().count()
     assert found == spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey").distinct().count()
+
+
+def test_dependents_of_all_packages(spark):
+    from depscope.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    packages = spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey")
+    targets = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr(f"l_partkey % {packages.count()} AS c_custkey")
+    found = {r["root_id"] for r in catalog.QUERIES["graph_dependents_all"](spark, folder).select("root_id").distinct().collect()}
+    assert max(found) >= 40 and found == {r["c_custkey"] for r in packages.join(targets, "c_custkey", "left_semi").collect()}
