@@ -155,3 +155,10 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
             part = np.where(k < length, part, np.uint64(0))
         h = h * np.uint64(0xC2B2AE3D27D4EB4F) + part
     return mix(h), out_first
+
+
+def ragged_take(flat: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, first) of the lists `which`, one after the other; list i is flat[first[i] : first[i + 1]]."""
+    size = (first[1:] - first[:-1])[which]
+    out_first = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.arange(out_first[-1]) + np.repeat(first[which] - out_first[:-1], size)], out_first

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .rows import picked
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LOSS_ROLE = "assistant"
@@ -57,7 +57,7 @@ def loss_mask(spans: list[tuple[int, int]], offsets: list[tuple[int, int]]) -> l
 
 
 def masked_text(formatted: str, offsets: list[tuple[int, int]], mask: list[int]) -> list[str]:
-    """The unescaped text of each run of tokens under the mask, as their offsets give it."""
+    """The unescaped text of each run of tokens under the mask, as their offsets give it; raises where a tokenizer's offsets leave out text."""
     out, run = [], None
     for (a, b), on in zip(offsets, mask, strict=True):
         if on and run and a <= run[1]:
@@ -93,7 +93,7 @@ SCHEMA = "conv_id long, n_turns long, formatted string, ids array<int>, loss_mas
 
 def format_conversations(rows: DataFrame, tokenizer: str) -> DataFrame:
     """One row per conversation of rows (conv_id, turn, role, text), with SCHEMA. tokenizer: path of a tokenizers file."""
-    own = rows.select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
+    own = picked(rows, "conv_id", "turn", "role", "text").select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
     turns = own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     turns = turns.select("conv_id", F.transform("turns", lambda t: F.coalesce(t["role"], F.lit(""))).alias("roles"), F.transform("turns", lambda t: F.coalesce(t["text"], F.lit(""))).alias("texts"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -117,7 +117,6 @@ def format_conversations(rows: DataFrame, tokenizer: str) -> DataFrame:
                     names=names,
                 )
 
-    small_batches(rows.sparkSession, 64)
     return turns.mapInArrow(run, SCHEMA)
 
 

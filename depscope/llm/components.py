@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import release, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(state) == before or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b"), F.col("b")).distinct())
-        before = tuple(state)
-        edges = written(_small_star(_large_star(edges)), "edges")
+        before, last = tuple(state), edges
+        edges = written(_small_star(_large_star(last)), "edges")
+        release(last)

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .rows import col
-from .scratch import small_batches, written
+from .rows import picked
+from .scratch import written
 
 DEPTH = 5
 END = 0xFF
@@ -135,7 +135,6 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
             s.settle()
             yield from s.rows(kind)
 
-    small_batches(texts.sparkSession)
     return texts.select("held_out", "text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -303,7 +302,6 @@ def _whole_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndar
 def run_logs(runs: DataFrame) -> DataFrame:
     """(key, log): log10 probability of the last byte of each run after the others; runs: (key, n), n of the training texts."""
     spark = runs.sparkSession
-    small_batches(spark, 1 << 16)
     top = F.expr(f"(key >> 8) & {(1 << 8 * _TOP) - 1}").alias("top")
     dealt = runs.select(top, "key", "n").repartition("top").sortWithinPartitions("top")
 
@@ -349,7 +347,7 @@ def run_logs(runs: DataFrame) -> DataFrame:
                 log += np.log10(np.where(byte >> np.uint64(7 - k) & np.uint64(1), one, 1 - one))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(log)], names=["key", "log"])
 
-    return written(dealt.mapInArrow(down, "key long, log double"), "run-logs")
+    return written(dealt.mapInArrow(down, "key long, log double"), "run-logs", 1 << 16)
 
 
 class _Logs:
@@ -394,8 +392,8 @@ _SCORED = "rid long, id long, held_out boolean, n_tokens long, n_common long, co
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
     """Scores of all rows of docs, under models of those with crc32(id as text) mod modulus other than held."""
     spark = docs.sparkSession
-    crc = F.crc32(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary"))
-    texts = docs.select(col(id_col).cast("long").alias("id"), (crc % modulus == held).alias("held_out"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    texts = picked(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), (crc % modulus == held).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counts = written(corpus_counts(texts), "corpus-counts")
     runs = counts.where("kind <> 1").groupBy("key").agg(F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("seen"))
     logs = run_logs(runs)
@@ -440,7 +438,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
                 rid += len(n)
 
-    small_batches(spark)
     scored = written(texts.select("id", "held_out", "text").mapInArrow(run, _SCORED), "scored")
     asked = scored.select("rid", F.explode("rare").alias("key"))
     found = asked.join(words, "key").groupBy("rid").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("n") + 1)).alias("rare_log"))

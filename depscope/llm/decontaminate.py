@@ -1,17 +1,18 @@
 """Benchmark decontamination: an FM-index per training shard, searched backwards for the test phrases.
 
-Words are maximal runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. A phrase is `window` consecutive words of
-an item; an item with fewer words, but not none, is one phrase. A task cuts its documents into shards of SHARD_BYTES
-of text. For each block of phrases a shard's words become symbols: 0 for words that no phrase of the block holds,
-which also part documents. Runs between zeros too short for any phrase cannot hold an occurrence and collapse into
-one zero. The index over the rest finds every phrase by backward search through wavelet ranks, places come from
-sampled suffixes, and the words that they cover merge into removal spans.
+Words are maximal runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z, compared by 64 bits of hash. A phrase is
+`window` consecutive words of an item; an item with fewer words, but not none, is one phrase. A task cuts its documents
+into shards of SHARD_BYTES of text. All words of a shard become symbols of its own vocabulary, with a separator after
+each document, and are indexed once: suffix sort, wavelet ranks, sampled positions. Backward search finds the range of
+every phrase, places come from the sampled suffixes, and the words that they cover merge into removal spans.
 
-The benchmark is a stated query set: it passes through the driver in blocks of BLOCK_WORDS words, never whole, and
-each block is broadcast; documents are read once and never shuffled, whatever the number of blocks.
+The benchmark is a stated query set. It passes through the driver in blocks of BLOCK_WORDS words, one in memory at a
+time and broadcast alone: a pass over the documents marks what one block finds, and between passes the marks are
+written to the shared folder and the block is given back. One block, as here, is one pass without any shuffle.
 
 Defined cases: null or wordless texts have no words and no hits; items with a null id or no word are skipped;
-repeated item ids count once, repeated documents are judged row by row; either table may be empty.
+repeated item ids count once, repeated documents are judged row by row; a long text is a shard of its own; either table
+may be empty. Columns of any name are carried along; one with the name of a new column, in any case, is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from pyspark.sql import types as T
 
 from . import bytesops as B
 from .fm_index import FMIndex
-from .rows import col, fresh
-from .scratch import small_batches
+from .rows import numbered, picked, place_of, renewed
+from .scratch import release, written
 
 SHARD_BYTES = 8 << 20
-BLOCK_WORDS = 1 << 18
+BLOCK_WORDS = 1 << 20
 
 FIELDS = [
     *(T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")),
@@ -38,6 +39,8 @@ FIELDS = [
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]), False)),
     T.StructField("cleaned", T.StringType()),
 ]
+#: What one pass leaves for the next: hit words as starts and ends in turn, and the items found.
+_STATE = [T.StructField("hits", T.ArrayType(T.LongType(), False)), T.StructField("items", T.ArrayType(T.StringType(), False))]
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +64,8 @@ class Phrases:
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[:-1], count)
         length = np.repeat(np.minimum(n, window), count)
         place = np.arange(window) - (window - length)[:, None]
-        rows = np.where(place >= 0, np.append(symbols, 0)[np.minimum(at[:, None] + np.maximum(place, 0), len(symbols))], 0)
+        symbols = np.append(symbols, 0).astype(np.int32)
+        rows = np.where(place >= 0, symbols[np.minimum(at[:, None] + np.maximum(place, 0), len(symbols) - 1)], 0).astype(np.int32)
         self.patterns, self.which = np.unique(rows, axis=0, return_inverse=True)
         self.which = self.which.reshape(-1)
         self.lengths = (self.patterns > 0).sum(axis=1)
@@ -75,7 +79,7 @@ def phrase_blocks(benchmark: DataFrame, window: int, id_col: str = "item_id", te
     ids: list[str] = []
     texts: list[str] = []
     held = 0
-    rows = benchmark.select(col(id_col).cast("string").alias("id"), col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = picked(benchmark, id_col, text_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     for r in rows.toLocalIterator():
         ids.append(r["id"])
         texts.append(r["text"])
@@ -87,32 +91,33 @@ def phrase_blocks(benchmark: DataFrame, window: int, id_col: str = "item_id", te
         yield Phrases(ids, texts, window)
 
 
-def _search(block: Phrases, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, phrase) of every occurrence of the block's phrases in a shard."""
-    none = np.empty(0, np.int64)
-    if not len(words) or not len(block.patterns):
-        return none, none
-    at = np.minimum(np.searchsorted(block.vocabulary, words), len(block.vocabulary) - 1)
-    symbol = np.where(block.vocabulary[at] == words, at + 1, 0)
-    # runs of known words within a document, at least as long as the shortest phrase
-    known = symbol > 0
-    begin = known.copy()
-    begin[1:] &= ~known[:-1]
-    inner = first[1:-1][first[1:-1] < len(words)]
-    begin[inner] = known[inner]
-    run = np.cumsum(begin) - 1
-    length = np.bincount(run[known], minlength=int(run[-1]) + 1 if len(run) else 0)
-    keep = np.flatnonzero(known)
-    keep = keep[length[run[keep]] >= block.lengths.min()]
-    if not len(keep):
-        return none, none
-    gap = np.flatnonzero(np.diff(run[keep]) != 0) + 1
-    index = FMIndex(np.append(np.insert(symbol[keep], gap, 0), 0))
-    place = np.append(np.insert(keep, gap, -1), -1)
-    low, high = index.search(block.patterns, block.lengths)
-    n = np.maximum(high - low, 0)
-    rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    return place[index.locate(rows)], np.repeat(np.arange(len(n)), n)
+class Shard:
+    """The words of some pieces of text and the FM-index over all of them."""
+
+    def __init__(self, pieces: list[pa.RecordBatch], at: int):
+        self.found = [_words(p.column(at)) for p in pieces]
+        words = np.concatenate([x[0] for x in self.found])
+        self.base = np.cumsum([0, *(len(x[0]) for x in self.found)])
+        self.first = np.concatenate([[0], *(x[3][1:] + b for x, b in zip(self.found, self.base, strict=False))])
+        self.vocabulary, symbols = np.unique(words, return_inverse=True)
+        # a separator after each document
+        self.place = np.arange(len(words)) + B.row_of(self.first)
+        sequence = np.zeros(len(words) + len(self.first) - 1, np.int64)
+        sequence[self.place] = symbols + 1
+        self.index = FMIndex(sequence) if len(words) else None
+
+    def search(self, block: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, phrase) of every occurrence of the block's phrases."""
+        if self.index is None or not len(block.patterns):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, block.vocabulary), len(self.vocabulary) - 1)
+        symbol = np.append(0, np.where(self.vocabulary[at] == block.vocabulary, at + 1, 0))
+        # a phrase with a word that the shard does not hold is not in it
+        here = np.flatnonzero(((symbol[block.patterns] > 0) == (block.patterns > 0)).all(axis=1))
+        low, high = self.index.search(symbol[block.patterns[here]], block.lengths[here])
+        n = np.maximum(high - low, 0)
+        rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        return np.searchsorted(self.place, self.index.locate(rows)), np.repeat(here, n)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[pa.RecordBatch]]:
@@ -128,17 +133,35 @@ def _shards(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[pa.Reco
         yield held
 
 
-def _marked(pieces: list[pa.RecordBatch], at: int, blocks: list, with_text: bool) -> Iterator[list[pa.Array]]:
-    """The columns FIELDS for each piece of one shard."""
-    found = [_words(p.column(at)) for p in pieces]
-    words = np.concatenate([x[0] for x in found])
-    base = np.cumsum([0, *(len(x[0]) for x in found)])
-    first = np.concatenate([[0], *(x[3][1:] + b for x, b in zip(found, base, strict=False))])
-    cover = np.zeros(len(words) + 1, np.int64)
+def _runs(mine: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) word of each maximal run of hit words; runs end with their document."""
+    begin, finish = mine.copy(), mine.copy()
+    begin[1:] &= ~mine[:-1]
+    cut = own[1:-1][own[1:-1] < len(mine)]
+    begin[cut] = mine[cut]
+    finish[:-1] &= ~mine[1:]
+    cut = own[1:-1][own[1:-1] > 0] - 1
+    finish[cut] = mine[cut]
+    return np.flatnonzero(begin), np.flatnonzero(finish)
+
+
+def _marked(pieces: list[pa.RecordBatch], at: int, block: Phrases | None, with_text: bool, last: bool) -> Iterator[list[pa.Array]]:
+    """For each piece of one shard the columns FIELDS, or _STATE if more blocks follow. Columns at + 1 and at + 2, if there, are _STATE."""
+    shard = Shard(pieces, at)
+    first = shard.first
+    cover = np.zeros(first[-1] + 1, np.int64)
     items: dict[int, set[str]] = {}
-    for b in blocks:
-        block = b.value
-        start, phrase = _search(block, words, first)
+    if pieces[0].num_columns > at + 1:
+        row = 0
+        for piece in pieces:
+            for hits, names in zip(piece.column(at + 1).to_pylist(), piece.column(at + 2).to_pylist(), strict=True):
+                np.add.at(cover, np.array(hits[::2], np.int64) + first[row], 1)
+                np.add.at(cover, np.array(hits[1::2], np.int64) + first[row], -1)
+                if names:
+                    items[row] = set(names)
+                row += 1
+    if block is not None:
+        start, phrase = shard.search(block)
         np.add.at(cover, start, 1)
         np.add.at(cover, start + block.lengths[phrase], -1)
         doc = np.searchsorted(first, start, side="right") - 1
@@ -147,20 +170,17 @@ def _marked(pieces: list[pa.RecordBatch], at: int, blocks: list, with_text: bool
     hit = np.cumsum(cover[:-1]) > 0
     n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[first])
     row = 0
-    for piece, (_, starts, ends, own, off), b in zip(pieces, found, base, strict=False):
+    for piece, (_, starts, ends, own, off), b in zip(pieces, shard.found, shard.base, strict=False):
         n = piece.num_rows
-        mine = hit[b : b + len(starts)]
-        begin = mine.copy()
-        begin[1:] &= ~mine[:-1]
-        cut = own[1:-1][own[1:-1] < len(mine)]
-        begin[cut] = mine[cut]
-        finish = mine.copy()
-        finish[:-1] &= ~mine[1:]
-        cut = own[1:-1][own[1:-1] > 0] - 1
-        finish[cut] = mine[cut]
-        s, e = np.flatnonzero(begin), np.flatnonzero(finish)
+        s, e = _runs(hit[b : b + len(starts)], own)
         span_first = np.searchsorted(s, own)
         doc = np.searchsorted(own, s, side="right") - 1
+        names = pa.array([sorted(items.get(row + i, ())) for i in range(n)], pa.list_(pa.string()))
+        if not last:
+            pairs = np.stack([s - own[doc], e + 1 - own[doc]], axis=1).reshape(-1)
+            yield [pa.ListArray.from_arrays(pa.array(2 * span_first, pa.int32()), pa.array(pairs, pa.int64())), names]
+            row += n
+            continue
         left, right = starts[s] - off[doc], ends[e] - off[doc]
         cleaned = pa.nulls(n, pa.string())
         if with_text:
@@ -172,44 +192,55 @@ def _marked(pieces: list[pa.RecordBatch], at: int, blocks: list, with_text: bool
                     done = right[k]
                 texts[i] = b"".join([*parts, raw[done:]]).decode()
             cleaned = pa.array(texts, pa.string())
-        names = [sorted(items.get(row + i, ())) for i in range(n)]
         yield [
-            pa.array(np.diff(own)), pa.array(n_hit[row : row + n]), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())),
+            pa.array(np.diff(own)), pa.array(n_hit[row : row + n]), pa.array(np.diff(names.offsets.to_numpy()).astype(np.int64)), names,
             pa.ListArray.from_arrays(pa.array(span_first, pa.int32()), pa.StructArray.from_arrays([pa.array(left), pa.array(right)], names=["start", "end"])),
             cleaned,
         ]
         row += n
 
 
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
-    """docs with the columns FIELDS: hit words, items found, byte spans to remove, and (with_text) the text without them.
-
-    An input column with the name of a new one is replaced.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, window)]
-    new = {f.name for f in FIELDS}
-    wanted = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    source = docs.select(*[col(c) for c in wanted], col(text).cast("string").alias(fresh("__text", wanted)))
-    n = len(wanted)
-    schema = T.StructType([*source.schema.fields[:n], *FIELDS])
+def _pass(source: DataFrame, n: int, block, with_text: bool, last: bool) -> DataFrame:
+    """source has n columns to carry, the text, and after the first pass _STATE. block: a broadcast of Phrases, or None."""
+    carried = n if last else n + 1
+    schema = T.StructType([*source.schema.fields[:carried], *[T.StructField(f"v_{f.name}", f.dataType) for f in (FIELDS if last else _STATE)]])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pieces in _shards(batches, n):
-            for piece, made in zip(pieces, _marked(pieces, n, blocks, with_text), strict=True):
-                yield pa.RecordBatch.from_arrays([*piece.columns[:n], *made], names=names)
+            for piece, made in zip(pieces, _marked(pieces, n, block.value if block else None, with_text, last), strict=True):
+                yield pa.RecordBatch.from_arrays([*piece.columns[:carried], *made], names=names)
 
     return source.mapInArrow(run, schema)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """docs without the words that benchmark phrases cover, with the columns of docs."""
-    other = {f.name: f"__dc_{f.name}" for f in FIELDS}
-    renamed = docs.select(*[col(c).alias(other.get(c, c)) for c in docs.columns])
-    marked = mark_contamination(renamed, benchmark, window)
-    return marked.select(*[F.col("cleaned").alias("text") if c == "text" else F.length("cleaned").cast("long").alias(c) if c == "n_chars" else col(other.get(c, c)).alias(c) for c in docs.columns])
+def _all_passes(docs: DataFrame, places: list[int], text: str, benchmark: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """Columns c<place>, then v_<field>."""
+    source = numbered(docs).select(*[F.col(f"c{i}") for i in places], F.col(f"c{place_of(docs, text)}").cast("string").alias("text"))
+    blocks = phrase_blocks(benchmark, window)
+    block, following = next(blocks, None), next(blocks, None)
+    before = None
+    while following is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        source = written(_pass(source, len(places), shared, with_text, False), "decontamination-marks")
+        shared.unpersist()
+        if before is not None:
+            release(before)
+        before, block, following = source, following, next(blocks, None)
+    return _pass(source, len(places), docs.sparkSession.sparkContext.broadcast(block) if block else None, with_text, True)
+
+
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
+    """docs with the columns FIELDS: hit words, items found, byte spans to remove, and (with_text) the text without them."""
+    new = {f.name for f in FIELDS}
+    places = [i for i in (range(len(docs.columns)) if keep is None else [place_of(docs, c) for c in keep]) if docs.columns[i].lower() not in new]
+    return _all_passes(docs, places, text, benchmark, window, with_text).toDF(*[docs.columns[i] for i in places], *[f.name for f in FIELDS])
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
+    """docs without the words that benchmark phrases cover, with the columns of docs, whatever their names."""
+    made = _all_passes(docs, list(range(len(docs.columns))), text, benchmark, window, True)
+    return made.select(*renewed(docs, place_of(docs, text), F.col("v_cleaned"))).toDF(*docs.columns)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

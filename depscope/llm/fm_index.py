@@ -9,25 +9,33 @@ import numpy as np
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Sorted suffixes by prefix doubling; each separator counts as a symbol of its own, in order of place."""
+    """Sorted suffixes; each separator counts as a symbol of its own, in order of place.
+
+    Buckets of suffixes that agree so far are numbered by their first place in the order. A round sorts each bucket by
+    the bucket numbers of the suffixes that start as many symbols later as the bucket agrees on; buckets of one are done.
+    """
     n = len(symbols)
     gap = symbols == 0
-    rank = np.where(gap, np.cumsum(gap) - 1, symbols.astype(np.int64) + int(gap.sum()))
-    k = 1
-    while True:
-        later = np.zeros(n, np.int64)
-        later[: n - k if k < n else 0] = rank[k:] + 1
-        key = rank * (int(later.max(initial=0)) + 1) + later
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, np.int64)
-        new[0] = 0
-        new[1:] = key[order][1:] != key[order][:-1]
-        np.cumsum(new, out=new)
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if n == 0 or new[-1] == n - 1:
-            return order
-        k *= 2
+    key = np.where(gap, np.cumsum(gap) - 1, symbols.astype(np.int64) + int(gap.sum()))
+    order, slots = np.empty(n, np.int64), np.arange(n)
+    rank = np.zeros(n + 1, np.int64)
+    open_, k = slots, 0
+    while len(open_):
+        by = np.argsort(key)
+        open_, key = open_[by], key[by]
+        order[slots] = open_
+        new = np.empty(len(key), bool)
+        new[0] = True
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(key)))
+        rank[open_] = np.repeat(slots[first], size) + 1
+        more = np.repeat(size > 1, size)
+        open_, slots = open_[more], slots[more]
+        k = max(1, 2 * k)
+        # past the end nothing follows: 0
+        key = rank[open_] << 32 | rank[np.minimum(open_ + k, n)]
+    return order
 
 
 class Bits:

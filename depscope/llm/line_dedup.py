@@ -3,11 +3,14 @@
 DataFrame operations only. A page is a row; a line is what stands between \\n, compared without blanks, tabs and
 carriage returns at its ends; empty lines are never counted or dropped. Lines are keyed by 128 bits of hash, so the
 text itself is never shuffled, and counts are summed within each task first. What is left after the ratio is at
-most (lines of a page) / ratio keys for each host; it is broadcast if their whole number is small, else joined by
-host, where the pages of a hot host may be split.
-
-Defined cases: a null text stays null; pages of a null host are one host; repeated rows count as pages of their own;
-an empty table gives an empty result; columns of any other name are carried along.
+most (lines of a page) / ratio keys for each host. If their whole number is small, each host's keys are broadcast
+and held against the lines where the pages are read. Else each page's own distinct keys are joined with the list by
+host and key, so that neither a hot host nor a long list meets in one task.
+
+Defined cases: a null text stays null; pages of a null host are one host; repeated rows count as pages of their own; a
+host of fewer than MIN_PAGES pages loses nothing; a text of any length is one row, its lines an array; an empty table
+gives an empty result; columns of any name are carried along, and one with the name of a new column, in any case, is
+replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rows import col
+from .rows import numbered, picked, place_of, renewed
 from .scratch import written
 
 #: A line goes if it stands on over RATIO_NUM / RATIO_DEN of its host's pages, and on MIN_PAGES at least.
@@ -24,49 +27,68 @@ BROADCAST_LINES = 200_000
 
 
 def _key(line: Column) -> Column:
-    bare = F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
+    bare = F.trim(line, F.lit(" \t\r"))
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b")))
 
 
-def _keys(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), _key)
+def _distinct_keys(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(F.split(text, "\n"), _key), lambda k: k.isNotNull()))
 
 
 def boilerplate_lines(pages: DataFrame, host: str, text: str, num: int = RATIO_NUM, den: int = RATIO_DEN, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, key, pages): the keys of lines beyond the ratio."""
-    own = pages.select(col(host).alias("host"), col(text).cast("string").alias("text"))
-    lines = own.select("host", F.explode(F.array_distinct(F.filter(_keys(F.col("text")), lambda k: k.isNotNull()))).alias("key"))
+    own = picked(pages, host, text).toDF("host", "text").withColumn("text", F.col("text").cast("string"))
+    lines = own.select("host", F.explode(_distinct_keys(F.col("text"))).alias("key"))
     counts = lines.groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     totals = own.groupBy("host").agg(F.count("*").alias("total")).withColumnRenamed("host", "of")
     return counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(den * F.col("pages") > num * F.col("total")).select("host", "key", "pages")
 
 
+def _marked(pages: DataFrame, host: str, text: str, **ratio) -> DataFrame:
+    """numbered(pages) with lines, an array of (line, whether it goes); null for a null text."""
+    found = written(boilerplate_lines(pages, host, text, **ratio), "boilerplate")
+    work = numbered(pages)
+    whole, own_host = (F.col(f"c{place_of(pages, c)}") for c in (text, host))
+    if found.count() <= BROADCAST_LINES:
+        bad = found.groupBy(F.col("host").alias("bp_host")).agg(F.collect_list("key").alias("bp_keys"))
+        joined = work.join(F.broadcast(bad), own_host.eqNullSafe(F.col("bp_host")), "left").drop("bp_host")
+    else:
+        # each page asks for its own keys; a page that finds none is not in the answer
+        work = written(work.withColumn("bp_page", F.monotonically_increasing_id()), "pages")
+        asked = work.select("bp_page", own_host.alias("of"), F.explode(_distinct_keys(whole.cast("string"))).alias("asked"))
+        hit = asked.join(found, F.col("of").eqNullSafe(F.col("host")) & (F.col("asked") == F.col("key")))
+        joined = work.join(hit.groupBy("bp_page").agg(F.collect_list("key").alias("bp_keys")), "bp_page", "left").drop("bp_page")
+    gone = lambda line: F.coalesce(F.array_contains("bp_keys", _key(line)), F.lit(False))
+    lines = F.transform(F.split(whole.cast("string"), "\n"), lambda x: F.struct(x.alias("line"), (F.col("bp_keys").isNotNull() & gone(x)).alias("gone")))
+    return joined.withColumn("lines", lines).drop("bp_keys")
+
+
+def _kept_text() -> Column:
+    return F.array_join(F.transform(F.filter("lines", lambda x: ~x["gone"]), lambda x: x["line"]), "\n")
+
+
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", out: str = "text", lines: str | None = None, dropped: str | None = None, **ratio) -> DataFrame:
     """pages with column `out`: the text without its host's boilerplate lines.
 
     lines, dropped: names of columns for the numbers of lines that are not empty and of those dropped.
-    An input column with the name of a new one is replaced.
     """
-    found = written(boilerplate_lines(pages, host, text, **ratio), "boilerplate")
-    small = found.count() <= BROADCAST_LINES
-    by_host = found.groupBy("host").agg(F.collect_list("key").alias("__bp_keys"), F.lit(1).alias("__bp_any")).withColumnRenamed("host", "__bp_host")
-    joined = pages.join(F.broadcast(by_host) if small else by_host, col(host).eqNullSafe(F.col("__bp_host")), "left")
-    whole = col(text).cast("string")
-    bad = lambda line: F.coalesce(F.array_contains(F.col("__bp_keys"), _key(line)), F.lit(False))
-    kept = F.filter(F.split(whole, "\n"), lambda x: ~bad(x))
-    new = {out: F.when(F.col("__bp_any").isNull(), whole).otherwise(F.array_join(kept, "\n"))}
+    new = {out: _kept_text()}
     if lines:
-        new[lines] = F.coalesce(F.size(F.filter(_keys(whole), lambda k: k.isNotNull())).cast("long"), F.lit(0).cast("long"))
+        full = F.filter("lines", lambda x: F.trim(x["line"], F.lit(" \t\r")) != "")
+        new[lines] = F.coalesce(F.size(full).cast("long"), F.lit(0).cast("long"))
     if dropped:
-        gone = F.size(F.split(whole, "\n")) - F.size(kept)
-        new[dropped] = F.when(F.col("__bp_any").isNull() | whole.isNull(), F.lit(0)).otherwise(gone).cast("long")
-    return joined.select(*[col(c) for c in pages.columns if c not in new], *[v.alias(k) for k, v in new.items()])
-
-
-def deduplicated(docs: DataFrame, **ratio) -> DataFrame:
-    """docs without boilerplate lines, with the columns of docs in their order."""
-    made = drop_boilerplate(docs, **ratio)
-    return made.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else col(c) for c in docs.columns])
+        new[dropped] = F.coalesce(F.size(F.filter("lines", lambda x: x["gone"])).cast("long"), F.lit(0).cast("long"))
+    replaced = {k.lower() for k in new}
+    places = [i for i, c in enumerate(pages.columns) if c.lower() not in replaced]
+    marked = _marked(pages, host, text, **ratio)
+    made = marked.select(*[F.col(f"c{i}") for i in places], *new.values())
+    return made.toDF(*[pages.columns[i] for i in places], *new)
+
+
+def deduplicated(docs: DataFrame, host: str = "source", text: str = "text", **ratio) -> DataFrame:
+    """docs without boilerplate lines, with the columns of docs in their order; n_chars, if there, follows the text."""
+    marked = _marked(docs, host, text, **ratio).withColumn("kept", _kept_text())
+    return marked.select(*renewed(docs, place_of(docs, text), F.col("kept"))).toDF(*docs.columns)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,19 +29,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bytesops as B
 from .components import components
-from .rows import col
+from .rows import numbered, picked, place_of
 from .scratch import if_small, release, small_batches, written
 
 HEAVY_LIMIT = 1 << 16
 LOCAL_COUNT = 4
 CHUNK = 1 << 21
 SKETCH = [f"s{k}" for k in range(8)]
+#: A set's size and 128 bits of hash; rows that agree on them have equal sets.
+SIGNATURE = ["n", "sig_a", "sig_b"]
 #: Narrow tables of at most so many rows, counted first, may be broadcast; larger ones are joined by shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -61,7 +62,7 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
+    return picked(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def heavy_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +89,9 @@ def heavy_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
         if n:
             yield counted()
 
-    small_batches(texts.sparkSession)
-    rows = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY_LIMIT).toArrow()
+    counts = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    with small_batches(texts.sparkSession):
+        rows = counts.orderBy(F.desc("n"), "h").limit(HEAVY_LIMIT).toArrow()
     h = rows["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     return h[order], (len(h) - np.arange(len(h)))[order].astype(np.int64)
@@ -155,7 +157,6 @@ def set_rows(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     names=["id", "n", "sig_a", "sig_b", "prefix", "sketch", *SKETCH],
                 )
 
-    small_batches(texts.sparkSession)
     return texts.select("id", "text").mapInArrow(run, _SET)
 
 
@@ -218,14 +219,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     found = texts.join(if_small(ids, BROADCAST_ROWS), "id", "left_semi").select("id", "text")
     first = pairs.join(found.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     both = first.join(found.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-    small_batches(texts.sparkSession)
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs: the least id reachable by links of Jaccard num/den or more."""
-    texts = _texts(docs, id_col, text_col)
-    signature = ["n", "sig_a", "sig_b"]
+def _classes(texts: DataFrame, size: int, num: int, den: int, unique: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets) of texts (id, text): rows have id and the signature of their set, sets a signature, rep, the least id
+    of the rows that have the set, and found, the least id reachable from it. unique: no id stands twice."""
+    signature = SIGNATURE
     full = written(set_rows(texts, size, num, den), "shingle-sets")
     real = full.where("n > 0 AND id IS NOT NULL")
     whole = written(real.groupBy(*signature).agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), *[F.first(s).alias(s) for s in SKETCH]), "distinct-sets")
@@ -233,12 +233,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = rows.where("n > 0 AND id IS NOT NULL")
     release(full)
 
-    # postings of two sets at least, each with the pivot of its shingle: the set that has it first
-    w = Window.partitionBy("h")
+    # postings of two sets at least, each with the pivot of its shingle: the set that has it first. Pivots are one row
+    # a shingle, from partial minima, so the join splits a posting that holds a large part of all sets
     entries = whole.select("rep", "n", F.posexplode("prefix").alias("p", "h"))
-    pivot = F.min(F.struct("p", "rep", "n")).over(w)
-    entries = entries.withColumn("df", F.count("*").over(w)).withColumn("pivot", pivot).where("df > 1")
-    entries = written(entries.select("h", "rep", "n", "p", *[F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("rep", "n", "p")]), "postings")
+    pivots = entries.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("p", "rep", "n")).alias("pivot")).where("df > 1")
+    pivots = written(pivots.select("h", *[F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("rep", "n", "p")]), "pivots")
+    entries = written(entries.join(pivots, "h"), "postings")
+    release(pivots)
     reps = written(whole.select("rep", *signature, "sketch", *SKETCH), "representatives")
     release(whole)
 
@@ -255,31 +256,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = of(of(entries, "rep"), "pivot_rep").where("rep_in <> pivot_rep_in").select("h").distinct()
     apart = if_small(written(apart, "mixed-shingles"), BROADCAST_ROWS)
     placed = written(of(entries.join(apart, "h", "left_semi").select("h", "rep", "n", "p"), "rep").withColumnRenamed("rep_in", "component"), "mixed-postings")
+    release(entries)
     top = placed.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "component")).alias("top")).select("h", F.col("top.component").alias("top"))
     in_mixed = placed.join(top, "h").join(sketches, ["rep", "n"])
     left, right = _prefixed(in_mixed.where("component <> top"), "l_"), _prefixed(in_mixed, "r_")
     differ = (F.col("l_component") != F.col("r_component")) & ((F.col("r_component") == F.col("r_top")) | (F.col("l_rep") < F.col("r_rep")))
     passed = _may_link(*(F.col(c) for c in ("l_n", "l_p", "r_n", "r_p")), num, den) & _in_reach("l_", "r_", num, den)
     cross = left.join(right, (F.col("l_h") == F.col("r_h")) & differ & passed).select(F.least("l_rep", "r_rep").alias("a"), F.greatest("l_rep", "r_rep").alias("b"))
-    cross = written(cross.distinct().join(stars, ["a", "b"], "left_anti"), "cross-candidates")
-    cross = written(_after_sketches(cross, reps, num, den), "cross-pairs")
-    more = _verified(cross, texts, size, num, den)
-
+    candidates = written(cross.distinct().join(stars, ["a", "b"], "left_anti"), "cross-candidates")
+    release(placed)
+    release(stars)
+    cross = written(_after_sketches(candidates, reps, num, den), "cross-pairs")
+    release(candidates)
+    found = links.unionAll(_verified(cross, texts, size, num, den))
+    if not unique:
+        found = found.unionAll(_same_id(real, reps))
+    merged = components(found)
+    release(cross)
+    release(links)
+    named = reps.select(*signature, "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select(*signature, "rep", F.coalesce("component", "rep").alias("found"))
+    return rows.select("id", *signature), named
+
+
+def _same_id(real: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the sets of rows that share an id."""
+    signature = SIGNATURE
     several = real.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in signature for f in (F.min, F.max)]).where(" OR ".join(f"min_{c} <> max_{c}" for c in signature)).select("id")
-    same_id = real.join(several, "id", "left_semi").join(reps.select(*signature, "rep"), signature).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    merged = components(links.unionAll(more).unionAll(same_id))
-    named = reps.select(*signature, "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select(*signature, F.coalesce("component", "rep").alias("found"))
-    own = rows.select("id", *signature)
-    return own.join(named, signature, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("found", "id")).alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that a near or exact copy with a lesser id stands for (of repeated rows of an id, one stays)."""
-    found = near_duplicates(docs, **options).where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("__copy"), "left_anti")
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id IS NULL"))
+    return real.join(several, "id", "left_semi").join(reps.select(*signature, "rep"), signature).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of docs: the least id reachable by links of Jaccard num/den or more.
+
+    Rows that share an id are one document, so their links are joined. No other column of docs is returned.
+    """
+    rows, sets = _classes(_texts(docs, id_col, text_col), size, num, den)
+    own = rows.join(sets, SIGNATURE, "left")
+    return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("found", "id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each group of linked rows: the one of least id, with its own columns.
+
+    Rows are told apart by their place, not by their id: rows of one id with unlinked texts all stay. So do rows of a
+    null id, and those without a shingle, which link with nothing. Of linked rows with one id the first by the hash of
+    all columns stays.
+    """
+    work = numbered(docs)
+    text = f"c{place_of(docs, text_col)}"
+    own_id = F.col(f"c{place_of(docs, id_col)}").cast("long")
+    plain = [c for c, f in zip(work.columns, work.schema.fields, strict=True) if not f.dataType.simpleString().startswith(("map", "variant"))]
+    rank = F.struct(own_id.alias("id"), F.xxhash64(*plain).alias("tie"))
+    # the number of a row is its node, so it must not change between readings
+    numbers = written(work.withColumn("rank", rank).withColumn("node", F.monotonically_increasing_id()), "numbered-rows")
+    rows, sets = _classes(numbers.where("rank.id IS NOT NULL").select(F.col("node").alias("id"), F.col(text).cast("string").alias("text")), size, num, den, unique=True)
+    group = rows.where("n > 0").join(sets, SIGNATURE).select(F.col("id").alias("node"), "found")
+    several = group.groupBy("found").agg(F.count("*").alias("k")).where("k > 1").select("found")
+    ranked = group.join(several, "found").join(numbers.select("node", "rank"), "node")
+    least = ranked.groupBy("found").agg(F.min(F.struct("rank", "node")).alias("first"))
+    gone = ranked.join(least, "found").where(F.col("node") != F.col("first.node")).select("node")
+    return numbers.join(gone, "node", "left_anti").select(*work.columns).toDF(*docs.columns)
 
 
 OP3_SQL = r"""

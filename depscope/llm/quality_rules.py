@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .rows import with_arrow_columns
+from .rows import with_arrow_columns, with_new_text
 
 SYMBOLS = "[#*$%&|<>]"
 #: Phrases of licence lines, footers and menus.
@@ -151,14 +151,9 @@ def apply_rules(docs: DataFrame, text: str = "text", keep: list[str] | None = No
     return with_arrow_columns(docs, text, FIELDS, judge, keep)
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, without their failing lines, with the columns of docs."""
-    other = {f.name: f"__qr_{f.name}" for f in FIELDS}
-    names = docs.columns
-    renamed = docs.select(*[F.col(f"`{c}`").alias(other.get(c, c)) for c in names])
-    judged = apply_rules(renamed).where("kept")
-    out = [F.col("cleaned").alias("text") if c == "text" else F.length("cleaned").cast("long").alias(c) if c == "n_chars" else F.col(f"`{other.get(c, c)}`").alias(c) for c in names]
-    return judged.select(*out)
+def clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that the rules keep, without their failing lines, with the columns of docs, whatever their names."""
+    return with_new_text(docs, text, FIELDS, judge, "cleaned", "kept")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

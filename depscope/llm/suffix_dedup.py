@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .rows import col
-from .scratch import if_small, small_batches, written
+from .rows import picked
+from .scratch import if_small, written
 
 LENGTH = 200
 ANCHOR = 64
@@ -130,7 +130,6 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                     columns += [pa.array(content.view(np.int64)), *(piece.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "id", "key", "start", "end"][: len(columns)])
 
-    small_batches(texts.sparkSession)
     source = texts.select("id", "key", "text")
     anchors = source.mapInArrow(lambda b: found(b, True), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     anchors = if_small(written(anchors, "repeated-anchors"), BROADCAST_ROWS)
@@ -192,15 +191,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept) for every row of docs: the removed spans and the bytes that stay."""
-    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = picked(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
     spans = repeated_spans(texts, length, anchor).groupBy("id", "key").agg(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("spans"))
     spans = written(spans.withColumnsRenamed({"id": "h_id", "key": "h_key"}), "removal-spans")
     same = F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key"))
     ids = if_small(spans.select("h_id", "h_key"), BROADCAST_ROWS)
     hit = texts.join(ids, same, "left_semi").join(spans, same).select("id", "text", "spans")
     clean = texts.join(ids, same, "left_anti").select("id", "text", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"))
-    small_batches(docs.sparkSession)
     return hit.unionAll(clean).mapInArrow(_cut, f"id long, {_RESULT}").withColumnRenamed("id", id_col)
 
 
