@@ -386,11 +386,14 @@ class _Logs:
         return out, known
 
 
-_SCORED = "rid long, id long, held_out boolean, n_tokens long, n_common long, common_log double, score double, rare array<long>, runs array<long>"
+_SCORED = "rid long, id long, held_out boolean, n_bytes long, n_tokens long, n_common long, common_log double, score double, rare array<long>, runs array<long>"
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
-    """Scores of all rows of docs, under models of those with crc32(id as text) mod modulus other than held."""
+    """Scores of all rows of docs, under models of those with crc32(id as text) mod modulus other than held.
+
+    bits_per_byte is the code length of a text and its END under the tree, by its bytes and END.
+    """
     spark = docs.sparkSession
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     texts = picked(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), (crc % modulus == held).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -430,11 +433,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 far = np.concatenate([[0], np.cumsum(~near)])[begin]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rid + np.arange(len(n))), piece.column(0), piece.column(1), pa.array(n + 1), pa.array(np.bincount(row[known], minlength=len(n))), pa.array(sums),
+                        pa.array(rid + np.arange(len(n))), piece.column(0), piece.column(1), pa.array(np.diff(begin)), pa.array(n + 1), pa.array(np.bincount(row[known], minlength=len(n))), pa.array(sums),
                         pa.array(np.add.reduceat(score, begin[:-1]) if len(n) else np.empty(0)), pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(words[~known].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(far, pa.int32()), pa.array(asked_runs[~near].view(np.int64))),
                     ],
-                    names=["rid", "id", "held_out", "n_tokens", "n_common", "common_log", "score", "rare", "runs"],
+                    names=["rid", "id", "held_out", "n_bytes", "n_tokens", "n_common", "common_log", "score", "rare", "runs"],
                 )
                 rid += len(n)
 
@@ -448,6 +451,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return scored.drop("rare", "runs").join(found, "rid", "left").join(far, "rid", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_common") + F.coalesce("n_rare", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(size["n"])).cast("long").alias("train_tokens"),
         (F.col("common_log") + F.coalesce("rare_log", F.lit(0.0)) + end_log - F.col("n_tokens") * each).alias("base_score"), (F.col("score") + F.coalesce("far", F.lit(0.0))).alias("score"),
+        (-(F.col("score") + F.coalesce("far", F.lit(0.0))) * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

@@ -63,13 +63,18 @@ def with_arrow_columns(df: DataFrame, text: str, fields: list[T.StructField], fn
     return made.toDF(*[df.columns[i] for i in places], *[f.name for f in fields])
 
 
+def with_numbered_columns(df: DataFrame, text: str, fields: list[T.StructField], fn: Make) -> tuple[DataFrame, int]:
+    """(numbered(df) with the columns `fields` as v_<field>, place of the text)."""
+    at = place_of(df, text)
+    return _with_values(numbered(df), list(range(len(df.columns))), at, fields, fn), at
+
+
 def with_new_text(df: DataFrame, text: str, fields: list[T.StructField], fn: Make, cleaned: str, kept: str | None = None) -> DataFrame:
     """df with its own columns, the text being the new column `cleaned`; n_chars, if df has it, follows.
 
     kept: the new column that says which rows stay (default: all).
     """
-    at = place_of(df, text)
-    made = _with_values(numbered(df), list(range(len(df.columns))), at, fields, fn)
+    made, at = with_numbered_columns(df, text, fields, fn)
     if kept:
         made = made.where(F.col(f"v_{kept}"))
     return made.select(*renewed(df, at, F.col(f"v_{cleaned}"))).toDF(*df.columns)
@@ -78,8 +83,3 @@ def with_new_text(df: DataFrame, text: str, fields: list[T.StructField], fn: Mak
 def renewed(df: DataFrame, text: int, new: Column) -> list[Column]:
     """The columns of numbered(df), with a new text and its length."""
     return [new if i == text else F.length(new).cast("long") if c.lower() == "n_chars" else F.col(f"c{i}") for i, c in enumerate(df.columns)]
-
-
-def col(name: str) -> Column:
-    """The column of exactly this name, whatever characters it has."""
-    return F.col("`" + name.replace("`", "``") + "`")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import with_arrow_columns
+from .rows import renewed, with_arrow_columns, with_numbered_columns
 
 MARK = "▁"
 CACHE_ENTRIES = 200_000
@@ -187,12 +187,7 @@ _codecs: dict[str, Codec] = {}
 FIELDS = [*(T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in ("ids", "starts", "ends")), T.StructField("decoded", T.StringType())]
 
 
-def encode_and_decode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with ids, the source byte spans starts and ends of their pieces, and the text decoded from the ids.
-
-    An input column with the name of a new one is replaced.
-    """
-
+def _coded(model: str):
     def run(texts: pa.Array) -> list[pa.Array]:
         if model not in _codecs:
             _codecs[model] = Codec(model)
@@ -202,7 +197,25 @@ def encode_and_decode(docs: DataFrame, model: str, text: str = "text", keep: lis
         lists = [pa.ListArray.from_arrays(first, pa.array(np.concatenate([x[k] for x in found]).astype(np.int32))) for k in range(3)]
         return [*lists, pa.array([codec.decode(x[0]) for x in found], pa.string())]
 
-    return with_arrow_columns(docs, text, FIELDS, run, keep)
+    return run
+
+
+def encode_and_decode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs with ids, the source byte spans starts and ends of their pieces, and the text decoded from the ids.
+
+    An input column with the name of a new one is replaced.
+    """
+
+    return with_arrow_columns(docs, text, FIELDS, _coded(model), keep)
+
+
+def encoded(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """docs with the text decoded from its ids, and n_tokens and ids in place of columns of these names; n_chars follows."""
+    places = [i for i, c in enumerate(docs.columns) if c.lower() not in ("n_tokens", "ids")]
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(*[f"c{i}" for i in places]).toDF(*[docs.columns[i] for i in places])
+    made, at = with_numbered_columns(own, text, FIELDS, _coded(model))
+    columns = renewed(own, at, F.coalesce("v_decoded", F.lit("")))
+    return made.select(*columns, F.size("v_ids").cast("long"), "v_ids").toDF(*own.columns, "n_tokens", "ids")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from depscope import llm
-from depscope.llm import chat_format, components, context_tree, decontaminate, fm_index, line_dedup, ngram_join, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, token_files
+from depscope.llm import chat_format, components, context_tree, decontaminate, fm_index, line_dedup, ngram_join, part_table, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, token_files
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -33,26 +33,31 @@ def bag(rows):
 # quality rules
 
 
-def brute_quality(text):
-    words = re.findall(SPACE, text or "")
-    grams = Counter(zip(words, words[1:], words[2:], strict=False))
-    hit = {i + k for i, g in enumerate(zip(words, words[1:], words[2:], strict=False)) if grams[g] > 1 for k in range(3)}
-    seen, dup, failed, lost = set(), 0, 0, 0
+def brute_lines(text):
+    """(line, whether it fails, whether it repeats an earlier one) of each line."""
+    seen = set()
     for line in (text or "").split("\n"):
         w = re.findall(SPACE, line)
         again = bool(w) and line in seen
         seen.add(line)
-        dup += again
-        if not w:
-            continue
         n = len(w)
         count = lambda chars, line=line: sum(c in chars for c in line)
         upper = len(re.findall("[A-Z]", line))
         letters = len(re.findall("[A-Za-z]", line))
         bad = 5 * count("#*$%&|<>[]") > 2 * n or (count("!") >= 4 and 2 * count("!") > n) or (n >= 8 and not count(".!?")) or 4 * count("|>") > n or (letters >= 20 and 4 * upper > 3 * letters)
         bad = bad or any(p in lower(line) for p in quality_rules.BOILERPLATE) or again
+        yield line, bool(w) and bad, again
+
+
+def brute_quality(text):
+    words = re.findall(SPACE, text or "")
+    grams = Counter(zip(words, words[1:], words[2:], strict=False))
+    hit = {i + k for i, g in enumerate(zip(words, words[1:], words[2:], strict=False)) if grams[g] > 1 for k in range(3)}
+    dup, failed, lost = 0, 0, 0
+    for line, bad, again in brute_lines(text):
+        dup += again
         failed += bad
-        lost += bad * sum(map(len, w))
+        lost += bad * sum(map(len, re.findall(SPACE, line)))
     chars = sum(map(len, words))
     base = len(words) < 50 or 100 * len(hit) > 50 * len(words)
     return len(words), chars, len(re.findall(r"[#*$%&|<>\[\]]", text or "")) - len(re.findall(r"[\[\]]", text or "")), dup, len(hit), base, not base and 2 * lost <= chars, failed, lost
@@ -169,12 +174,38 @@ def test_ngram_join_of_near_copies(spark):
         ngram_join.BROADCAST_ROWS = old
 
 
+def brute_groups(rows, size=5, num=80):
+    """For each row with an id and a shingle, the least place of a row that it is linked with."""
+    sets = [shingles(r[1], size) if r[0] is not None else set() for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if a and b and 100 * both >= num * (len(a) + len(b) - both):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) if sets[i] else None for i in range(len(rows))]
+
+
 def test_one_of_each(docs, rows, empty):
     kept = ngram_join.one_of_each(docs)
-    want = {i for i, _, c in brute_components(rows, 5, 80, 100) if i == c and i is not None}
-    found = [r["doc_id"] for r in kept.collect()]
-    assert kept.columns == docs.columns and found.count(None) == 2 and sorted(x for x in found if x is not None) == sorted(want)
-    assert ngram_join.near_duplicates(empty).count() == 0
+    groups = brute_groups(rows)
+    least = {}
+    for r, g in zip(rows, groups, strict=True):
+        if g is not None:
+            least[g] = min(least.get(g, r[0]), r[0])
+    want = Counter(r[0] for r, g in zip(rows, groups, strict=True) if g is None) + Counter(least.values())
+    found = kept.collect()
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in found) == want
+    # two rows share the id 5, but no text: both stay
+    assert sorted(r["text"] for r in found if r["doc_id"] == 5) == sorted(r[1] for r in rows if r[0] == 5) and want[5] == 2
+    assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
 
 
 def test_components(spark):
@@ -211,9 +242,19 @@ def test_decontamination(spark, docs, rows, empty):
                             its.add(str(i))
             want.append((r[0], len(w), len(hit), len(its), tuple(sorted(its))))
         assert bag((f["doc_id"], f["n_words"], f["n_hit"], f["n_items"], tuple(f["items"])) for f in found) == bag(want)
+    texts_of = {}
+    for r in rows:
+        texts_of.setdefault((r[0], len(words(r[1]))), []).append(r[1])
     for f in found:
-        if f["cleaned"] is not None:
-            assert len(words(f["cleaned"])) >= f["n_words"] - f["n_hit"] - 2 * len(f["spans"])
+        # each run of hit words goes, from the first byte of its first word to the last byte of its last one
+        original = texts_of[f["doc_id"], f["n_words"]]
+        assert len(set(original)) == 1
+        raw, out, done = (original[0] or "").encode(), b"", 0
+        for s in f["spans"]:
+            out, done = out + raw[done : s["start"]], s["end"]
+        assert f["cleaned"] == (None if original[0] is None else (out + raw[done:]).decode())
+        assert sum(len(words(raw[s["start"] : s["end"]].decode())) for s in f["spans"]) == f["n_hit"]
+        assert all(a["end"] < b["start"] for a, b in zip(f["spans"], f["spans"][1:], strict=False))
     assert any(f["n_hit"] for f in found)
     assert decontaminate.decontaminated(docs, bench).columns == docs.columns
     assert decontaminate.mark_contamination(empty, bench).count() == 0
@@ -241,20 +282,79 @@ def test_token_counts(docs, rows, empty):
     c = token_counts.PrefixCounter(path)
     n = lambda t: len(c.library.encode(t, add_special_tokens=False).ids)
     found = token_counts.prefix_tables(docs, path, budget=40).collect()
-    assert bag((f["doc_id"], f["n_bytes"], f["n_tokens"]) for f in found) == bag((r[0], len((r[1] or "").encode()), n(r[1] or "")) for r in rows)
+    assert bag((f["doc_id"], f["n_bytes"], f["n_tokens"], f["n_parts"]) for f in found) == bag((r[0], len((r[1] or "").encode()), n(r[1] or ""), len(re.findall(SPACE, r[1] or ""))) for r in rows)
     texts = {(r[0], len((r[1] or "").encode())): r[1] or "" for r in rows}
     for f in found:
         text = texts[f["doc_id"], f["n_bytes"]]
-        if len(text) > 3000 or "<|" in text:
-            continue
-        ends, counts = np.array(f["ends"], np.int64), np.array(f["counts"], np.int64)
-        cuts = range(0, len(text) + 1, max(1, len(text) // 40))
-        for k in cuts:
-            assert token_counts.tokens_of_prefix(c, ends, counts, text.encode(), len(text[:k].encode())) == n(text[:k])
-        fit = max(k for k in range(len(text) + 1) if n(text[:k]) <= 40) if len(text) < 700 else None
-        if fit is not None:
-            assert f["fit_bytes"] == len(text[:fit].encode())
+        counts = np.array(f["prefix_counts"], np.int64)
+        assert len(counts) == len(text)
+        for k in range(0, len(text) + 1, max(1, len(text) // 40)):
+            assert token_counts.tokens_of_prefix(counts, k) == n(text[:k])
+        fit = token_counts.longest_prefix(counts, 40)
+        assert f["fit_bytes"] == len(text[:fit].encode())
+        if len(text) < 700:
+            assert fit == max(k for k in range(len(text) + 1) if n(text[:k]) <= 40)
     assert token_counts.prefix_tables(empty, path).count() == 0
+    named = token_counts.prefix_tables(docs.withColumnRenamed("spans", "N_Tokens"), path, every=False)
+    assert [x.lower() for x in named.columns].count("n_tokens") == 1 and "prefix_counts" not in named.columns
+
+
+PIECES = ["a", "Word", "the", " ", "  ", "\n", "\t", ".", "...", "'", "'s", "'ll", "'LL", "'re", "r", "e", "v", "l", "s", "é", "É", "ñ", "1", "23", "²", "&&&", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endof", "日本", "\u3000", "\xa0", "—", "“x”",
+          "\r", "-", "xyzzyq", "ﬁ", "\u0301", "e\u0301", "a\u0323\u0302", "İ", "Σ", "한", "\u1112\u1161\u11ab", "=\u0338", "\x1c", "\x00", "😀", "internationalization", "й", "\u0438\u0306", "\n\n", " \n"]
+
+
+def test_every_prefix_of_odd_texts():
+    c = token_counts.PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    for _ in range(25):
+        texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 9))) for _ in range(20)]
+        data, off = token_counts.B.text_bytes(pa.array(texts))
+        counts, totals = c.table(data, off)
+        for i, t in enumerate(texts):
+            want = [len(c.library.encode(t[: k + 1], add_special_tokens=False).ids) for k in range(len(t))]
+            ends = np.cumsum([len(x.encode()) for x in t]).astype(int)
+            assert [int(counts[off[i] + e - 1]) for e in ends] == want and totals[i] == (want[-1] if want else 0), t
+
+
+def test_counts_of_long_words():
+    c = token_counts.PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    words = ["".join(rng.choice("acgt") for _ in range(100_000)), "日本語" * 3000, "e\u0301" * 3000, "a" * 30_000 + "<|endoftext|>" + "b" * 30_000]
+    data, off = token_counts.B.text_bytes(pa.array(words))
+    counts, totals = c.table(data, off)
+    for i, w in enumerate(words):
+        assert totals[i] == len(c.library.encode(w, add_special_tokens=False).ids)
+        for k in (1, 77, 5000, len(w) - 1):
+            assert counts[off[i] + len(w[:k].encode()) - 1] == len(c.library.encode(w[:k], add_special_tokens=False).ids)
+
+
+def test_byte_level_ids_of_odd_texts():
+    e = token_files.ByteLevelEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert e.merges is not None
+    rng = random.Random(10)
+    for _ in range(60):
+        texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14))) for _ in range(40)]
+        ids, first = e.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[first[i] : first[i + 1]].tolist() == e.library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_part_table_of_equal_hashes_and_long_strings(monkeypatch):
+    seen = []
+
+    def make(parts):
+        seen.append(len(parts))
+        return np.concatenate([np.frombuffer(p, np.uint8) for p in parts]).astype(np.int32), np.array([len(p) for p in parts])
+
+    words = [b"a", b"bb", b"ccc", b"bb", b"x" * 500, b"ddd", b"a"]
+    data, first = np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])
+    table = part_table.PartTable(make, np.int32, entries=2)
+    for _ in range(3):
+        values, ends = table.lists(data, first[:-1], first[1:])
+        assert values.tolist() == data.tolist() and ends.tolist() == first.tolist()
+    monkeypatch.setattr(part_table.B, "span_hash", lambda sums, starts, ends: np.full(len(starts), 7, np.uint64))
+    values, ends = part_table.PartTable(make, np.int32).lists(data, first[:-1], first[1:])
+    assert values.tolist() == data.tolist() and ends.tolist() == first.tolist()
 
 
 def test_token_files(spark, docs, rows, empty, tmp_path):
@@ -267,18 +367,23 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     finally:
         token_files.FILE_BYTES = old
     lib = token_files.encoder(path).library
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    want, start = [], 0
-    for r in order:
-        ids = [*lib.encode(r[1] or "", add_special_tokens=False).ids, 2]
-        want.append((r[0], start, len(ids), ids))
-        start += len(ids)
     found = token_files.read_token_files(spark, folder).orderBy("start").collect()
+    # rows of one id stand in any order, which is the same each time
+    assert [f["doc_id"] for f in found] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert bag((f["doc_id"], tuple(f["ids"])) for f in found) == bag((r[0], (*lib.encode(r[1] or "", add_special_tokens=False).ids, 2)) for r in rows)
+    want, start = [], 0
+    for f in found:
+        want.append((f["doc_id"], start, len(f["ids"]), f["ids"]))
+        start += len(f["ids"])
     assert [(f["doc_id"], f["start"], f["n_tokens"], f["ids"]) for f in found] == want
+    again = f"file://{tmp_path}/again"
+    token_files.write_token_files(docs.repartition(5), again, make, 2)
+    assert [tuple(f) for f in token_files.read_token_files(spark, again).orderBy("start").collect()] == [tuple(f) for f in found]
     assert [f["ids_crc32"] for f in found] == [zlib.crc32(np.array(w[3], "<u4").tobytes()) for w in want]
     shuffled = token_files.shuffled_reads(index, folder, 5).collect()
+    assert shuffled != token_files.shuffled_reads(index, folder, 6).collect() and token_files.shuffled_reads(index.where("id = 5"), folder, 5).count() == 2
     assert bag((f["doc_id"], tuple(f["ids"])) for f in shuffled) == bag((w[0], tuple(w[3])) for w in want)
-    content = next(p for p in (tmp_path / "out/data").iterdir() if p.suffix == ".rec").read_bytes()
+    content = max((p for p in (tmp_path / "out/data").iterdir() if p.name.startswith("part-")), key=lambda p: p.stat().st_size).read_bytes()
     assert len(list(token_files.records(content))) > 1
     with pytest.raises(ValueError):
         list(token_files.records(content[:20] + bytes([content[20] ^ 1]) + content[21:]))
@@ -338,6 +443,7 @@ def test_scores(docs, rows, empty):
     finally:
         context_tree.WORD_SHARE = old
     size = {(r[0], r[1]): len((r[1] or "").encode()) + 1 for r in rows}
+    assert all(f["bits_per_byte"] > 0 for f in found)
     assert -sum(f["score"] for f in found) / sum(size.values()) * math.log2(10) < 4
     assert context_tree.score_texts(empty).count() == 0
 
