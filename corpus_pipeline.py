@@ -1,7 +1,8 @@
 """The training-data pipeline over `documents`: quality rules, line dedup, near duplicates, decontamination, encoding.
 
-Every stage works on all that the one before kept, and its result is written as Parquet and read again. All but the
-last return the columns of documents; n_chars follows the text. The last adds the token ids.
+Every stage works on all that the one before kept, and its result is written as Parquet and read again; what the stage
+before left is deleted then. All stages keep every column that documents has; n_chars follows the text. The last one
+adds n_tokens and ids, in place of columns of these names.
 """
 
 from __future__ import annotations
@@ -9,10 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from depscope.llm import decontaminate, line_dedup, ngram_join, quality_rules, sentencepiece_codec
-from depscope.llm.scratch import written
+from depscope.llm.scratch import release, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,8 +43,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str | Non
         import public_tokenizers
 
         model = public_tokenizers.path("piece_bpe_32k.model")
-    made = sentencepiece_codec.encode_and_decode(docs, model, keep=["doc_id", "lang", "source", "n_chars"])
-    return made.select("doc_id", F.col("decoded").alias("text"), "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return sentencepiece_codec.encoded(docs, model)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -55,12 +54,15 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece", encoding),
 ]
 
-#: Near duplicates and encoding are beyond SQL; tests hold the result against a brute-force version.
+#: Near duplicates and encoding are beyond SQL; tests/llm/test_pipeline.py holds the result against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
