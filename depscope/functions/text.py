@@ -13,6 +13,12 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, grams)))
 
 
+def trigram_codes(text: Column) -> Column:
+    """trigrams(), each as one whole number: its three characters are a-z, 0-9 or blank."""
+    at = lambda g, i: F.ascii(F.substring(g, i, 1))
+    return F.transform(trigrams(text), lambda g: at(g, 1) * 65_536 + at(g, 2) * 256 + at(g, 3))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Jaccard index of the trigrams of two texts; 0 where neither has any."""
     x, y = trigrams(a), trigrams(b)

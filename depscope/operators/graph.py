@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +46,15 @@ def distances(walk: DataFrame) -> DataFrame:
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """The rows of df without their lineage: in the shared checkpoint folder, or on the executors where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """The rows of df without their lineage, in the folder of spark.checkpoint.dir; in one of our own where it is unset and Spark is local."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        master = context.getConf().get("spark.master", "")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="depscope-"))
+    return df.checkpoint()
 
 
 def closure(links: DataFrame, depth: int | None = None) -> DataFrame:

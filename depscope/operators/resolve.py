@@ -94,9 +94,45 @@ def feature_impact(features: DataFrame, dependencies: DataFrame, heavy: int = 5)
     return starts.select("version_id", "feature").join(found, ["version_id", "feature"], "left").withColumn("brings", F.coalesce("brings", F.array().cast("array<string>"))).withColumn("heavy", F.size("brings") >= heavy)
 
 
-def matrix(versions: DataFrame, package_a: int, package_b: int, newest: int = 5, pairs: int = 25) -> DataFrame:
-    """The newest versions of one package against those of another, in order, at most so many pairs: a bounded report."""
+def feature_listing(features: DataFrame) -> DataFrame:
+    """For each feature of a version: whether it is a default one, the features and dependencies that it enables itself,
+    and all features that it enables over others. features: (version_id, feature, target); dep: marks dependencies."""
+    node = lambda c: F.concat_ws("\u0001", F.col("version_id"), F.col(c))
+    is_dependency = F.col("target").startswith("dep:")
+    direct = features.groupBy("version_id", "feature").agg(
+        F.sort_array(F.collect_set(F.when(~is_dependency, F.col("target")))).alias("enables"), F.sort_array(F.collect_set(F.when(is_dependency, F.substring("target", 5, 1 << 20)))).alias("dependencies"),
+    )
+    reach = closure(features.where(~is_dependency).select(node("feature").alias("a"), node("target").alias("b")))
+    far = reach.groupBy(F.col("start").alias("at")).agg(F.sort_array(F.collect_set(F.element_at(F.split("node", "\u0001"), 2))).alias("transitive"))
+    default = features.where((F.col("feature") == "default") & ~is_dependency).select("version_id", F.col("target").alias("feature"), F.lit(True).alias("is_default"))
+    rows = direct.withColumn("at", node("feature")).join(far, "at", "left").join(default, ["version_id", "feature"], "left")
+    return rows.select("version_id", "feature", F.coalesce("is_default", F.lit(False)).alias("is_default"), "enables", "dependencies", F.coalesce("transitive", F.array().cast("array<string>")).alias("transitive"))
+
+
+def compatibility(pairs: DataFrame, versions: DataFrame, edges: DataFrame, newest: int = 5, most: int = 25) -> DataFrame:
+    """The newest versions of package_a against those of package_b for each row of pairs, at most so many: do they go together?
+
+    Two pinned versions conflict where one's requirement on the other is not met by the pinned version, and where no
+    version of a package meets all that both require of it. conflicts counts both kinds.
+    """
     from .lookup import history
 
-    side = lambda p, x: history(versions.where(F.col("package_id") == p), newest).select(F.col("version").alias(f"version_{x}"), F.col("version_id").alias(f"id_{x}"), F.col("place").alias(f"place_{x}"))
-    return side(package_a, "a").crossJoin(side(package_b, "b")).orderBy("place_a", "place_b").limit(pairs)
+    places = history(versions, newest).select("package_id", "version_id", "version", "place")
+    side = lambda x: places.toDF(f"package_{x}", f"id_{x}", f"version_{x}", f"place_{x}")
+    pinned = pairs.join(side("a"), "package_a").join(side("b"), "package_b").where((F.col("place_a") - 1) * newest + F.col("place_b") <= most)
+    pinned = pinned.withColumn("pair", F.struct("package_a", "package_b", "id_a", "id_b"))
+    needs = edges.select("version_id", "target_id", "requirement")
+    asked = pinned.select("pair", F.explode(F.array("id_a", "id_b")).alias("version_id")).join(needs, "version_id").select("pair", "target_id", "requirement")
+    chosen = pinned.select("pair", F.explode(F.array(*[F.struct(F.col(f"package_{x}").alias("target_id"), F.col(f"version_{x}").alias("version")) for x in "ab"])).alias("c")).select("pair", "c.*").distinct()
+    # each requirement meets each version text of its package once, whatever the number of pairs
+    texts = versions.select(F.col("package_id").alias("target_id"), "version").distinct()
+    met = asked.select("target_id", "requirement").distinct().join(texts, "target_id").where(semver.satisfies(F.col("version"), F.col("requirement")))
+    direct = asked.join(chosen, ["pair", "target_id"]).join(met.withColumn("ok", F.lit(True)), ["target_id", "requirement", "version"], "left").where("ok IS NULL")
+    several = asked.groupBy("pair", "target_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("requirement")).alias("all")).where("n > 1")
+    sets = several.select("target_id", "all").distinct()
+    common = sets.withColumn("requirement", F.explode("all")).join(met, ["target_id", "requirement"]).groupBy("target_id", "all", "version").agg(F.count("*").alias("met"))
+    possible = common.where(F.col("met") == F.size("all")).select("target_id", "all").distinct()
+    joint = several.join(possible, ["target_id", "all"], "left_anti")
+    conflicts = direct.select("pair").unionAll(joint.select("pair")).groupBy("pair").agg(F.count("*").alias("conflicts"))
+    found = pinned.join(conflicts, "pair", "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
+    return found.select("package_a", "package_b", "version_a", "version_b", "place_a", "place_b", (F.col("conflicts") == 0).alias("resolvable"), "conflicts")

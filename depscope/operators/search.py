@@ -77,6 +77,35 @@ def candidates_by_overlap(packages: DataFrame, fields: list[str]) -> DataFrame:
     return packages.join(other, fields).where("package_id <> other_id")
 
 
+def alternatives(wanted: DataFrame, packages: DataFrame, least_similarity: float = 0.25, irrelevant: float = 0.30) -> DataFrame:
+    """(package_id, other_id, similarity, categories, keywords) of packages that share a category or a keyword with a
+    wanted one, or whose name is similar; without any overlap the name must be more so.
+
+    wanted: the packages to find alternatives for, a stated set that is held against all packages. Names become arrays of
+    whole numbers, one for each trigram, once for each package. Rows of wanted stream past all packages in blocks.
+    """
+    grams = lambda df: df.select("package_id", F.lower("category").alias("category"), F.lower("keyword").alias("keyword"), X.trigram_codes(F.col("name")).alias("grams"))
+    own, other = grams(wanted), grams(packages)
+    left, right = (df.toDF(*[f"{x}_{c}" for c in df.columns]) for x, df in (("a", own), ("b", other)))
+    if wanted.count() <= BLOCK_ROWS:
+        left = F.broadcast(left)
+    # a small table may be one file, but each of its rows is held against all of the set
+    right = right.repartition(int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = right.join(left, F.col("a_package_id") != F.col("b_package_id"))
+    # generated, so that the filter below does not count it again
+    both = both.withColumn("common", F.explode(F.array(F.size(F.array_intersect("a_grams", "b_grams")))))
+    common = F.col("common")
+    union = F.size("a_grams") + F.size("b_grams") - common
+    same = lambda c: F.coalesce(F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), 1).otherwise(0), F.lit(0))
+    rows = both.select(F.col("a_package_id").alias("package_id"), F.col("b_package_id").alias("other_id"), F.when(union > 0, common / union).otherwise(0.0).alias("similarity"), same("category").alias("categories"), same("keyword").alias("keywords"))
+    overlap = F.col("categories") + F.col("keywords") > 0
+    return rows.where(overlap | (F.col("similarity") >= max(least_similarity, irrelevant)))
+
+
+#: Rows of a stated set that may be broadcast.
+BLOCK_ROWS = 100_000
+
+
 def searchable_versions(versions: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (package, version text) that have content, newest text first within a package."""
     return versions.join(edges.select("version_id").distinct(), "version_id", "left_semi").select("package_id", "version").distinct()

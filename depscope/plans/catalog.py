@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score as S
 from ..functions import text as X
-from ..operators import api, graph, lookup, monitor, resolve, search
+from ..operators import api, graph, lookup, monitor, resolve, search, types
 from ..sources import snapshot
 from ..sources.registry import AS_OF, EVENTS_AS_OF, Registry, oracle
 
@@ -311,13 +311,8 @@ def graph_dependencies(r):
     return graph.walk_dependencies(r.packages, r.edges, r.versions, 2)
 
 
-@query(f"WITH {_BACK}, {_WALK2.replace('FROM hop)', 'FROM hop WHERE package_id < 40)', 1)} SELECT * FROM w")
-def graph_dependents(r):
-    return graph.walk_dependents(r.packages.where("package_id < 40"), r.edges, r.versions, 2)
-
-
 @query(f"WITH {_BACK}, {_WALK2} SELECT w.* FROM w JOIN packages p ON p.package_id = w.root_id")
-def graph_dependents_all(r):
+def graph_dependents(r):
     return graph.walk_dependents(r.packages, r.edges, r.versions, 2)
 
 
@@ -349,16 +344,22 @@ def maintenance_scores(r: Registry) -> DataFrame:
     return rows.select("package_id", F.round(value, 6).alias("score"))
 
 
-@query(f"""WITH c AS (SELECT a.package_id, b.package_id AS other_id, {_sim("a.name", "b.name")} AS sim FROM packages a JOIN packages b ON a.category = b.category AND a.keyword = b.keyword AND a.package_id <> b.package_id),
-s AS (SELECT c.package_id, other_id, least(4 * sim, 4.0) + 1.5 + 1 + 0.15 * ln(downloads + 1) + greatest(0.0, least(2.0, 2 - (CAST(floor(epoch(TIMESTAMP '{AS_OF}') - epoch(published_at)) AS BIGINT) // 86400) / 365)) - 5 * CASE WHEN yanked THEN 1 ELSE 0 END - CASE WHEN license IS NULL THEN 1 ELSE 0 END AS score
-    FROM c JOIN latest_versions l ON l.package_id = other_id)
+@query(f"""WITH c AS (SELECT a.package_id, b.package_id AS other_id, {_sim("a.name", "b.name")} AS sim, CASE WHEN a.category = b.category THEN 1 ELSE 0 END AS cat, CASE WHEN a.keyword = b.keyword THEN 1 ELSE 0 END AS kw FROM packages a JOIN packages b ON a.package_id <> b.package_id WHERE a.package_id % 50 = 0),
+d AS (SELECT e.target_id AS package_id, count(DISTINCT v.package_id) AS dependents FROM edges e JOIN versions v USING (version_id) GROUP BY 1), av AS (SELECT package_id, count(DISTINCT advisory_id) AS adv FROM advisories GROUP BY 1),
+s AS (SELECT c.package_id, other_id, least(4 * sim, 4.0) + 1.5 * cat + kw + 0.15 * ln(downloads + 1) + 0.20 * ln(coalesce(dependents, 0) + 1) + greatest(0.0, least(2.0, 2 - (CAST(floor(epoch(TIMESTAMP '{AS_OF}') - epoch(published_at)) AS BIGINT) // 86400) / 365))
+    - 1.25 * coalesce(adv, 0) - 5 * CASE WHEN yanked THEN 1 ELSE 0 END - CASE WHEN license IS NULL THEN 1 ELSE 0 END AS score
+    FROM c JOIN latest_versions l ON l.package_id = other_id LEFT JOIN d ON d.package_id = other_id LEFT JOIN av ON av.package_id = other_id WHERE (cat + kw > 0 OR sim >= 0.3) AND NOT coalesce(contains(license, 'GPL-3.0-only'), false))
 SELECT package_id, other_id, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY round(score, 6) DESC, other_id) AS place FROM s) WHERE place <= 3""")
 def alternatives_score(r):
-    pairs = search.candidates_by_overlap(r.packages, ["category", "keyword"])
-    newest = lookup.timeline(r.latest_versions, F.lit(AS_OF).cast("timestamp")).select(F.col("package_id").alias("other_id"), "downloads", "age_days", "yanked", "license")
-    rows = pairs.join(newest, "other_id").withColumn("sim", X.similarity(F.col("name"), F.col("other")))
-    value = S.alternative(F.col("sim"), F.lit(1), F.lit(1), F.col("downloads"), F.lit(0), F.col("age_days"), F.lit(0), F.col("yanked"), F.when(F.col("license").isNull(), "unknown").otherwise("allowed"))
-    return lookup.top_by(rows.withColumn("score", F.round(value, 6)), ["package_id"], 3, F.desc("score"), F.col("other_id")).select("package_id", "other_id", "score", "place")
+    # a search: every 50th package is held against all packages
+    pairs = search.alternatives(r.packages.where("package_id % 50 = 0"), r.packages)
+    adv = r.advisories.groupBy("package_id").agg(F.count_distinct("advisory_id").alias("adv"))
+    policy = X.license_status(F.col("license"), [], ["GPL-3.0-only"])
+    newest = lookup.timeline(r.latest_versions, F.lit(AS_OF).cast("timestamp")).where(policy != "denied").join(lookup.dependent_counts(r.edges, r.versions), "package_id", "left").join(adv, "package_id", "left").na.fill(0, ["dependents", "adv"])
+    newest = newest.select(F.col("package_id").alias("other_id"), "downloads", "age_days", "yanked", "dependents", "adv", policy.alias("policy"))
+    value = S.alternative(F.col("similarity"), F.col("categories"), F.col("keywords"), F.col("downloads"), F.col("dependents"), F.col("age_days"), F.col("adv"), F.col("yanked"), F.col("policy"))
+    rows = pairs.join(newest, "other_id").withColumn("score", F.round(value, 6))
+    return lookup.top_by(rows, ["package_id"], 3, F.desc("score"), F.col("other_id")).select("package_id", "other_id", "score", "place")
 
 
 # maintenance of the index
@@ -530,19 +531,11 @@ def dependency_audit(r):
     return resolve.audited(_wanted(r), r.versions, r.advisories).select("package_id", "requirement", F.array_join("markers", ",").alias("markers"))
 
 
-@query("""WITH f AS (SELECT DISTINCT version_id, kind AS feature, 'p' || target_id AS name, optional FROM edges WHERE version_id < 400), link AS (SELECT DISTINCT version_id, 'dev' AS a, 'build' AS b FROM f WHERE feature = 'dev'),
-need AS (SELECT version_id, name FROM f GROUP BY 1, 2 HAVING bool_and(optional)), s AS (SELECT DISTINCT version_id, feature FROM f UNION SELECT version_id, 'dev' FROM link),
-hit AS (SELECT s.version_id, s.feature, f.name FROM s JOIN f ON f.version_id = s.version_id AND (f.feature = s.feature OR (s.feature = 'dev' AND f.feature = 'build')) JOIN need ON need.version_id = f.version_id AND need.name = f.name)
-SELECT s.version_id, s.feature, coalesce(string_agg(DISTINCT hit.name, ',' ORDER BY hit.name), '') AS brings, count(DISTINCT hit.name) >= 2 AS heavy FROM s LEFT JOIN hit USING (version_id, feature) GROUP BY 1, 2""")
-def feature_impact(r):
-    return _impact(r.edges.where("version_id < 400"))
-
-
 @query("""WITH f AS (SELECT DISTINCT version_id, kind AS feature, 'p' || target_id AS name, optional FROM edges), link AS (SELECT DISTINCT version_id, 'dev' AS a, 'build' AS b FROM f WHERE feature = 'dev'),
 need AS (SELECT version_id, name FROM f GROUP BY 1, 2 HAVING bool_and(optional)), s AS (SELECT DISTINCT version_id, feature FROM f UNION SELECT version_id, 'dev' FROM link),
 hit AS (SELECT s.version_id, s.feature, f.name FROM s JOIN f ON f.version_id = s.version_id AND (f.feature = s.feature OR (s.feature = 'dev' AND f.feature = 'build')) JOIN need ON need.version_id = f.version_id AND need.name = f.name)
 SELECT s.version_id, s.feature, coalesce(string_agg(DISTINCT hit.name, ',' ORDER BY hit.name), '') AS brings, count(DISTINCT hit.name) >= 2 AS heavy FROM s LEFT JOIN hit USING (version_id, feature) GROUP BY 1, 2""")
-def feature_impact_all(r):
+def feature_impact(r):
     return _impact(r.edges)
 
 
@@ -553,10 +546,80 @@ def _impact(edges: DataFrame) -> DataFrame:
     return resolve.feature_impact(own.unionByName(chain), base.select("version_id", "name", "optional"), heavy=2).select("version_id", "feature", F.array_join("brings", ",").alias("brings"), "heavy")
 
 
-@query("""WITH o AS (SELECT package_id, version, row_number() OVER (PARTITION BY package_id ORDER BY published_at DESC NULLS LAST, version_id DESC) AS place FROM versions)
-SELECT a.version AS version_a, b.version AS version_b FROM o a, o b WHERE a.package_id = 3 AND b.package_id = 7 AND a.place <= 5 AND b.place <= 5 ORDER BY a.place, b.place LIMIT 25""")
+_LISTING = """WITH RECURSIVE link AS (SELECT version_id, feature, target FROM features WHERE target NOT LIKE 'dep:%'),
+reach AS (SELECT version_id, feature, target FROM link UNION SELECT r.version_id, r.feature, l.target FROM reach r JOIN link l ON l.version_id = r.version_id AND l.feature = r.target)"""
+
+
+@query(_LISTING + """ SELECT f.version_id, f.feature, EXISTS (SELECT 1 FROM link d WHERE d.version_id = f.version_id AND d.feature = 'default' AND d.target = f.feature) AS is_default,
+coalesce(string_agg(DISTINCT target, ',' ORDER BY target) FILTER (WHERE target NOT LIKE 'dep:%'), '') AS enables, coalesce(string_agg(DISTINCT substring(target, 5), ',' ORDER BY substring(target, 5)) FILTER (WHERE target LIKE 'dep:%'), '') AS dependencies,
+coalesce(any_value(t.transitive), '') AS transitive FROM features f LEFT JOIN (SELECT version_id, feature, string_agg(target, ',' ORDER BY target) AS transitive FROM reach GROUP BY 1, 2) t USING (version_id, feature) GROUP BY 1, 2""")
+def feature_listing(r):
+    rows = resolve.feature_listing(r.features)
+    return rows.select("version_id", "feature", "is_default", *[F.array_join(c, ",").alias(c) for c in ("enables", "dependencies", "transitive")])
+
+
+@query(_LISTING + """, own AS (SELECT version_id, feature, feature AS at FROM features UNION SELECT version_id, feature, target FROM reach),
+need AS (SELECT version_id, 'p' || target_id AS name FROM edges GROUP BY 1, 2 HAVING bool_and(optional)), hit AS (SELECT DISTINCT o.version_id, o.feature, substring(f.target, 5) AS name FROM own o JOIN features f ON f.version_id = o.version_id AND f.feature = o.at AND f.target LIKE 'dep:%'),
+kept AS (SELECT hit.* FROM hit JOIN need USING (version_id, name))
+SELECT s.version_id, s.feature, coalesce(string_agg(kept.name, ',' ORDER BY kept.name), '') AS brings, count(kept.name) >= 2 AS heavy FROM (SELECT DISTINCT version_id, feature FROM features) s LEFT JOIN kept USING (version_id, feature) GROUP BY 1, 2""")
+def feature_closure(r):
+    is_dependency = F.col("target").startswith("dep:")
+    rows = r.features.select("version_id", "feature", F.when(is_dependency, F.substring("target", 5, 1 << 20)).otherwise(F.col("target")).alias("target"), is_dependency.alias("is_dependency"))
+    needs = r.edges.select("version_id", F.concat(F.lit("p"), "target_id").alias("name"), "optional")
+    return resolve.feature_impact(rows, needs, heavy=2).select("version_id", "feature", F.array_join("brings", ",").alias("brings"), "heavy")
+
+
+_PAIRS = """o AS (SELECT package_id, version_id, version, row_number() OVER (PARTITION BY package_id ORDER BY published_at DESC NULLS LAST, version_id DESC) AS place, CAST(split_part(version, '.', 2) AS BIGINT) AS minor FROM versions),
+x AS (SELECT ab.package_a, ab.package_b, a.version_id AS id_a, b.version_id AS id_b, a.version AS version_a, b.version AS version_b, a.place AS place_a, b.place AS place_b, a.minor AS minor_a, b.minor AS minor_b FROM ab JOIN o a ON a.package_id = package_a JOIN o b ON b.package_id = package_b WHERE a.place <= 5 AND b.place <= 5),
+e AS (SELECT x.*, edges.target_id, least_minor, requirement FROM x JOIN edges ON edges.version_id IN (x.id_a, x.id_b)), tops AS (SELECT package_id AS target_id, max(minor) AS top FROM o GROUP BY 1),
+direct AS (SELECT id_a, id_b, package_a, package_b FROM e WHERE (target_id = package_a AND minor_a < least_minor) OR (target_id = package_b AND minor_b < least_minor)),
+joint AS (SELECT id_a, id_b, package_a, package_b FROM e LEFT JOIN tops USING (target_id) GROUP BY 1, 2, 3, 4, target_id, top HAVING count(*) > 1 AND coalesce(top, -1) < max(least_minor)),
+n AS (SELECT id_a, id_b, package_a, package_b, count(*) AS conflicts FROM (SELECT * FROM direct UNION ALL SELECT * FROM joint) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"WITH ab AS (SELECT 3 AS package_a, 7 AS package_b), {_PAIRS} SELECT version_a, version_b, coalesce(conflicts, 0) = 0 AS resolvable, coalesce(conflicts, 0) AS conflicts FROM x LEFT JOIN n USING (id_a, id_b, package_a, package_b)")
 def compatibility_matrix(r):
-    return resolve.matrix(r.versions, 3, 7).select("version_a", "version_b")
+    pairs = r.spark.createDataFrame([(3, 7)], "package_a long, package_b long")
+    return resolve.compatibility(pairs, r.versions, r.edges).select("version_a", "version_b", "resolvable", "conflicts")
+
+
+@query(f"WITH ab AS (SELECT DISTINCT l.package_id AS package_a, e.target_id AS package_b FROM latest_versions l JOIN edges e USING (version_id) WHERE l.package_id <> e.target_id), {_PAIRS} SELECT package_a, package_b, count(*) AS tested, count(*) FILTER (WHERE conflicts IS NULL) AS compatible FROM x LEFT JOIN n USING (id_a, id_b, package_a, package_b) GROUP BY 1, 2")
+def compatibility_of_dependencies(r):
+    newest = r.latest_versions.select("version_id", F.col("package_id").alias("package_a"))
+    pairs = r.edges.join(newest, "version_id").select("package_a", F.col("target_id").alias("package_b")).where("package_a <> package_b").distinct()
+    return resolve.compatibility(pairs, r.versions, r.edges).groupBy("package_a", "package_b").agg(F.count("*").alias("tested"), F.count_if("resolvable").alias("compatible"))
+
+
+# types, traits and their implementations
+
+_KIND_RANK = "CASE impl_kind WHEN 'inherent' THEN 0 WHEN 'derive' THEN 1 WHEN 'trait' THEN 2 ELSE 3 END"
+_SOURCE_RANK = "CASE WHEN index_source = 'documented' AND (coalesce(len(methods), 0) > 0 OR trait_display IS NOT NULL OR is_blanket) THEN 0 WHEN index_source = 'documented' THEN 1 ELSE 2 END"
+_ONE_IMPL = f"""one AS (SELECT * FROM impls QUALIFY row_number() OVER (PARTITION BY release, lower(type_name), coalesce(lower(trait_name), ''), coalesce(lower(trait_display), ''), impl_kind ORDER BY CASE WHEN index_source = 'documented' THEN 4 ELSE 0 END + CASE WHEN coalesce(len(methods), 0) > 0 THEN 2 ELSE 0 END
+    + CASE WHEN trait_display IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN has_bounds THEN 1 ELSE 0 END + CASE WHEN is_blanket THEN 1 ELSE 0 END DESC, {_KIND_RANK}, {_SOURCE_RANK}, type_name, start_line, impl_id) = 1)"""
+
+
+@query(f"SELECT impl_id, type_name, trait_name, CAST({_KIND_RANK} AS BIGINT) AS kind_rank, CAST({_SOURCE_RANK} AS BIGINT) AS source_rank, CAST(coalesce(len(methods), 0) AS BIGINT) AS n_methods FROM impls WHERE lower(trait_name) IN ('economy', 'promo') AND release = 1")
+def impl_rows(r):
+    rows = types.implementations(r.impls.where("release = 1"), traits=["Economy", "PROMO"])
+    return rows.select("impl_id", "type_name", "trait_name", F.col("kind_rank").cast("long").alias("kind_rank"), F.col("source_rank").cast("long").alias("source_rank"), F.size(types.methods()).cast("long").alias("n_methods"))
+
+
+@query(f"WITH {_ONE_IMPL} SELECT impl_id, type_name, trait_name, impl_kind FROM one")
+def impl_dedup(r):
+    return types.one_of_each(r.impls).select("impl_id", "type_name", "trait_name", "impl_kind")
+
+
+@query(f"""WITH {_ONE_IMPL}, best AS (SELECT * FROM symbols QUALIFY row_number() OVER (PARTITION BY release, lower(name) ORDER BY CASE WHEN visibility = 'public' THEN 0 ELSE 1 END, CASE WHEN index_source = 'documented' AND path IS NOT NULL THEN 0 ELSE 1 END, start_line, symbol_id) = 1),
+m AS (SELECT release, lower(type_name) AS key, string_agg(DISTINCT u, ',' ORDER BY u) AS methods FROM (SELECT release, type_name, unnest(methods) AS u FROM one WHERE impl_kind = 'inherent') GROUP BY 1, 2)
+SELECT one.release, lower(type_name) AS key, coalesce(any_value(m.methods), '') AS methods, count(*) FILTER (WHERE impl_kind <> 'inherent') AS others, coalesce(string_agg(DISTINCT lower(trait_name), ',' ORDER BY lower(trait_name)), '') AS traits, any_value(best.symbol_id) AS symbol_id, any_value(best.path) AS path
+FROM one LEFT JOIN m ON m.release = one.release AND m.key = lower(type_name) LEFT JOIN best ON best.release = one.release AND lower(best.name) = lower(type_name) GROUP BY 1, 2""")
+def type_info(r):
+    return types.by_type(r.impls, r.symbols).select("release", "key", F.array_join("methods", ",").alias("methods"), "others", F.array_join("traits", ",").alias("traits"), "symbol_id", "path")
+
+
+@query(f"WITH {_ONE_IMPL} SELECT release, lower(trait_name) AS key, count(DISTINCT lower(type_name)) AS types, count(*) FILTER (WHERE impl_kind = 'derive') AS derived, count(*) FILTER (WHERE is_blanket) AS blanket FROM one WHERE trait_name IS NOT NULL GROUP BY 1, 2")
+def trait_impls(r):
+    return types.by_trait(r.impls)
 
 
 # states of the index by package and version

@@ -25,6 +25,12 @@ SQL = {
         CASE WHEN p_partkey % 11 = 0 THEN 'private' WHEN p_partkey % 7 = 0 THEN NULL ELSE 'public' END AS visibility, CASE WHEN p_partkey % 3 = 0 THEN 'documented' ELSE 'parsed' END AS index_source,
         p_partkey % 20 AS file_id, CAST(p_size * 10 AS BIGINT) AS start_line, CAST(p_size * 10 + p_partkey % 9 AS BIGINT) AS end_line, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'root::' || p_brand || '::' || p_name END AS path,
         CASE WHEN p_partkey % 6 = 0 THEN 'inner::' || p_name WHEN p_partkey % 4 <> 0 THEN 'root::' || p_brand || '::' || p_name END AS defined_at, p_size > 45 AS deprecated FROM part""",
+    "impls": """SELECT p_partkey AS impl_id, p_size % 2 AS release, p_name AS type_name, CASE WHEN p_partkey % 4 <> 0 THEN split_part(p_type, ' ', 1) END AS trait_name,
+        CASE p_partkey % 4 WHEN 0 THEN 'inherent' WHEN 1 THEN 'derive' WHEN 2 THEN 'trait' ELSE 'auto' END AS impl_kind, CASE WHEN p_partkey % 5 > 0 THEN list_transform(range(1, p_partkey % 5), lambda i: 'm' || i) END AS methods,
+        CASE WHEN p_partkey % 6 = 0 THEN p_brand END AS trait_display, p_partkey % 13 = 0 AS is_blanket, p_partkey % 17 = 0 AS has_bounds, CASE WHEN p_partkey % 3 = 0 THEN 'documented' ELSE 'parsed' END AS index_source,
+        CAST(p_size * 10 AS BIGINT) AS start_line, CAST(p_size * 10 + p_partkey % 9 AS BIGINT) AS end_line FROM part""",
+    "features": """SELECT l_orderkey AS version_id, 'f' || l_linenumber AS feature, 'dep:p' || (l_partkey % (SELECT count(*) FROM customer)) AS target FROM lineitem
+        UNION SELECT l_orderkey, 'f' || l_linenumber, 'f' || (l_linenumber - 1) FROM lineitem WHERE l_linenumber > 1 AND l_linestatus = 'O' UNION SELECT l_orderkey, 'default', 'f' || max(l_linenumber) FROM lineitem GROUP BY 1""",
     "advisories": """SELECT p_partkey AS row_id, p_partkey % (SELECT count(*) FROM customer) AS package_id, 'ADV-' || (p_partkey % 97) AS advisory_id, CASE WHEN p_size % 5 = 0 THEN 'SEMVER(introduced=0; fixed=1.' || (p_size * 4) || '.0)'
         WHEN p_size % 5 = 1 THEN '>= 1.' || p_size || '.0, < 1.' || (p_size + 20) || '.0' WHEN p_size % 5 = 2 THEN 'patched=>=1.' || (p_size * 3) || '.0' WHEN p_size % 5 = 3 THEN 'withdrawn=2001-01-01' ELSE 'see text' END AS affected_range,
         CASE p_size % 5 WHEN 0 THEN 'osv' WHEN 1 THEN 'ghsa' WHEN 2 THEN 'rustsec_db' ELSE 'osv' END AS source, CASE WHEN p_partkey % 3 = 0 THEN 'high' WHEN p_partkey % 3 = 1 THEN 'low' END AS severity FROM part WHERE p_size <= 10""",
@@ -44,10 +50,10 @@ def oracle(body: str) -> str:
     if "latest_versions" in body:
         parts.append("latest_versions AS (SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY package_id ORDER BY published_at DESC NULLS LAST, version_id DESC) = 1)")
     body = body.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {', '.join(parts)}, {body[5:]}"
     if body[:15].upper() == "WITH RECURSIVE ":
         return f"WITH RECURSIVE {', '.join(parts)}, {body[15:]}"
+    if body[:5].upper() == "WITH ":
+        return f"WITH {', '.join(parts)}, {body[5:]}"
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
@@ -98,6 +104,27 @@ class Registry:
             F.when(key % 6 == 0, F.concat(F.lit("inner::"), name)).when(key % 4 != 0, path).alias("defined_at"), (size > 45).alias("deprecated"),
         )
 
+    @cached_property
+    def impls(self) -> DataFrame:
+        key, size = F.col("p_partkey"), F.col("p_size")
+        names = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.lit("m"), i))
+        return self.table("part").select(
+            key.alias("impl_id"), (size % 2).alias("release"), F.col("p_name").alias("type_name"), F.when(key % 4 != 0, F.substring_index("p_type", " ", 1)).alias("trait_name"),
+            F.when(key % 4 == 0, "inherent").when(key % 4 == 1, "derive").when(key % 4 == 2, "trait").otherwise("auto").alias("impl_kind"), F.when(key % 5 > 0, F.slice(names, F.lit(1), (key % 5 - 1).cast("int"))).alias("methods"),
+            F.when(key % 6 == 0, F.col("p_brand")).alias("trait_display"), (key % 13 == 0).alias("is_blanket"), (key % 17 == 0).alias("has_bounds"), F.when(key % 3 == 0, "documented").otherwise("parsed").alias("index_source"),
+            (size * 10).cast("long").alias("start_line"), (size * 10 + key % 9).cast("long").alias("end_line"),
+        )
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """What each feature of a version enables: another feature, or a dependency (dep:)."""
+        line = F.col("l_linenumber")
+        named = lambda n: F.concat(F.lit("f"), n)
+        rows = self.table("lineitem").select(F.col("l_orderkey").alias("version_id"), named(line).alias("feature"), F.concat(F.lit("dep:p"), self._package_of("l_partkey")).alias("target"), line.alias("line"), "l_linestatus")
+        links = rows.where("line > 1 AND l_linestatus = 'O'").select("version_id", "feature", named(F.col("line") - 1).alias("target"))
+        default = rows.groupBy("version_id").agg(F.max("line").alias("line")).select("version_id", F.lit("default").alias("feature"), named(F.col("line")).alias("target"))
+        return rows.select("version_id", "feature", "target").unionByName(links).unionByName(default).distinct()
+
     @cached_property
     def advisories(self) -> DataFrame:
         key, size = F.col("p_partkey"), F.col("p_size")

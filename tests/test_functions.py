@@ -124,7 +124,7 @@ def test_feature_impact_of_all_versions(spark):
     from depscope.plans import catalog
 
     folder = "/root/testdata/sf0.001"
-    found = catalog.QUERIES["feature_impact_all"](spark, folder).select("version_id").distinct().count()
+    found = catalog.QUERIES["feature_impact"](spark, folder).select("version_id").distinct().count()
     assert found == spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey").distinct().count()
 
 
@@ -134,5 +134,47 @@ def test_dependents_of_all_packages(spark):
     folder = "/root/testdata/sf0.001"
     packages = spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey")
     targets = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr(f"l_partkey % {packages.count()} AS c_custkey")
-    found = {r["root_id"] for r in catalog.QUERIES["graph_dependents_all"](spark, folder).select("root_id").distinct().collect()}
+    found = {r["root_id"] for r in catalog.QUERIES["graph_dependents"](spark, folder).select("root_id").distinct().collect()}
     assert max(found) >= 40 and found == {r["c_custkey"] for r in packages.join(targets, "c_custkey", "left_semi").collect()}
+
+
+def test_one_implementation_of_each_identity(spark):
+    from depscope.operators import types
+
+    schema = "impl_id long, release int, type_name string, trait_name string, impl_kind string, methods array<string>, trait_display string, is_blanket boolean, has_bounds boolean, index_source string, start_line long, end_line long"
+    rows = [
+        (1, 0, "Thing", "Clone", "derive", None, None, False, False, "parsed", 5, 6),
+        (2, 0, "thing", "CLONE", "derive", [], None, False, False, "documented", 9, 9),
+        (3, 0, "Thing", None, "inherent", ["a", "b"], None, False, False, "parsed", 1, 2),
+        (4, 0, "Thing", None, "inherent", ["b", "c"], "X", False, False, "parsed", 1, 2),
+        (5, 0, "Thing", "Clone", "other", None, None, True, True, "parsed", 1, 2),
+    ]
+    impls = spark.createDataFrame(rows, schema)
+    assert {r["impl_id"] for r in types.one_of_each(impls).collect()} == {2, 3, 4, 5}
+    ranked = {r["impl_id"]: (r["kind_rank"], r["source_rank"]) for r in types.implementations(impls, types=["THING"]).collect()}
+    assert ranked == {1: (1, 2), 2: (1, 1), 3: (0, 2), 4: (0, 2), 5: (3, 2)}
+    symbols = spark.createDataFrame([(7, 0, "THING", "public", "parsed", None, 1)], "symbol_id long, release int, name string, visibility string, index_source string, path string, start_line long")
+    found = types.by_type(impls, symbols).collect()
+    assert len(found) == 1 and found[0]["methods"] == ["a", "b", "c"] and found[0]["others"] == 2 and found[0]["traits"] == ["clone"] and found[0]["symbol_id"] == 7
+    assert types.by_type(impls.limit(0), symbols).count() == types.by_trait(impls.limit(0)).count() == 0
+
+
+def test_features_over_chains_and_cycles(spark):
+    from depscope.operators import resolve
+
+    chain = [(1, f"f{i}", f"f{i + 1}") for i in range(12)] + [(1, "f12", "dep:last"), (1, "default", "f0"), (2, "a", "b"), (2, "b", "a"), (2, "b", "dep:x")]
+    found = {(r["version_id"], r["feature"]): r for r in resolve.feature_listing(spark.createDataFrame(chain, "version_id long, feature string, target string")).collect()}
+    assert found[1, "default"]["transitive"] == sorted(f"f{i}" for i in range(13)) and found[1, "f0"]["is_default"] and not found[1, "f1"]["is_default"]
+    assert found[1, "f12"]["dependencies"] == ["last"] and found[1, "f12"]["transitive"] == []
+    assert found[2, "a"]["transitive"] == ["a", "b"] and found[2, "b"]["dependencies"] == ["x"]
+
+
+def test_pinned_versions_that_conflict(spark):
+    from depscope.operators import resolve
+
+    versions = spark.createDataFrame([(10, 1, "1.0.0", "2020-01-01"), (11, 1, "2.0.0", "2021-01-01"), (20, 2, "1.0.0", "2020-01-01"), (30, 3, "1.5.0", "2020-01-01")], "version_id long, package_id long, version string, published_at string")
+    edges = spark.createDataFrame([(20, 1, "^1.0"), (20, 3, "^1.2"), (11, 3, "^2.0")], "version_id long, target_id long, requirement string")
+    pairs = spark.createDataFrame([(1, 2)], "package_a long, package_b long")
+    found = {r["version_a"]: (r["resolvable"], r["conflicts"]) for r in resolve.compatibility(pairs, versions, edges).collect()}
+    # 2.0.0 is not ^1.0, and no version of package 3 is both ^1.2 and ^2.0
+    assert found == {"1.0.0": (True, 0), "2.0.0": (False, 2)}
