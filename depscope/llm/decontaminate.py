@@ -30,7 +30,7 @@ from .fm_index import FMIndex
 from .rows import numbered, picked, place_of, renewed
 from .scratch import release, written
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_WORDS = 1 << 20
 
 FIELDS = [

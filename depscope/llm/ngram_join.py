@@ -311,10 +311,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbers = written(work.withColumn("rank", rank).withColumn("node", F.monotonically_increasing_id()), "numbered-rows")
     rows, sets = _classes(numbers.where("rank.id IS NOT NULL").select(F.col("node").alias("id"), F.col(text).cast("string").alias("text")), size, num, den, unique=True)
     group = rows.where("n > 0").join(sets, SIGNATURE).select(F.col("id").alias("node"), "found")
-    several = group.groupBy("found").agg(F.count("*").alias("k")).where("k > 1").select("found")
-    ranked = group.join(several, "found").join(numbers.select("node", "rank"), "node")
-    least = ranked.groupBy("found").agg(F.min(F.struct("rank", "node")).alias("first"))
-    gone = ranked.join(least, "found").where(F.col("node") != F.col("first.node")).select("node")
+    # one row of each group by partial minima; no join goes by the group, which may be large
+    stays = group.join(numbers.select("node", "rank"), "node").groupBy("found").agg(F.min(F.struct("rank", "node")).alias("first")).select("first.node")
+    gone = group.select("node").join(stays, "node", "left_anti")
     return numbers.join(gone, "node", "left_anti").select(*work.columns).toDF(*docs.columns)
 
 
