@@ -9,12 +9,14 @@ places where equal strings can be:
 3. Regions are keyed by anchor and content, and counted with partial sums in each task: all strings of a region
    found twice are repeated. Equal regions go on as one.
 4. Where regions share an anchor but not all their bytes, one text of each is sorted: suffixes start in buckets of
-   their first 8 bytes, and a bucket is refined by the bucket numbers of the suffixes 8, 16, 32, ... bytes later,
-   which the round before has just refined. A string is repeated if its last bucket holds two suffixes.
-5. The covered bytes of a document merge into removal spans.
+   their first 7 bytes, and a bucket is refined by the bucket pointers of later offsets; what a bucket has become is
+   reused by those after it. A string is repeated if a neighbour in the order has its `length` bytes.
+5. Regions of an anchor with very many kinds are first cut into parts of strings that share most of their bytes, and
+   parts are keyed by those bytes, counted and sorted as regions are.
+6. The covered bytes of a document merge into removal spans.
 
 Only counts reach the driver. Small lists of ids and anchors are broadcast after their rows are counted, else joined by
-shuffles. Matches never cross documents, as regions don't. A block is cut between anchors, never within one.
+shuffles. Matches never cross documents, as regions don't. A block is cut between anchors, or parts, never within one.
 
 Defined cases: a null text is empty; shorter texts lose nothing; equal rows are places of their own, so both lose
 what they share; ids may repeat or be null; an empty table gives an empty result.
@@ -36,6 +38,11 @@ from .scratch import if_small, written
 LENGTH = 200
 ANCHOR = 64
 BLOCK_BYTES = 1 << 20
+#: Ranges of ranks that are refined one after the other, within a block.
+PASSES = 16
+#: Regions of an anchor with more kinds than this are split before they are sorted.
+HOT_KINDS = 512
+_WHOLE = 1 << 40
 BROADCAST_ROWS = 2_000_000
 
 
@@ -72,33 +79,74 @@ def regions(data: np.ndarray, off: np.ndarray, length: int, anchor: int) -> tupl
     return row, begin - off[row], end - off[row], grams[at[first]], B.span_hash(sums, begin, end)
 
 
-def repeated_suffixes(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+def repeated_suffixes(text: np.ndarray, ends: np.ndarray, length: int, passes: int = PASSES) -> np.ndarray:
     """Places whose first `length` bytes are found at another place too. ends: each place's end of region.
 
-    Bucket-pointer refinement: after a round with step k, a bucket is the places that agree on 2 * k bytes.
+    Bucket-pointer refinement. A bucket's pointer is the rank of its first suffix, its depth the bytes on which its
+    suffixes agree. The first buckets are those of the first bytes; they are refined a range of ranks at a time, each
+    until its buckets hold one suffix or agree on `length` bytes. A bucket of depth d is sorted by the pointers of the
+    suffixes d bytes later and is then as much deeper as the bucket it was sorted by, so that later ranges go by what
+    earlier ones have refined. The end of a region is less than every byte. Pointers may tell suffixes apart by bytes
+    beyond `length`, so neighbours in the final order are compared by their bytes.
     """
     n = len(text)
-    place = np.arange(n)
-    q = min(8, length)
-    word = np.zeros(n, np.uint64)
+    left = ends - np.arange(n)
+    q = min(7, length)
+    word = np.minimum(left, q).astype(np.uint64)
     for k in range(q):
-        word[: n - k] |= text[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
-    # only places with `length` bytes left matter, and those a round looks up from them
-    bucket = np.full(n, -1, np.int64)
-    use = place[place + q <= ends]
-    bucket[use] = np.unique(word[use], return_inverse=True)[1]
-    depth = q
-    while depth < length:
-        step = min(depth, length - depth)
-        use = place[place + depth + step <= ends]
-        key = bucket[use] * n + bucket[use + step]
-        _, inverse, size = np.unique(key, return_inverse=True, return_counts=True)
-        depth += step
-        bucket = np.full(n, -1, np.int64)
-        bucket[use] = inverse
-    use = place[place + length <= ends]
-    found = bucket[use]
-    return use[np.bincount(found)[found] > 1] if len(use) else use
+        inside = left[: n - k] > k
+        word[: n - k][inside] |= text[k:][inside].astype(np.uint64) << np.uint64(8 * (7 - k))
+    order = np.argsort(word)
+    ranked = word[order]
+    new = np.ones(n, bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    heads = np.flatnonzero(new)
+    pointer = np.empty(n, np.int64)
+    pointer[order] = np.repeat(heads, np.diff(np.append(heads, n)))
+    depth = np.where(left >= q, q, _WHOLE)
+
+    cuts = heads[np.searchsorted(heads, np.arange(1, passes) * n // passes, side="left").clip(max=len(heads) - 1)] if n else heads
+    edges = np.unique(np.concatenate([[0], cuts, [n]]))
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        at = np.arange(low, high)
+        while len(at):
+            # `at` are the ranks of whole buckets
+            x = order[at]
+            old = pointer[x]
+            size = np.bincount(old - low, minlength=1)[old - low]
+            x = x[(size > 1) & (depth[x] < length)]
+            if not len(x):
+                break
+            old = pointer[x]
+            target = x + depth[x]
+            inside = target < ends[x]
+            target = np.where(inside, target, x)
+            key = np.where(inside, pointer[target] + 1, 0)
+            deeper = np.where(inside, np.minimum(depth[x] + depth[target], _WHOLE), _WHOLE)
+            by = np.argsort(old * (n + 1) + key)
+            x, old, key, deeper = x[by], old[by], key[by], deeper[by]
+            bucket = np.ones(len(x), bool)
+            bucket[1:] = old[1:] != old[:-1]
+            part = bucket.copy()
+            part[1:] |= key[1:] != key[:-1]
+            i = np.arange(len(x))
+            start = np.maximum.accumulate(np.where(bucket, i, 0))
+            at = old + i - start
+            order[at] = x
+            pointer[x] = old + np.maximum.accumulate(np.where(part, i, 0)) - start
+            depth[x] = deeper
+
+    full = left[order] >= length
+    a, b = order[:-1], order[1:]
+    pair = np.flatnonzero(full[:-1] & full[1:])
+    same = (pointer[a[pair]] == pointer[b[pair]]) & (depth[a[pair]] >= length)
+    open_ = pair[~same]
+    for step in [*range(0, length - q, q), length - q]:
+        open_ = open_[word[a[open_] + step] == word[b[open_] + step]]
+    equal = np.zeros(n + 1, bool)
+    equal[pair[same] + 1] = True
+    equal[open_ + 1] = True
+    return np.sort(order[(equal[:-1] | equal[1:])[:n]])
 
 
 def _sorted_spans(rows: list[tuple], length: int) -> pa.RecordBatch:
@@ -117,6 +165,51 @@ def _sorted_spans(rows: list[tuple], length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([rows[i][k] for i in row[first]], pa.int64()) for k in (0, 1)] + [pa.array(start), pa.array(end)], names=["id", "key", "start", "end"])
 
 
+def _bytes_of(source: DataFrame, regions_: DataFrame) -> DataFrame:
+    """(id, key, anchor, start, bytes) of regions (anchor, key, id, start, end), read from the rows (id, key, text)."""
+    by_text = written(regions_.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("regions")), "partial-regions")
+    holders = by_text.select(F.col("id").alias("h_id"), F.col("key").alias("h_key"))
+    same = F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key"))
+    held = source.join(if_small(holders, BROADCAST_ROWS), same, "left_semi").dropDuplicates(["id", "key"]).withColumnsRenamed({"id": "h_id", "key": "h_key"})
+    raw = held.join(by_text, same).select("id", "key", F.encode("text", "utf-8").alias("raw"), F.explode("regions").alias("r"))
+    return raw.select("id", "key", F.col("r.anchor").alias("anchor"), F.col("r.start").alias("start"), F.expr("substring(raw, r.start + 1, r.end - r.start)").alias("bytes"))
+
+
+def _split(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Parts (id, key, anchor, content, start, end, bytes) of regions (id, key, anchor, start, bytes).
+
+    A part holds the strings whose starts are within some bytes of each other, counted from the anchor. All of them
+    hold the same stretch around the anchor, whose hash is the part's new anchor: equal strings are in equal parts.
+    """
+    width = max(1, (length - anchor) // 8)
+    for batch in batches:
+        for piece in B.bind_columns(batch, 4):
+            data, off = B.text_bytes(piece.column(4))
+            known = piece.column(2).to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(len(known)), np.diff(off))
+            sums = B.prefix_hash(data)
+            grams = B.mix((sums[anchor:] - sums[:-anchor]) * B.powers(len(sums))[1][: len(sums) - anchor])
+            found = np.flatnonzero(grams == known[row[: len(grams)]])
+            found = found[found + anchor <= off[row[found] + 1]]
+            at = np.empty(len(known), np.int64)
+            at[row[found][::-1]] = found[::-1]  # the first one of each region
+            for g in range((length - anchor) // width + 1):
+                low, high = at - g * width - width + 1, at - g * width
+                first, last = np.maximum(low, off[:-1]), np.minimum(high, off[1:] - length)
+                use = np.flatnonzero(first <= last)
+                if not len(use):
+                    continue
+                begin, end = first[use], last[use] + length
+                around = B.span_hash(sums, high[use], low[use] + length)
+                new = B.mix(around + known[use] + np.uint64(g))
+                content = B.span_hash(sums, begin, end)
+                start = piece.column(3).to_numpy()[use] - off[use]
+                columns = [piece.column(k).take(pa.array(use)) for k in (0, 1)]
+                columns += [pa.array(new.view(np.int64)), pa.array(content.view(np.int64)), pa.array((start + begin).astype(np.int32)), pa.array((start + end).astype(np.int32))]
+                columns.append(pa.array([data[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "anchor", "content", "start", "end", "bytes"])
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(id, key, start, end) of repeated strings, overlapping and in no order, for rows (id, key, text)."""
 
@@ -138,17 +231,26 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
     kinds = written(places.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "id", "start", "end")).alias("one")), "region-kinds")
     twice = kinds.where("n > 1").select("anchor", "content")
-    whole = places.join(twice, ["anchor", "content"], "left_semi").select("id", "key", "start", "end")
-
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    partial = kinds.join(several, "anchor", "left_semi").select("anchor", "one.*")
-    by_text = written(partial.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("regions")), "partial-regions")
-    holders = by_text.select(F.col("id").alias("h_id"), F.col("key").alias("h_key"))
-    same = F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key"))
-    held = source.join(if_small(holders, BROADCAST_ROWS), same, "left_semi").dropDuplicates(["id", "key"]).withColumnsRenamed({"id": "h_id", "key": "h_key"})
-    bytes_ = held.join(by_text, same).select("id", "key", F.encode("text", "utf-8").alias("raw"), F.explode("regions").alias("r"))
-    bytes_ = bytes_.select("id", "key", F.col("r.anchor").alias("anchor"), F.col("r.start").alias("start"), F.expr("substring(raw, r.start + 1, r.end - r.start)").alias("bytes"))
-    ordered = bytes_.repartition("anchor").sortWithinPartitions("anchor")
+    spans = places.join(twice, ["anchor", "content"], "left_semi").select("id", "key", "start", "end")
+
+    sizes = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds-of-anchors")
+    several = if_small(sizes.where(F.col("kinds") <= HOT_KINDS).select("anchor"), BROADCAST_ROWS)
+    hot = sizes.where(F.col("kinds") > HOT_KINDS).select("anchor")
+    if not hot.isEmpty():
+        hot = if_small(hot, BROADCAST_ROWS)
+        crowded = _bytes_of(source, kinds.join(hot, "anchor", "left_semi").select("anchor", "one.*"))
+        parts = written(crowded.mapInArrow(lambda b: _split(b, length, anchor), "id long, key long, anchor long, content long, start int, end int, bytes binary"), "parts-of-regions")
+        of_part = written(parts.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "id", "start", "bytes")).alias("one")), "part-kinds")
+        twice = if_small(of_part.where("n > 1").select("anchor", "content"), BROADCAST_ROWS)
+        spans = spans.unionAll(parts.join(twice, ["anchor", "content"], "left_semi").select("id", "key", "start", "end"))
+        open_ = of_part.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+        split = of_part.join(open_, "anchor", "left_semi").select("one.id", "one.key", "anchor", "one.start", "one.bytes")
+        kinds = kinds.join(hot, "anchor", "left_anti")
+    else:
+        split = None
+    whole = _bytes_of(source, kinds.join(several, "anchor", "left_semi").select("anchor", "one.*"))
+    to_sort = whole if split is None else whole.unionAll(split)
+    ordered = to_sort.repartition("anchor").sortWithinPartitions("anchor")
 
     def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -164,7 +266,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         if rows:
             yield _sorted_spans(rows, length)
 
-    return whole.unionAll(ordered.select("id", "key", "anchor", "start", "bytes").mapInArrow(sort_blocks, "id long, key long, start long, end long"))
+    return spans.unionAll(ordered.mapInArrow(sort_blocks, "id long, key long, start long, end long"))
 
 
 _RESULT = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"

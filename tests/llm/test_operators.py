@@ -575,6 +575,37 @@ def test_suffix_dedup_paths(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [3, 7, 20, 64])
+def test_repeated_suffixes(length):
+    rng = random.Random(length)
+    common = bytes(rng.randrange(3) for _ in range(150))
+    texts = [bytes(rng.randrange(2 if i % 2 else 4) for _ in range(rng.randrange(200))) for i in range(12)]
+    texts += [common, common[:90] + b"\0" + common[90:], common, b"", b"\0" * 80, common[40:], b"ab" * 60]
+    size = np.array([len(t) for t in texts])
+    ends = np.repeat(np.cumsum(size), size)
+    text = b"".join(texts)
+    places = [p for p in range(len(text)) if p + length <= ends[p]]
+    seen = Counter(text[p : p + length] for p in places)
+    want = [p for p in places if seen[text[p : p + length]] > 1]
+    for passes in (1, 2, 16, 300):
+        assert suffix_dedup.repeated_suffixes(np.frombuffer(text, np.uint8), ends, length, passes).tolist() == want
+    assert len(suffix_dedup.repeated_suffixes(np.empty(0, np.uint8), np.empty(0, np.int64), length)) == 0
+
+
+@pytest.mark.parametrize("limit", [512, 3, 1])
+def test_suffix_dedup_hot_anchor(spark, limit):
+    rng = random.Random(5)
+    common = "".join(rng.choice("abcdefghij ") for _ in range(420))
+    rows = [(i, common[: rng.randrange(150, 420)] + "".join(rng.choice("xyz") for _ in range(90)) + common[rng.randrange(300) :]) for i in range(40)]
+    rows += [(100, rows[0][1]), (101, common[:230] + "Q" + common[231:]), (102, common[:230] + "Q" + common[231:400])]
+    old = suffix_dedup.HOT_KINDS
+    suffix_dedup.HOT_KINDS = limit
+    try:
+        test_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows, 200, 64)
+    finally:
+        suffix_dedup.HOT_KINDS = old
+
+
 def test_names():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.queries()) == list(range(1, 11))
     assert set(llm.oracle_sql()) <= set(llm.queries())
