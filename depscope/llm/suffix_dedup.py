@@ -42,6 +42,8 @@ BLOCK_BYTES = 1 << 20
 PASSES = 16
 #: Regions of an anchor with more kinds than this are split before they are sorted.
 HOT_KINDS = 512
+#: Kinds found at more places than this are joined by broadcast.
+HOT_PLACES = 512
 _WHOLE = 1 << 40
 BROADCAST_ROWS = 2_000_000
 
@@ -230,8 +232,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     places = written(places.join(anchors, "anchor", "left_semi"), "regions")
 
     kinds = written(places.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "id", "start", "end")).alias("one")), "region-kinds")
-    twice = kinds.where("n > 1").select("anchor", "content")
-    spans = places.join(twice, ["anchor", "content"], "left_semi").select("id", "key", "start", "end")
+    # a kind with very many places is joined where its places are read, so that they do not meet in one task
+    by_kind = ["anchor", "content"]
+    copied = if_small(kinds.where(F.col("n") > HOT_PLACES).select(by_kind), BROADCAST_ROWS)
+    twice = kinds.where((F.col("n") > 1) & (F.col("n") <= HOT_PLACES)).select(by_kind)
+    spans = places.join(copied, by_kind, "left_semi").unionAll(places.join(copied, by_kind, "left_anti").join(twice, by_kind, "left_semi"))
+    spans = spans.select("id", "key", "start", "end")
 
     sizes = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds-of-anchors")
     several = if_small(sizes.where(F.col("kinds") <= HOT_KINDS).select("anchor"), BROADCAST_ROWS)

@@ -598,12 +598,12 @@ def test_suffix_dedup_hot_anchor(spark, limit):
     common = "".join(rng.choice("abcdefghij ") for _ in range(420))
     rows = [(i, common[: rng.randrange(150, 420)] + "".join(rng.choice("xyz") for _ in range(90)) + common[rng.randrange(300) :]) for i in range(40)]
     rows += [(100, rows[0][1]), (101, common[:230] + "Q" + common[231:]), (102, common[:230] + "Q" + common[231:400])]
-    old = suffix_dedup.HOT_KINDS
-    suffix_dedup.HOT_KINDS = limit
+    old = suffix_dedup.HOT_KINDS, suffix_dedup.HOT_PLACES
+    suffix_dedup.HOT_KINDS = suffix_dedup.HOT_PLACES = limit
     try:
         test_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows, 200, 64)
     finally:
-        suffix_dedup.HOT_KINDS = old
+        suffix_dedup.HOT_KINDS, suffix_dedup.HOT_PLACES = old
 
 
 def test_names():
