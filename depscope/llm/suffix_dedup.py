@@ -37,7 +37,7 @@ from .scratch import if_small, written
 
 LENGTH = 200
 ANCHOR = 64
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Ranges of ranks that are refined one after the other, within a block.
 PASSES = 16
 #: Regions of an anchor with more kinds than this are split before they are sorted.
@@ -306,8 +306,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key"))
     ids = if_small(spans.select("h_id", "h_key"), BROADCAST_ROWS)
     hit = texts.join(ids, same, "left_semi").join(spans, same).select("id", "text", "spans")
-    clean = texts.join(ids, same, "left_anti").select("id", "text", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"))
-    return hit.unionAll(clean).mapInArrow(_cut, f"id long, {_RESULT}").withColumnRenamed("id", id_col)
+    raw = F.encode("text", "utf-8")
+    clean = texts.join(ids, same, "left_anti").select(
+        "id", F.length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), raw.alias("kept")
+    )
+    return hit.mapInArrow(_cut, f"id long, {_RESULT}").unionByName(clean).withColumnRenamed("id", id_col)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
