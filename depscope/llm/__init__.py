@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroid_clusters import OP11_SQL, op11_centroid_clusters
 from .chat_format import OP2_SQL, op2_chat_format
 from .context_tree import op6_context_tree_score
 from .decontaminate import OP4_SQL, op4_benchmark_decontamination
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_line_dedup, op2_chat_format, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_counts,
         op6_context_tree_score, op7_token_files, op8_sentencepiece, op9_suffix_dedup, op10_quality_rules,
+        op11_centroid_clusters,
     )
     return {f.__name__: f for f in found}
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL,
         "op4_benchmark_decontamination": OP4_SQL, "op10_quality_rules": OP10_SQL,
+        "op11_centroid_clusters": OP11_SQL,
     }
