@@ -17,13 +17,14 @@ from .sentencepiece_codec import op8_sentencepiece
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op5_token_counts
 from .token_files import op7_token_files
+from .warc import OP12_SQL, op12_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_line_dedup, op2_chat_format, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_counts,
         op6_context_tree_score, op7_token_files, op8_sentencepiece, op9_suffix_dedup, op10_quality_rules,
-        op11_centroid_clusters,
+        op11_centroid_clusters, op12_warc,
     )
     return {f.__name__: f for f in found}
 
@@ -32,5 +33,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL,
         "op4_benchmark_decontamination": OP4_SQL, "op10_quality_rules": OP10_SQL,
-        "op11_centroid_clusters": OP11_SQL,
+        "op11_centroid_clusters": OP11_SQL, "op12_warc": OP12_SQL,
     }
