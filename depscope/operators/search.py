@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import fulltext
 from .lookup import first_by
 
 
@@ -31,6 +32,34 @@ def search_packages(packages: DataFrame, versions: DataFrame, edges: DataFrame,
     return joined.orderBy(*ranks[order]).limit(limit)
 
 
+def search_texts(
+    packages: DataFrame, versions: DataFrame, edges: DataFrame, descriptions: fulltext.Index, query: str | None = None, category: str | None = None, keyword: str | None = None, order: str = "relevance", limit: int = 10, offset: int = 0
+) -> DataFrame:
+    """Packages (package_id, name, description, keywords, categories) by a free text, an exact category, an exact keyword.
+
+    A text finds a package whose name or description holds it in any case, that has it as a keyword or category, or
+    whose description matches it as a web search over stems. relevance: twice the similarity of the name, that of the
+    description, 1.5 for a name that holds the text, 1 for a match of stems. descriptions: their full-text index.
+    """
+    rows, score = packages, F.lit(0.0)
+    if query is not None:
+        rows = rows.join(fulltext.match(descriptions, query).select(F.col("id").alias("package_id"), F.lit(True).alias("matched")), "package_id", "left")
+        matched, described = F.coalesce("matched", F.lit(False)), F.coalesce("description", F.lit(""))
+        named = X.contains(F.col("name"), query)
+        rows = rows.where(named | X.contains(described, query) | F.array_contains("keywords", query) | F.array_contains("categories", query) | matched)
+        score = 2 * X.similarity(F.col("name"), F.lit(query)) + X.similarity(described, F.lit(query)) + F.when(named, 1.5).otherwise(0.0) + F.when(matched, 1.0).otherwise(0.0)
+    if category is not None:
+        rows = rows.where(F.array_contains("categories", category))
+    if keyword is not None:
+        rows = rows.where(F.array_contains("keywords", keyword))
+    totals = versions.groupBy("package_id").agg(F.max("downloads").alias("downloads"), F.max("published_at").alias("last_published"), F.max_by("version", F.struct(F.col("published_at").isNotNull(), "published_at", "version_id")).alias("latest_version"))
+    depending = edges.groupBy(F.col("target_id").alias("package_id")).agg(F.count_distinct("version_id").alias("depending_versions"))
+    found = rows.withColumn("relevance", F.round(score, 9)).join(totals, "package_id", "left").join(depending, "package_id", "left").na.fill(0, ["downloads", "depending_versions"])
+    ranks = {"relevance": [F.desc("relevance"), F.desc("downloads"), F.asc("name")], "downloads": [F.desc("downloads"), F.asc("name")], "recent": [F.desc_nulls_last("last_published"), F.desc("downloads"), F.asc("name")]}
+    chosen = ranks["downloads" if order == "relevance" and query is None else order]
+    return found.orderBy(*chosen).offset(max(offset, 0)).limit(max(limit, 1)).select("package_id", "name", "relevance", "downloads", "latest_version", "last_published", "depending_versions")
+
+
 def search_docs(pages: DataFrame, query: str, section: str | None = None, path_prefix: str | None = None) -> DataFrame:
     """Pages whose content or path holds the query, with a snippet."""
     filters = [X.contains(F.col("content"), query) | X.contains(F.col("path"), query)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score as S
 from ..functions import text as X
-from ..operators import api, graph, lookup, monitor, resolve, search, types
+from ..operators import api, fulltext, graph, lookup, monitor, resolve, search, types
 from ..sources import snapshot
 from ..sources.registry import AS_OF, EVENTS_AS_OF, Registry, oracle
 
@@ -166,6 +166,37 @@ def overlap_candidates(r):
     return r.packages.join(groups, ["category", "keyword"]).select("package_id", "candidates")
 
 
+# full text: stems and phrases are expressions over the words here
+
+_WORDS = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), ' ') || ' '"
+_TIMES = "list_sum(list_transform(range(1, len(list_filter(string_split(ws, ' '), lambda w: regexp_matches(w, '^{0}$'))) + 1), lambda j: 1.0 / (j * j)))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_WORDS.format("content")} AS ws FROM docs_pages)
+SELECT doc_id, round((coalesce({_TIMES.format("right(s|ed|ing|ly)?")}, 0) + coalesce({_TIMES.format("reserv(e|es|ed|ing)?")}, 0) + coalesce({_TIMES.format("licens(e|es|ed|ing)?")}, 0)) * 0.1 / 1.64493406685 / 3, 9) AS rank FROM t
+WHERE regexp_matches(ws, ' right(s|ed|ing|ly)? reserv(e|es|ed|ing)? ') OR (regexp_matches(ws, ' licens(e|es|ed|ing)? ') AND NOT regexp_matches(ws, ' idiots? '))""")
+def fulltext_match(r):
+    index = fulltext.build(r.docs_pages, "doc_id", "content")
+    return fulltext.match(index, '"all rights reserved" or licensed -idiots').select(F.col("id").alias("doc_id"), F.round("rank", 9).alias("rank"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_WORDS.format("content")} AS ws FROM docs_pages)
+SELECT doc_id FROM t WHERE NOT regexp_matches(ws, ' the ') AND NOT regexp_matches(ws, ' released under the ')""")
+def fulltext_without(r):
+    index = fulltext.build(r.docs_pages, "doc_id", "content", fulltext.SIMPLE)
+    return fulltext.match(index, '-the -"released under the"').select(F.col("id").alias("doc_id"))
+
+
+@query(f"""WITH t AS (SELECT *, coalesce(regexp_matches({_WORDS.format("description")}, ' licens(e|es|ed|ing)? '), false) AS matched FROM package_texts),
+h AS (SELECT *, round(2 * {_sim("name", "'licensed'")} + {_sim("coalesce(description, '')", "'licensed'")} + CASE WHEN contains(lower(name), 'licensed') THEN 1.5 ELSE 0 END + CASE WHEN matched THEN 1 ELSE 0 END, 9) AS relevance
+    FROM t WHERE contains(lower(name), 'licensed') OR contains(lower(coalesce(description, '')), 'licensed') OR list_contains(keywords, 'licensed') OR list_contains(categories, 'licensed') OR matched),
+v AS (SELECT package_id, max(downloads) AS downloads, max(published_at) AS last_published, arg_max(version, (published_at, version_id)) AS latest_version FROM versions GROUP BY 1), d AS (SELECT target_id AS package_id, count(DISTINCT version_id) AS n FROM edges GROUP BY 1)
+SELECT package_id, name, relevance, coalesce(downloads, 0) AS downloads, latest_version, last_published, coalesce(n, 0) AS depending_versions FROM h LEFT JOIN v USING (package_id) LEFT JOIN d USING (package_id) ORDER BY relevance DESC, coalesce(downloads, 0) DESC, name LIMIT 20""")
+def search_fulltext(r):
+    descriptions = fulltext.build(r.package_texts, "package_id", "description")
+    return search.search_texts(r.package_texts, r.versions, r.edges, descriptions, "licensed", limit=20)
+
+
 @query("SELECT doc_id, section, path, CASE WHEN instr(lower(content), 'license') > 0 THEN substring(content, greatest(instr(lower(content), 'license') - 80, 1), instr(lower(content), 'license') + 7 + 140 - greatest(instr(lower(content), 'license') - 80, 1)) ELSE substring(content, 1, 220) END AS snippet FROM docs_pages WHERE contains(lower(content), 'license') OR contains(lower(path), 'license')")
 def docs_search(r):
     return search.search_docs(r.docs_pages, "license")

@@ -39,6 +39,8 @@ SQL = {
         CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'finished' END AS status, user_id % 4 AS attempts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS priority,
         date_trunc('second', ts) AS requested_at, date_trunc('second', ts) + to_seconds(CAST(floor(value) AS BIGINT)) AS finished_at, CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'code ' || user_id END AS last_error FROM events""",
     "source_lines": "SELECT doc_id, source || '/' || doc_id || '.txt' AS path, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line_no FROM documents WHERE text IS NOT NULL",
+    "package_texts": """SELECT c_custkey AS package_id, c_name AS name, substring(text, 1, 600) AS description, [n_name] AS keywords, list_distinct(list_filter([c_mktsegment, lang], lambda x: x IS NOT NULL)) AS categories
+        FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN documents ON doc_id = c_custkey""",
     "docs_pages": "SELECT doc_id, source AS section, source || '/' || doc_id AS path, text AS content, lang FROM documents WHERE text IS NOT NULL",
 }
 
@@ -155,6 +157,13 @@ class Registry:
         docs = self.table("documents").where("text IS NOT NULL")
         return docs.select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", (F.col("line_no") + 1).cast("long"))
 
+    @cached_property
+    def package_texts(self) -> DataFrame:
+        """Packages with a description, the beginning of the document of their number."""
+        about = self.table("documents").select(F.col("doc_id").alias("c_custkey"), F.substring("text", 1, 600).alias("description"), "lang")
+        rows = self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(about, "c_custkey", "left")
+        return rows.select(F.col("c_custkey").alias("package_id"), F.col("c_name").alias("name"), "description", F.array("n_name").alias("keywords"), F.array_distinct(F.array_compact(F.array("c_mktsegment", "lang"))).alias("categories"))
+
     @cached_property
     def docs_pages(self) -> DataFrame:
         docs = self.table("documents").where("text IS NOT NULL")
