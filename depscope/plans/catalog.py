@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score as S
 from ..functions import text as X
-from ..operators import api, fulltext, graph, lookup, monitor, resolve, search, types
+from ..operators import api, codesearch, fulltext, graph, lookup, monitor, resolve, search, types
 from ..sources import snapshot
 from ..sources.registry import AS_OF, EVENTS_AS_OF, Registry, oracle
 
@@ -240,6 +240,27 @@ def usage_capped(r):
     return search.matches_capped(r.source_lines, "the ", 2)
 
 
+def _source_index(r: Registry) -> codesearch.Index:
+    return codesearch.build(r.source_files, "doc_id", "path", "text")
+
+
+@query(r"SELECT doc_id, path, min(line_no) AS line_no, arg_min(substring(trim(line), 1, 220), line_no) AS snippet, count(*) AS matches FROM source_lines WHERE regexp_matches(line, '(?i)released under the \w+ licen[sc]e') GROUP BY 1, 2")
+def source_regex(r):
+    lines = codesearch.matching_lines(_source_index(r), r"released under the \w+ licen[sc]e", expression=True)
+    return codesearch.first_matches(lines).withColumnRenamed("id", "doc_id")
+
+
+@query("SELECT doc_id, path, line_no, substring(line, 1, 300) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY line_no) AS place FROM source_lines WHERE regexp_matches(line, '(?i)(all rights|licensed) (reserved|under)') AND path LIKE '%/%1.txt') WHERE place <= 2 ORDER BY path, doc_id, line_no LIMIT 500")
+def source_regex_capped(r):
+    lines = codesearch.matching_lines(_source_index(r), "(all rights|licensed) (reserved|under)", expression=True, path_glob="*/*1.txt")
+    return codesearch.capped(lines, 2, 500).withColumnRenamed("id", "doc_id")
+
+
+@query("SELECT doc_id, path, line_no, line FROM source_lines WHERE contains(lower(line), 'idiot')")
+def source_text(r):
+    return codesearch.matching_lines(_source_index(r), "Idiot").withColumnRenamed("id", "doc_id")
+
+
 @query("SELECT doc_id, path, string_agg(line, chr(10) ORDER BY line_no) AS content, min(line_no) AS first_line, max(line_no) AS last_line FROM source_lines WHERE line_no BETWEEN 2 AND 6 GROUP BY 1, 2")
 def source_read(r):
     return search.read_lines(r.source_lines, 2, 6)

@@ -157,6 +157,11 @@ class Registry:
         docs = self.table("documents").where("text IS NOT NULL")
         return docs.select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", (F.col("line_no") + 1).cast("long"))
 
+    @cached_property
+    def source_files(self) -> DataFrame:
+        docs = self.table("documents").where("text IS NOT NULL")
+        return docs.select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), "text")
+
     @cached_property
     def package_texts(self) -> DataFrame:
         """Packages with a description, the beginning of the document of their number."""
