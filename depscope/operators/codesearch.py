@@ -16,14 +16,13 @@ from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grams as G
 from ..functions import text as X
 from .lookup import top_by
-from .stored import if_small, stored
+from .stored import if_small, pieces, stored, text_lengths
 
 SHARD_BYTES = 8 << 20
 #: Text in a piece that a worker holds as an array of characters.
@@ -42,22 +41,6 @@ class Index:
     grams: DataFrame
 
 
-def _pieces(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about so many bytes, a row at least."""
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and held + n > limit:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += int(n)
-    if batch.num_rows:
-        yield batch.slice(start)
-
-
-def _lengths(column: pa.Array) -> np.ndarray:
-    return pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-
-
 def build(files: DataFrame, id_col: str, path_col: str, text_col: str, shard_bytes: int = SHARD_BYTES) -> Index:
     """Store and index files; those whose text is null are left out. Numbers need not be unique, null ones stay."""
     source = files.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text")).where("text IS NOT NULL")
@@ -67,17 +50,17 @@ def build(files: DataFrame, id_col: str, path_col: str, text_col: str, shard_byt
 
         shard, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for piece in _pieces(batch, _lengths(batch.column(2)), min(shard_bytes, PIECE_BYTES)):
+            for piece in pieces(batch, text_lengths(batch.column(2)), min(shard_bytes, PIECE_BYTES)):
                 if held >= shard_bytes:
                     shard, held = shard + 1, 0
-                held += int(_lengths(piece.column(2)).sum())
+                held += int(text_lengths(piece.column(2)).sum())
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(piece.num_rows, shard))], names=["id", "path", "text", "shard"])
 
     kept = stored(source.mapInArrow(sharded, "id long, path string, text string, shard long"), "source-files", by="shard")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in _pieces(batch, _lengths(batch.column(2)), PIECE_BYTES):
+            for piece in pieces(batch, text_lengths(batch.column(2)), PIECE_BYTES):
                 shards = piece.column(0).to_numpy()
                 for first, last in zip(cuts := np.flatnonzero(np.diff(shards, prepend=shards[0] - 1)), [*cuts[1:], len(shards)], strict=True):
                     yield _rows(piece.slice(first, last - first), int(shards[first]))

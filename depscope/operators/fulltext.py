@@ -1,8 +1,9 @@
 """Full-text search: an inverted index with positions, web-search syntax, phrases, ranks.
 
-The index is a table (bucket, stem, id, positions), written in folders by bucket, which is a hash of the stem: a query
-reads the folders of its own stems. Within a folder the rows of a frequent stem are dealt out by document, so that no
-file holds them all. A document's words keep their positions, stop words included, so phrases may span these.
+The index is a table (stem, ids, positions): a row for each stem of each few MB of texts, with the documents that hold
+it and its places in each. Tasks write their rows sorted by stem, so that a query reads the pages of its own stems;
+nothing is shuffled, and no row grows with the table. Words keep their positions, stop words included, so phrases may
+span these.
 """
 
 from __future__ import annotations
@@ -19,12 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import english
-from .stored import stored
+from .stored import pieces, stored, text_lengths
 
-#: What stands between words, for Java's expressions; runs of it in Python's are those of other than letters and numbers.
-BREAK = r"[^\p{L}\p{N}]+"
-SALTS = 8
-_BUCKET_BYTES = 64 << 20
+#: Bytes of the texts whose words make rows together.
+PIECE_BYTES = 4 << 20
 _WORD = re.compile(r"[^\W_]+")
 #: The sum of 1 / n^2, to which a stem's occurrences come closer.
 _LIMIT = 1.64493406685
@@ -45,34 +44,45 @@ class Config:
 ENGLISH, SIMPLE = Config(), Config(stems=False)
 
 
-def words(text: Column) -> Column:
-    """The lower-cased words of a text, in order."""
-    return F.filter(F.split(F.lower(text), BREAK), lambda w: w != "")
-
-
 def postings(docs: DataFrame, id_col: str, text_col: str, config: Config = ENGLISH) -> DataFrame:
-    """(stem, id, positions), a row for each stem of each document; positions begin with 1. Nothing is shuffled."""
-    source = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")).where("size(words) > 0")
+    """(stem, ids, positions) of the texts of docs, in rows as the index has them; positions begin with 1."""
+    source = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text")).where("text IS NOT NULL")
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            coded = lists.flatten().dictionary_encode()
-            stems = [config.stem(w) for w in coded.dictionary.to_pylist()]
-            number = {s: k for k, s in enumerate(dict.fromkeys(s for s in stems if s is not None))}
-            stem = np.array([number.get(s, -1) for s in stems], np.int64)[coded.indices.to_numpy()]
-            size = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(size)), size)
-            position = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 1
-            kept = np.flatnonzero(stem >= 0)
-            kept = kept[np.lexsort((stem[kept], row[kept]))]
-            first = np.flatnonzero((np.diff(row[kept], prepend=-1) != 0) | (np.diff(stem[kept], prepend=-1) != 0))
-            names = pa.array(list(number), pa.string()).take(pa.array(stem[kept[first]]))
-            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(kept)), pa.int32()), pa.array(position[kept].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([names, batch.column(0).take(pa.array(row[kept[first]])), places], names=["stem", "id", "positions"])
-
-    return source.mapInArrow(run, f"stem string, id {kind}, positions array<int>")
+            for piece in pieces(batch, text_lengths(batch.column(1)), PIECE_BYTES):
+                yield _rows(piece, config)
+
+    return source.mapInArrow(run, f"stem string, ids array<{kind}>, positions array<array<int>>")
+
+
+def _rows(piece: pa.RecordBatch, config: Config) -> pa.RecordBatch:
+    number: dict[str, int] = {}
+    of_word: dict[str, int] = {}
+    stems, size = [], []
+    for text in piece.column(1).to_pylist():
+        found = _WORD.findall(text)
+        size.append(len(found))
+        for w in found:
+            k = of_word.get(w)
+            if k is None:
+                s = config.stem(w)
+                k = of_word[w] = -1 if s is None else number.setdefault(s, len(number))
+            stems.append(k)
+    stem, size = np.array(stems, np.int64), np.array(size, np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    position = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 1
+    order = np.argsort(stem, kind="stable")  # documents and positions stay ascending within a stem
+    order = order[np.searchsorted(stem[order], 0) :]
+    stem, row = stem[order], row[order]
+    other = np.diff(stem, prepend=-1) != 0
+    first = np.flatnonzero(other | (np.diff(row, prepend=-1) != 0))
+    begun = np.flatnonzero(other[first])
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(position[order].astype(np.int32)))
+    bounds = pa.array(np.append(begun, len(first)), pa.int32())
+    ids = piece.column(0).take(pa.array(row[first]))
+    return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()).take(pa.array(stem[first[begun]])), pa.ListArray.from_arrays(bounds, ids), pa.ListArray.from_arrays(bounds, places)], names=["stem", "ids", "positions"])
 
 
 @dataclass
@@ -81,24 +91,18 @@ class Index:
 
     table: DataFrame
     ids: DataFrame
-    buckets: int
     config: Config
 
     def of(self, stems: list[str]) -> DataFrame:
-        """The rows of these stems; only their folders are read."""
-        both = self.table.sparkSession.range(1).select(*[F.pmod(F.xxhash64(F.lit(s)), F.lit(self.buckets)) for s in stems]).first()
-        return self.table.where(F.col("bucket").isin(*sorted({int(x) for x in both})) & F.col("stem").isin(*stems))
+        """(stem, id, positions) of these stems."""
+        pairs = F.explode(F.arrays_zip("ids", "positions"))
+        return self.table.where(F.col("stem").isin(*stems)).select("stem", pairs.alias("of")).select("stem", F.col("of.ids").alias("id"), "of.positions")
 
 
-def build(docs: DataFrame, id_col: str, text_col: str, config: Config = ENGLISH, buckets: int | None = None) -> Index:
+def build(docs: DataFrame, id_col: str, text_col: str, config: Config = ENGLISH) -> Index:
     """Index the texts of docs, whose numbers tell them apart; null texts have no words."""
-    if buckets is None:
-        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        buckets = max(8, min(1024, size // _BUCKET_BYTES))
-    bucket = F.pmod(F.xxhash64("stem"), F.lit(buckets)).cast("int")
-    rows = postings(docs, id_col, text_col, config).withColumn("bucket", bucket)
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("bucket", "stem", "id")
-    return Index(stored(dealt, "fulltext", by="bucket"), docs.select(F.col(id_col).alias("id")), buckets, config)
+    rows = postings(docs, id_col, text_col, config).sortWithinPartitions("stem")
+    return Index(stored(rows, "fulltext"), docs.select(F.col(id_col).alias("id")), config)
 
 
 # queries

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,19 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """df, which is stored and narrow, marked for broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def pieces(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about so many bytes, of one row at least."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += int(n)
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
+def text_lengths(column: pa.Array) -> np.ndarray:
+    return pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
