@@ -73,6 +73,30 @@ def closure(links: DataFrame, depth: int | None = None) -> DataFrame:
     return reach
 
 
+def chased(links: DataFrame) -> DataFrame:
+    """(a, b): for links (a, b), of which each a has one at most, where a chain of them ends that begins with a.
+
+    Pointer jumping: each step doubles the length that a link spans, so that n steps do for chains of 2^n links. What
+    still leads on when a step has ended no chain leads in a circle, and is left out.
+    """
+    open_links, done = _settled(links.select("a", "b").dropDuplicates(["a"])), None
+    left = None
+    while True:
+        onward = open_links.select(F.col("a").alias("b"), F.col("b").alias("next"))
+        # ended chains too must be known to those that lead into them
+        ends = done.select(F.col("a").alias("b"), F.col("b").alias("end")) if done is not None else None
+        step = open_links.join(onward, "b", "left")
+        step = step.join(ends, "b", "left") if ends is not None else step.withColumn("end", F.lit(None).cast(links.schema["b"].dataType))
+        step = _settled(step.select("a", F.coalesce("end", "next", "b").alias("b"), F.col("next").isNull().alias("ended")))
+        ended = step.where("ended").select("a", "b")
+        done = ended if done is None else done.unionByName(ended)
+        open_links = step.where("NOT ended").select("a", "b")
+        n = open_links.count()
+        if n == 0 or n == left:
+            return done
+        left = n
+
+
 def cyclic_roots(walk: DataFrame) -> DataFrame:
     """Roots that their own walk meets again."""
     return walk.where("to_id = root_id").select("root_id").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import score as S
 from ..functions import text as X
 from ..operators import api, codesearch, fulltext, graph, lookup, monitor, resolve, search, types
-from ..sources import snapshot
+from ..sources import api_documents, snapshot
 from ..sources.registry import AS_OF, EVENTS_AS_OF, Registry, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,6 +350,43 @@ def nearest_types(r):
     return api.nearest(r.symbols, _places(r), 5).select("file_id", "line", "symbol_id", "distance", "place")
 
 
+# API documents; the same rows follow from the parts that the documents are made of
+
+_SHOWN = """CASE WHEN p_partkey % 7 = 0 THEN 'pub' WHEN p_partkey % 11 = 0 THEN 'pub(in ::inner)' WHEN p_partkey % 5 = 0 THEN 'private' ELSE 'public' END"""
+_PARTS = f"""p AS (SELECT *, p_partkey // 20 AS doc, {_SHOWN} AS visibility, CASE WHEN p_partkey % 2 = 0 THEN 'root::a::b::T' ELSE 'root::T' END || p_partkey AS defined_at FROM part),
+ways AS (SELECT p_partkey, defined_at AS path FROM p UNION ALL SELECT p_partkey, 'root::T' || p_partkey FROM p WHERE p_partkey % 2 = 0 AND visibility = 'public'
+    UNION ALL SELECT p.p_partkey, 'root::U' || u.p_partkey FROM p JOIN part u ON u.p_partkey BETWEEN p.p_partkey - 3 AND p.p_partkey WHERE p.p_partkey % 4 = 3 AND u.p_partkey % 3 <> 0),
+best AS (SELECT p_partkey, arg_min(path, (len(string_split(path, '::')), len(path), path)) AS path FROM ways GROUP BY 1)"""
+
+
+def _api_items(r: Registry) -> tuple[DataFrame, DataFrame]:
+    return api_documents.items(r.api_documents), api_documents.paths(r.api_documents)
+
+
+@query(f"""WITH {_PARTS}, s AS (SELECT doc, 's' || p_partkey AS id, 'T' || p_partkey AS name, 'struct' AS kind, visibility, 'struct T' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '<A: Clone>' ELSE '' END AS signature, best.path, defined_at, p.* FROM p JOIN best USING (p_partkey)
+    UNION ALL SELECT doc, 'f' || p_partkey, 'size', 'struct_field', 'private', NULL, NULL, NULL, p.* FROM p UNION ALL SELECT doc, 'g' || p_partkey, 'run', 'function', 'public', 'fn run(self: Self, n: u32) -> bool', NULL, NULL, p.* FROM p)
+SELECT doc, id, name, kind, visibility, signature, path, defined_at, greatest(p_size, 1) AS start_line, greatest(CAST(p_size + p_partkey % 9 AS INTEGER), 1) AS end_line, CASE WHEN p_partkey % 13 = 0 THEN '1.0' END AS deprecated_since, CASE WHEN p_partkey % 13 = 0 THEN p_brand END AS deprecated_note, p_type AS docs FROM s""")
+def api_document_symbols(r):
+    return api_documents.symbols(*_api_items(r)).drop("attrs")
+
+
+@query(f"""WITH {_PARTS} SELECT doc, 'T' || p_partkey AS type_name, kind, visibility, best.path, CASE WHEN p_partkey % 3 = 0 THEN 'A: Clone' ELSE '' END AS generics, 'size: ' || CASE WHEN p_partkey % 2 = 0 THEN 'Vec<u8>' ELSE '&''a mut [T]' END AS fields,
+CASE WHEN p_partkey % 10 = 0 AND p_partkey % 4 <> 0 THEN split_part(p_type, ' ', 1) ELSE '' END AS auto_traits, p_partkey % 6 = 0 AS is_non_exhaustive FROM p JOIN best USING (p_partkey), (SELECT 'struct' AS kind)""")
+def api_document_types(r):
+    rows = api_documents.types(*_api_items(r))
+    fields = F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit(": "), f["type"])), ", ")
+    return rows.select("doc", "type_name", "kind", "visibility", "path", F.array_join("generics", ", ").alias("generics"), fields.alias("fields"), F.array_join("auto_traits", ",").alias("auto_traits"), "is_non_exhaustive")
+
+
+@query("""SELECT p_partkey // 20 AS doc, 'i' || p_partkey AS id, 'T' || p_partkey AS type_name, 'm::T' || p_partkey AS type_display, CASE WHEN p_partkey % 4 <> 0 THEN split_part(p_type, ' ', 1) END AS trait_name, CASE WHEN p_partkey % 4 <> 0 THEN 'fmt::' || split_part(p_type, ' ', 1) END AS trait_display,
+CASE WHEN p_partkey % 4 = 0 THEN 'inherent' WHEN p_partkey % 10 = 0 THEN 'synthetic' WHEN p_partkey % 8 = 1 THEN 'blanket' WHEN p_partkey % 6 = 1 THEN 'derive' ELSE 'trait' END AS impl_kind, p_partkey % 8 = 1 AS is_blanket, p_partkey % 10 = 0 AS is_synthetic, p_partkey % 9 = 0 AS is_negative,
+CASE WHEN p_partkey % 8 = 1 THEN 'B' END AS blanket_type, 'run' || CASE WHEN p_partkey % 5 = 0 THEN ' unsafe' ELSE '' END AS methods FROM part""")
+def api_document_impls(r):
+    rows = api_documents.implementations(_api_items(r)[0])
+    methods = F.array_join(F.transform("methods", lambda m: F.concat(m["name"], F.when(m["is_unsafe"], " unsafe").otherwise(""))), ",")
+    return rows.select("doc", "id", "type_name", "type_display", "trait_name", "trait_display", "impl_kind", "is_blanket", "is_synthetic", "is_negative", "blanket_type", methods.alias("methods"))
+
+
 # graph
 
 _HOP = "hop AS (SELECT DISTINCT l.package_id, e.target_id, e.kind, e.optional FROM latest_versions l JOIN edges e USING (version_id))"

@@ -53,9 +53,9 @@ def oracle(body: str) -> str:
         parts.append("latest_versions AS (SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY package_id ORDER BY published_at DESC NULLS LAST, version_id DESC) = 1)")
     body = body.strip()
     if body[:15].upper() == "WITH RECURSIVE ":
-        return f"WITH RECURSIVE {', '.join(parts)}, {body[15:]}"
+        return f"WITH RECURSIVE {', '.join([*parts, body[15:]])}"
     if body[:5].upper() == "WITH ":
-        return f"WITH {', '.join(parts)}, {body[5:]}"
+        return f"WITH {', '.join([*parts, body[5:]])}"
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
@@ -162,6 +162,41 @@ class Registry:
         docs = self.table("documents").where("text IS NOT NULL")
         return docs.select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), "text")
 
+    @cached_property
+    def api_documents(self) -> DataFrame:
+        """(doc, text): API documents of twenty parts each, every other one in an older format.
+
+        A part is a struct sN with a field fN, an implementation iN with a function gN, and a re-export uN of the next
+        part's re-export or, for each fourth, of its own struct. Module n, of which w re-exports everything, holds
+        structs of even numbers.
+        """
+        k, doc = F.col("p_partkey"), F.floor(F.col("p_partkey") / 20)
+        old = doc % 2 == 1
+        text = lambda c: F.when(c, "true").otherwise("false")
+        when = lambda c, a, b: F.when(c, F.lit(a)).otherwise(F.lit(b))
+        item = lambda i, name, visibility, attrs, kind, body: F.concat(F.format_string('"%s": {"name": %s, "visibility": %s, "attrs": %s, "docs": "%s", "span": {"filename": "x", "begin": [%d, 1], "end": [%d, 2]}, "deprecation": %s, ', i, name, visibility, attrs, F.col("p_type"), F.col("p_size"), F.col("p_size") + k % 9, F.when(k % 13 == 0, F.format_string('{"since": "1.0", "note": "%s"}', F.col("p_brand"))).otherwise("null")), F.when(old, F.format_string('"kind": "%s", "inner": %s}', F.lit(kind), body)).otherwise(F.format_string('"inner": {"%s": %s}}', F.lit(kind), body)))
+        of = lambda letter, n=k: F.concat(F.lit(letter), n)
+        none = F.lit('{"params": [], "where_predicates": []}')
+        bounded = when(k % 3 == 0, '{"params": [{"name": "A", "kind": {"type": {"bounds": [{"trait_bound": {"trait": {"path": "Clone", "id": 0, "args": null}, "generic_params": [], "modifier": "none"}}], "default": null, "is_synthetic": false}}}], "where_predicates": []}', '{"params": [], "where_predicates": []}')
+        size = F.when(k % 2 == 0, F.lit('{"resolved_path": {"path": "Vec", "id": 1, "args": {"angle_bracketed": {"args": [{"type": {"primitive": "u8"}}], "constraints": []}}}}')).when(old, F.lit('{"kind": "borrowed_ref", "inner": {"lifetime": "\'a", "mutable": true, "type": {"kind": "slice", "inner": {"kind": "generic", "inner": "T"}}}}')).otherwise(F.lit('{"borrowed_ref": {"lifetime": "\'a", "is_mutable": true, "type": {"slice": {"generic": "T"}}}}'))
+        visibility = F.when(k % 7 == 0, '"crate"').when(k % 11 == 0, '{"restricted": {"parent": 0, "path": "::inner"}}').when(k % 5 == 0, '"default"').otherwise('"public"')
+        target = F.when(k % 4 == 3, of("s")).otherwise(of("u", k + 1))
+        trait = F.when(k % 4 == 0, "null").otherwise(F.format_string('{"path": "fmt::%s", "id": 2, "args": null}', F.substring_index("p_type", " ", 1)))
+        own = F.concat_ws(
+            ", ",
+            item(of("s"), F.concat(F.lit('"T'), k, F.lit('"')), visibility, when(k % 6 == 0, '["non_exhaustive"]', "[]"), "struct", F.format_string('{"kind": {"plain": {"fields": ["%s"], "has_stripped_fields": false}}, "generics": %s, "impls": ["%s"]}', of("f"), bounded, of("i"))),
+            item(of("f"), F.lit('"size"'), F.lit('"default"'), F.lit("[]"), "struct_field", size),
+            item(of("u"), F.lit("null"), when(k % 3 == 0, '"default"', '"public"'), F.lit("[]"), "use", F.format_string('{"source": "x", "name": "%s", "id": "%s", "is_glob": false}', of("U"), target)),
+            item(of("i"), F.lit("null"), F.lit('"default"'), when(k % 6 == 1, '["automatically_derived"]', "[]"), "impl", F.format_string('{"is_unsafe": false, "generics": %s, "trait": %s, "for": {"resolved_path": {"path": "m::T%s", "id": 3, "args": null}}, "items": ["%s"], "is_negative": %s, "is_synthetic": %s, "blanket_impl": %s}', none, trait, k.cast("string"), of("g"), text(k % 9 == 0), text(k % 10 == 0), when(k % 8 == 1, '{"generic": "B"}', "null"))),
+            item(of("g"), F.lit('"run"'), F.lit('"public"'), F.lit("[]"), "function", F.format_string('{"sig": {"inputs": [["self", {"generic": "Self"}], ["n", {"primitive": "u32"}]], "output": {"primitive": "bool"}, "is_c_variadic": false}, "generics": %s, "header": {"is_const": false, "is_unsafe": %s, "is_async": false, "abi": "Rust"}, "has_body": true}', none, text(k % 5 == 0))),
+        )
+        paths = F.format_string('"%s": {"path": [%s, "T%s"]}, "%s": {"path": ["root", "%s"]}', of("s"), when(k % 2 == 0, '"root", "a", "b"', '"root"'), k.cast("string"), of("u"), of("U"))
+        quoted = lambda c: F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), c, F.lit('"')))), ", ")
+        made = self.table("part").groupBy(doc.cast("long").alias("doc")).agg(F.array_join(F.collect_list(own), ", ").alias("items"), F.array_join(F.collect_list(paths), ", ").alias("paths"), quoted(of("u")).alias("uses"), quoted(F.when(k % 2 == 0, of("s"))).alias("even"))
+        module = lambda i, name, members: F.format_string('"%s": {"name": "%s", "visibility": "public", "attrs": [], "docs": null, "span": null, "deprecation": null, "inner": {"module": {"is_crate": true, "items": [%s], "is_stripped": false}}}', F.lit(i), F.lit(name), members)
+        glob = F.lit('"w": {"name": null, "visibility": "public", "attrs": [], "docs": null, "span": null, "deprecation": null, "inner": {"use": {"source": "n", "name": "n", "id": "n", "is_glob": true}}}')
+        return made.select("doc", F.format_string('{"root": "r", "format_version": 60, "index": {%s, %s, %s, %s}, "paths": {"r": {"path": ["root"]}, "n": {"path": ["root", "a", "b"]}, %s}}', "items", module("r", "root", F.concat_ws(", ", F.lit('"n", "w"'), F.nullif("uses", F.lit("")))), module("n", "b", F.col("even")), glob, "paths").alias("text"))
+
     @cached_property
     def package_texts(self) -> DataFrame:
         """Packages with a description, the beginning of the document of their number."""
