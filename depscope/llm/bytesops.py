@@ -13,10 +13,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 19
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Hashes are polynomials over the field of this many numbers, at two points fixed by a random draw: texts of n bytes that
+#: differ have equal values at n of the field's numbers at most, whatever their structure.
+_PRIME = (1 << 31) - 1
+_rng = np.random.default_rng(20240229)
+_POINTS = [int(x) for x in _rng.integers(1 << 24, _PRIME - 1, 2)]
+_BYTE_VALUES = _rng.integers(1, _PRIME, (2, 256), dtype=np.uint64)
+#: Powers of the two points and of their inverses.
+_powers = [np.ones(1, np.uint64)] * 4
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -59,22 +63,35 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _folded(x: np.ndarray) -> np.ndarray:
+    """The same number of the field, below 2^31 + 2^33 for any of 64 bits, and below 2^31 + 4 if folded twice."""
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _folded(_folded(x))
+    return np.where(x >= _PRIME, x - np.uint64(_PRIME), x)
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         n = max(n, PIECE_BYTES + (PIECE_BYTES >> 2))
-        for k, base in enumerate((_MULTIPLIER, _INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+        for k, base in enumerate([*_POINTS, *(pow(x, -1, _PRIME) for x in _POINTS)]):
+            p = _powers[k]
+            while len(p) < n:
+                p = np.concatenate([p, _reduced(p * np.uint64(pow(base, len(p), _PRIME)))])
+            _powers[k] = p
+    return _powers
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums from which span_hash() reads the hash of any span of `data`."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    values = _BYTE_VALUES[data]
-    values *= powers(len(data) + 1)[0][: len(data)]
-    np.cumsum(values, out=out[1:])
+    """Two rows of sums from which span_hash() reads the hash of any span of `data`."""
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    power = _powers_to(len(data) + 1)
+    for k in range(2):
+        values = _BYTE_VALUES[k][data]
+        values *= power[k][: len(data)]
+        np.cumsum(_folded(values), out=out[k, 1:])
     return out
 
 
@@ -88,14 +105,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span, the same wherever they stand; lengths enter it."""
-    h = sums[ends] - sums[starts]
-    h *= powers(len(sums))[1][starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+def _joined(parts: list[np.ndarray], lengths: np.ndarray | int) -> np.ndarray:
+    h = parts[0] | parts[1] << np.uint64(31)
+    h += np.asarray(lengths).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(h)
 
 
+def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span, of 62 bits of content, the same wherever they stand; lengths enter it."""
+    power = _powers_to(sums.shape[1])
+    return _joined([_reduced(_folded(_folded(sums[k][ends] - sums[k][starts])) * power[2 + k][starts]) for k in range(2)], ends - starts)
+
+
+def window_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """span_hash() of every span of so many bytes."""
+    power, n = _powers_to(sums.shape[1]), max(sums.shape[1] - width, 0)
+    return _joined([_reduced(_folded(_folded(sums[k][width:] - sums[k][:n])) * power[2 + k][:n]) for k in range(2)], width)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): maximal runs of table bytes within each text; text i has words first[i]:first[i + 1]."""
     if not len(data):

@@ -8,7 +8,8 @@ assistant texts carry the loss.
 
 Turns of a conversation are ordered by turn, then role and text (nulls first); a conversation is one row, as its
 hash and its encoding need it whole. Defined cases: a null role or text is empty; rows of a null conv_id are one
-conversation; an empty table gives an empty result.
+conversation; turns of equal number go by role and text, and repeated rows are turns of their own; a text of any length is
+in one row, that of its conversation; an empty table gives an empty result; extra columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -56,20 +57,19 @@ def loss_mask(spans: list[tuple[int, int]], offsets: list[tuple[int, int]]) -> l
     return mask
 
 
-def masked_text(formatted: str, offsets: list[tuple[int, int]], mask: list[int]) -> list[str]:
-    """The unescaped text of each run of tokens under the mask, as their offsets give it; raises where a tokenizer's offsets leave out text."""
-    out, run = [], None
+def masked_text(formatted: str, spans: list[tuple[int, int]], offsets: list[tuple[int, int]], mask: list[int]) -> list[str]:
+    """The unescaped text of each run of tokens under the mask, as their offsets give it; raises where these leave out text of the spans."""
+    runs: list[tuple[int, int]] = []
+    open_run = False
     for (a, b), on in zip(offsets, mask, strict=True):
-        if on and run and a <= run[1]:
-            run = (run[0], max(b, run[1]))
+        if on and open_run and a <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
         elif on:
-            if run:
-                out.append(unescape(formatted[slice(*run)]))
-            run = (a, b)
-        elif run:
-            out.append(unescape(formatted[slice(*run)]))
-            run = None
-    return [*out, unescape(formatted[slice(*run)])] if run else out
+            runs.append((a, b))
+        open_run = bool(on)
+    if sum(b - a for a, b in runs) != sum(b - a for a, b in spans):
+        raise ValueError("the tokenizer's offsets leave out text, or reach beyond a turn")
+    return [unescape(formatted[a:b]) for a, b in runs]
 
 
 _tokenizers: dict = {}
@@ -106,12 +106,13 @@ def format_conversations(rows: DataFrame, tokenizer: str) -> DataFrame:
                 formatted = render(list(zip(roles, texts, strict=True)))
                 encoded = encoder.encode(formatted, add_special_tokens=False)
                 back = read_turns(formatted)
-                mask = loss_mask([(a, b) for role, _, a, b in back if role == LOSS_ROLE], encoded.offsets)
+                spans = [(a, b) for role, _, a, b in back if role == LOSS_ROLE]
+                mask = loss_mask(spans, encoded.offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, 1), pa.array([len(back)], pa.int64()), pa.array([formatted], pa.string()),
                         pa.array([encoded.ids], pa.list_(pa.int32())), pa.array([mask], pa.list_(pa.int32())),
-                        pa.array([masked_text(formatted, encoded.offsets, mask)], pa.list_(pa.string())),
+                        pa.array([masked_text(formatted, spans, encoded.offsets, mask)], pa.list_(pa.string())),
                         pa.array([[x[0] for x in back]], pa.list_(pa.string())), pa.array([[x[1] for x in back]], pa.list_(pa.string())),
                     ],
                     names=names,

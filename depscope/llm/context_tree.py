@@ -17,7 +17,9 @@ that make up one in WORD_SHARE tokens or more, so WORD_SHARE at most, are broadc
 words are joined with theirs by shuffles.
 
 Defined cases: a null text is empty (its end token alone); a null id hashes as the empty string; rows are scored one
-by one; without training texts every count is 0 and the model gives every byte 1 / 256.
+by one; without training texts every count is 0 and the model gives every byte 1 / 256;
+repeated rows count, and are scored, each for itself; a text of any length is one row, scored by its distinct words and runs; an
+empty table gives an empty result; extra columns, of any name, are not read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ Plan, for sets of distinct `size`-word shingles and a threshold num/den:
 4. Components of all links, by rounds of stars in the shared folder.
 
 Defined cases: null or wordless text has no shingles and links with nothing; a null id has no component; repeated
-rows of one id are one node and all returned; shorter texts have their whole sequence as one shingle.
+rows of one id are one node and all returned; shorter texts have their whole sequence as one shingle; of
+linked rows with the same least id any one stays; a text of any length is one row; columns of any name are carried along; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

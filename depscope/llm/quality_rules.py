@@ -13,7 +13,8 @@ A document is kept if it passes the base rule (50 words at least, and at most ha
 windows found twice or more) and the failing lines held at most half of the characters of its words.
 
 Defined cases: null is a text without words (not kept, cleaned text null); rows are judged one by one, so repeated
-rows and ids are kept as they are; an empty table gives an empty result.
+rows and ids are kept as they are; the first of equal lines stays; a text of any length is one row; an input column with
+the name of a new one, in any case, is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations

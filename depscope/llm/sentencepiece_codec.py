@@ -6,10 +6,12 @@ came from. The library encodes the normalised text, and each piece projects to t
 
 Merges of a model whose pieces hold the space mark only at their front never cross a space, and those without a
 newline inside never cross one, so normalised text is cut before runs of spaces and at newlines, and each distinct
-part is encoded once. Whether this holds is read from the vocabulary; else, and for texts that hold the mark itself,
+part is encoded once, by the library without its own normaliser. Whether this holds is read from the vocabulary; else, and for texts that hold the mark itself,
 the library encodes the whole text. The mark that the library puts in front of a text spans no byte, and a byte piece spans its own byte.
 
-Defined cases: a null text is empty and gives no ids; rows are treated one by one; an empty table gives an empty result.
+Defined cases: a null text is empty and gives no ids; rows are treated one by one, repeated ones too; a text of any length is
+one row, its distinct parts are encoded once; an empty table gives an empty result; an input column with the name of a
+new one, in any case, is replaced; models that remove spaces, or add no mark in front, raise.
 """
 
 from __future__ import annotations
@@ -34,6 +36,12 @@ CACHE_ENTRIES = 200_000
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of the fields of a protocol buffer message."""
+    for number, value, _ in _raw_fields(message):
+        yield number, value
+
+
+def _raw_fields(message: bytes) -> Iterator[tuple[int, int | bytes, bytes]]:
+    """(number, value, the field as it stands in the message)."""
     at = 0
 
     def varint() -> int:
@@ -48,14 +56,34 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
                 return value
 
     while at < len(message):
-        tag = varint()
+        begun, tag = at, varint()
         kind = tag & 7
         if kind == 0:
-            yield tag >> 3, varint()
+            value: int | bytes = varint()
         else:
             n = varint() if kind == 2 else {1: 8, 5: 4}[kind]
-            yield tag >> 3, message[at : at + n]
+            value = message[at : at + n]
             at += n
+        yield tag >> 3, value, message[begun:at]
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def without_map(proto: bytes) -> bytes:
+    """A model whose normaliser (field 3) has no compiled map (its field 2, under the name in 1): texts reach the pieces as they are."""
+    out = []
+    for number, value, raw in _raw_fields(proto):
+        if number == 3:
+            spec = b"".join(r for n, _, r in _raw_fields(value) if n not in (1, 2))
+            raw = _varint(3 << 3 | 2) + _varint(len(spec)) + spec
+        out.append(raw)
+    return b"".join(out)
 
 
 class CharacterMap:
@@ -108,6 +136,8 @@ class Codec:
         # field 3 of a model is its normaliser: 2 is the compiled map, 3 to 5 say what becomes of spaces
         normaliser = dict(_fields(dict(_fields(self.library.serialized_model_proto()))[3]))
         self.map = CharacterMap(normaliser.get(2, b""))
+        if self.map.units:  # texts come normalised, and must not be so twice
+            self.library = SentencePieceProcessor(model_proto=without_map(self.library.serialized_model_proto()))
         if normaliser.get(4, 1) or not normaliser.get(3, 1) or not normaliser.get(5, 1):
             raise ValueError("models that remove spaces, or add no mark in front, are not supported")
         n = self.library.get_piece_size()

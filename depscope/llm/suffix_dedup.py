@@ -19,7 +19,8 @@ Only counts reach the driver. Small lists of ids and anchors are broadcast after
 shuffles. Matches never cross documents, as regions don't. A block is cut between anchors, or parts, never within one.
 
 Defined cases: a null text is empty; shorter texts lose nothing; equal rows are places of their own, so both lose
-what they share; ids may repeat or be null; an empty table gives an empty result.
+what they share; ids may repeat or be null; a text of any length is one row; extra columns, of any name, are
+kept out of the way; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,8 +68,7 @@ def regions(data: np.ndarray, off: np.ndarray, length: int, anchor: int) -> tupl
         return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     p = np.concatenate(starts)
     sums = B.prefix_hash(data)
-    grams = (sums[anchor:] - sums[:-anchor]) * B.powers(len(sums))[1][: len(sums) - anchor]
-    grams = B.mix(grams)
+    grams = B.window_hash(sums, anchor)
     bits = np.uint64(max(22, int(len(grams)).bit_length()))
     keys = grams >> bits << bits | np.arange(len(grams), dtype=np.uint64)
     at = (_least_in_window(keys, length - anchor + 1)[p] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -190,7 +190,7 @@ def _split(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Itera
             known = piece.column(2).to_numpy().view(np.uint64)
             row = np.repeat(np.arange(len(known)), np.diff(off))
             sums = B.prefix_hash(data)
-            grams = B.mix((sums[anchor:] - sums[:-anchor]) * B.powers(len(sums))[1][: len(sums) - anchor])
+            grams = B.window_hash(sums, anchor)
             found = np.flatnonzero(grams == known[row[: len(grams)]])
             found = found[found + anchor <= off[row[found] + 1]]
             at = np.empty(len(known), np.int64)

@@ -16,7 +16,8 @@ states are extended and taken back character by character. Strings of added toke
 States are kept by place in the word, so memory is linear in the longest word. Short words get theirs many at a time,
 place by place: substrings are looked up in the vocabulary by 64 bits of hash and held against its bytes.
 Defined cases: a null text is empty and has no tokens; rows are treated one by one; an empty table gives an empty
-result; a long run of combining marks costs the square of its length; an input column with the name of a new one, in any
+result; a character with n combining marks costs n steps while these are of one class, and n for each place where a
+mark of another class comes in; a text of any length is one row; an input column with the name of a new one, in any
 case, is replaced.
 """
 
@@ -102,6 +103,7 @@ class PrefixCounter:
         self.words = Memo(self._word, CACHE_ENTRIES)
         self.class_of = Memo(self._class, CACHE_ENTRIES)
         self.normal = Memo(self.library.normalizer.normalize_str, CACHE_ENTRIES)
+        self.composes = Memo(lambda k: len(k) < 2 or self.library.normalizer.normalize_str(k) != self.normal[k[0]] + self.normal[k[1:]], CACHE_ENTRIES)
         self.parts = PartTable(self._make, np.int32)
         self._vocabulary()
         # a contraction that is not complete is an apostrophe and a letter
@@ -261,17 +263,25 @@ class PrefixCounter:
         """Counts of each prefix of a text without added tokens, by characters."""
         out: list[int] = []
         state: tuple[int, _Run | None] = (0, None)
-        before, saved, cluster = state, (0, "", ""), ""
+        before, saved, cluster, shown = state, (0, "", ""), "", ""
         for c in text:
-            if cluster and _joins(c):
+            rank = unicodedata.combining(c)
+            if cluster and _joins(c) and (rank or self.composes[shown[-1:] + c]):
                 cluster += c
-                if before[1]:
-                    before[1].cut(*saved)
+                if rank and all(unicodedata.combining(x) == rank for x in shown[-1:] + self.normal[c]):
+                    # behind a mark of its own class a mark takes the last place and composes with nothing
+                    more = self.normal[c]
+                else:
+                    if before[1]:
+                        before[1].cut(*saved)
+                    state, shown = before, ""
+                    more = self.normal[cluster] if len(cluster) < 4 else self.library.normalizer.normalize_str(cluster)
             else:
-                cluster, before = c, state
+                cluster, before, shown = c, state, ""
                 saved = (len(state[1].last), state[1].tail, state[1].text) if state[1] else saved
-            state = before
-            for x in self.normal[cluster] if len(cluster) < 4 else self.library.normalizer.normalize_str(cluster):
+                more = self.normal[c]
+            shown += more
+            for x in more:
                 state = self._push(*state, x)
             out.append(state[0] + (state[1].end[-1] if state[1] else 0))
         return out

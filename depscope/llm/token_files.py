@@ -14,7 +14,8 @@ checksums can be checksummed again. A record is a document: id (i64), flag for a
 4. The index is made from the files themselves, whose checksums are held against what was read.
 
 Defined cases: a null text is empty and has only its end id; a null document id comes first; rows that share an id are
-ordered by a hash of their token ids; an empty table writes no record and gives an empty result.
+ordered by a hash of their token ids; repeated rows have a record each; a text of any length is one record;
+extra columns, of any name, are not read; an empty table writes no record and gives an empty result.
 """
 
 from __future__ import annotations
