@@ -3,6 +3,9 @@
 Every stage works on all that the one before kept, and its result is written as Parquet and read again; what the stage
 before left is deleted then. All stages keep every column that documents has; n_chars follows the text. The last one
 adds n_tokens and ids, in place of columns of these names.
+
+Rows without a text go with the first stage, as do those that it rejects; repeated rows are copies, of which the third
+stage keeps one; a null id is kept as any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
