@@ -607,5 +607,5 @@ def test_suffix_dedup_hot_anchor(spark, limit):
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.queries()) == list(range(1, 14))
     assert set(llm.oracle_sql()) <= set(llm.queries())
