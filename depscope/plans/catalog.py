@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score as S
 from ..functions import text as X
-from ..operators import api, codesearch, fulltext, graph, lookup, monitor, resolve, search, types
+from ..operators import api, codesearch, fulltext, graph, lookup, monitor, resolve, search, source_items, types
 from ..sources import api_documents, snapshot
 from ..sources.registry import AS_OF, EVENTS_AS_OF, Registry, oracle
 
@@ -387,6 +387,41 @@ def api_document_impls(r):
     return rows.select("doc", "id", "type_name", "type_display", "trait_name", "trait_display", "impl_kind", "is_blanket", "is_synthetic", "is_negative", "blanket_type", methods.alias("methods"))
 
 
+# items of source files; the same rows follow from the parts that the files are made of
+
+
+def _source_items(r: Registry) -> DataFrame:
+    return source_items.items(r.rust_files, "doc", "path", "text")
+
+
+_PLACED = "p AS (SELECT *, p_partkey // 20 AS doc, CAST(14 * (p_partkey % 20 - min(p_partkey % 20) OVER (PARTITION BY p_partkey // 20)) AS INTEGER) AS above, CAST(p_partkey AS VARCHAR) AS k FROM part)"
+
+
+@query(f"""WITH {_PLACED} SELECT doc AS package, 'crate' AS module, 'T' || k AS name, 'struct' AS kind, CASE WHEN p_partkey % 3 <> 0 THEN 'public' ELSE 'private' END AS visibility, CASE WHEN p_partkey % 3 <> 0 THEN 'pub ' ELSE '' END || 'struct T' || k || '<A: Clone>' AS signature, above + 5 AS start_line, above + 7 AS end_line FROM p
+UNION ALL SELECT doc, 'crate', 'm' || k, 'module', 'public', 'pub mod m' || k, above + 11, above + 11 FROM p UNION ALL SELECT doc, 'crate::m' || k, 'inner' || k, 'function', 'public', 'pub fn inner' || k || '<''a>(x: &''a str)', above + 11, above + 11 FROM p
+UNION ALL SELECT doc, 'crate::m' || k, 'mac', 'macro', 'private', 'macro_rules! mac', above + 11, above + 11 FROM p UNION ALL SELECT doc, 'crate', 'make' || k, 'function', 'public', 'pub fn make' || k || '(input: TokenStream) -> TokenStream', above + 13, above + 13 FROM p""")
+def source_symbols(r):
+    return source_items.symbols(_source_items(r)).drop("path")
+
+
+@query(f"""WITH {_PLACED} SELECT doc AS package, 'T' || k AS type_name, CASE WHEN p_partkey % 4 <> 0 THEN 'm::T' || k || '<A>' ELSE 'T' || k || '<A>' END AS type_display, CASE WHEN p_partkey % 4 <> 0 THEN 'Display' END AS trait_name, CASE WHEN p_partkey % 4 <> 0 THEN 'fmt::Display' END AS trait_display,
+CASE WHEN p_partkey % 4 <> 0 THEN 'trait' ELSE 'inherent' END AS impl_kind, 'pub fn run(&self) -> bool' AS methods, above + 8 AS start_line, above + 10 AS end_line FROM p
+UNION ALL SELECT doc, 'T' || k, 'T' || k, t, d, 'derive', '', above + 5, above + 7 FROM p, (VALUES ('Clone', 'Clone'), ('Debug', 'fmt::Debug')) AS v(t, d) WHERE p_partkey % 2 = 0""")
+def source_impls(r):
+    return source_items.implementations(_source_items(r)).drop("path").withColumn("methods", F.array_join(F.transform("methods", lambda m: m["signature"]), ","))
+
+
+@query(f"""WITH {_PLACED} SELECT doc AS package, CASE p_partkey % 5 WHEN 0 THEN 'derive' WHEN 1 THEN 'attribute' ELSE 'function' END AS macro, CASE WHEN p_partkey % 5 = 0 THEN 'D' ELSE 'make' END || k AS name, CASE p_partkey % 5 WHEN 0 THEN '#[derive(D' || k || ')]' WHEN 1 THEN '#[make' || k || '(...)]' ELSE 'make' || k || '!(...)' END AS usage,
+CASE WHEN p_partkey % 5 = 0 THEN 'one,two' ELSE '' END AS accepted, above + 13 AS line FROM p WHERE p_partkey % 5 < 3""")
+def macro_exports(r):
+    return source_items.macro_exports(_source_items(r)).select("package", "macro", "name", "usage", F.array_join("accepted", ",").alias("accepted"), "line")
+
+
+@query(f"""WITH {_PLACED} SELECT doc AS package, 'crate::build' || k AS alias, 'crate::make' || k AS target, 'function' AS kind FROM p UNION ALL SELECT doc, 'crate::alias' || k, 'crate::make' || k, 'function' FROM p UNION ALL SELECT doc, 'crate::inner' || k, 'crate::m' || k || '::inner' || k, 'function' FROM p""")
+def resolved_reexports(r):
+    return source_items.re_exports(_source_items(r)).select("package", "alias", "target", "kind")
+
+
 # graph
 
 _HOP = "hop AS (SELECT DISTINCT l.package_id, e.target_id, e.kind, e.optional FROM latest_versions l JOIN edges e USING (version_id))"

@@ -197,6 +197,32 @@ class Registry:
         glob = F.lit('"w": {"name": null, "visibility": "public", "attrs": [], "docs": null, "span": null, "deprecation": null, "inner": {"use": {"source": "n", "name": "n", "id": "n", "is_glob": true}}}')
         return made.select("doc", F.format_string('{"root": "r", "format_version": 60, "index": {%s, %s, %s, %s}, "paths": {"r": {"path": ["root"]}, "n": {"path": ["root", "a", "b"]}, %s}}', "items", module("r", "root", F.concat_ws(", ", F.lit('"n", "w"'), F.nullif("uses", F.lit("")))), module("n", "b", F.col("even")), glob, "paths").alias("text"))
 
+    @cached_property
+    def rust_files(self) -> DataFrame:
+        """(doc, path, text): source files of twenty parts each, fourteen lines for each part."""
+        k = F.col("p_partkey")
+        n = k.cast("string")
+        text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        lines = (
+            text("// struct Fake", n, ' { "'),
+            text("/* outer /* impl Nested for X {} */"),
+            text("   still } */"),
+            F.when(k % 2 == 0, "#[derive(Clone, fmt::Debug)]").otherwise('#[doc = "}"]'),
+            text(F.when(k % 3 != 0, "pub ").otherwise(""), "struct T", n, "<A: Clone> {"),
+            text("    size: Vec<u8>,"),
+            text("}"),
+            F.when(k % 4 != 0, text("impl<A: Clone> fmt::Display for m::T", n, "<A> {")).otherwise(text("impl<A> T", n, "<A> where A: Clone {")),
+            text('    pub fn run(&self) -> bool { let x = "fn fake() {"; x == r#"}"# || \'{\' != \'}\' }'),
+            text("}"),
+            text("pub mod m", n, " { pub fn inner", n, "<'a>(x: &'a str) {} macro_rules! mac { ($x:expr) => { fn no() {} } } }"),
+            F.when(k % 5 == 0, text("#[proc_macro_derive(D", n, ", attributes(one, two))]")).when(k % 5 == 1, "#[proc_macro_attribute]").when(k % 5 == 2, "#[proc_macro]").otherwise("#[inline]"),
+            text("pub fn make", n, "(input: TokenStream) -> TokenStream { input }"),
+            text("pub use self::{make", n, " as build", n, ", build", n, " as alias", n, ", m", n, "::*};"),
+        )
+        doc = F.floor(k / 20).cast("long")
+        made = self.table("part").select(doc.alias("doc"), F.struct(k.alias("k"), F.concat_ws("\n", *lines).alias("text")).alias("part")).groupBy("doc").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+        return made.select("doc", F.lit("src/lib.rs").alias("path"), F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
+
     @cached_property
     def package_texts(self) -> DataFrame:
         """Packages with a description, the beginning of the document of their number."""
