@@ -1,16 +1,17 @@
 """Which versions an advisory row affects: affected, not_affected or unknown, by the dialect of its range.
 
-Texts are read once for each distinct (source, range, version) of an Arrow batch.
+A range is compiled once into keys of versions, and compared in generated code. applicability() is the same for single
+texts in plain Python, which the columns are held against.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import semver
 from .semver import Version, matches, parse, parse_requirement
 
 YES, NO, UNKNOWN = "affected", "not_affected", "unknown"
@@ -117,28 +118,99 @@ def applicability(source: str | None, affected_range: str | None, version: str |
     return UNKNOWN
 
 
-def applies(source: Column, affected_range: Column, version: Column) -> Column:
-    @F.pandas_udf("string")
-    def check(sources: pd.Series, ranges: pd.Series, versions: pd.Series) -> pd.Series:
-        known: dict[tuple, str] = {}
-        out = []
-        for k in zip(sources, ranges, versions, strict=True):
-            if k not in known:
-                known[k] = applicability(*k)
-            out.append(known[k])
-        return pd.Series(out)
+def _trimmed(text: Column, separator: str) -> Column:
+    """The parts of a text that aren't blank."""
+    return F.filter(F.transform(F.split(text, separator, -1), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def _side(part: Column, k: int) -> Column:
+    """What stands before or behind the first =."""
+    return F.trim(F.regexp_extract(part, r"(?s)^([^=]*)(?:=(.*))?$", k))
+
+
+def _event_lists(text: Column) -> Column:
+    """For each list of events: whether it can be read, its events in the order of versions, and its limits."""
+
+    def one(body: Column) -> Column:
+        event = lambda p: F.struct(_side(p, 1).alias("kind"), (_side(p, 2) != "0").alias("bounded"), (_side(p, 2) == "*").alias("any"), semver.key(_side(p, 2)).alias("key"))
+        return semver.bound(F.transform(_trimmed(body, "[;,]"), event), told)
+
+    def told(made: Column) -> Column:
+        has = lambda kind: F.exists(made, lambda e: e["kind"] == kind)
+        read = lambda e: F.when(e["kind"] == "limit", e["any"] | e["key"].isNotNull()).otherwise(e["kind"].isin("introduced", "fixed", "last_affected") & (~e["bounded"] | e["key"].isNotNull()))
+        ordered = F.array_sort(F.transform(F.filter(made, lambda e: e["kind"] != "limit"), lambda e: F.struct(e["bounded"].alias("bounded"), F.when(e["bounded"], e["key"]).alias("key"), F.when(e["kind"] == "introduced", 0).when(e["kind"] == "fixed", 1).otherwise(2).alias("kind"))))
+        return F.struct((F.forall(made, read) & has("introduced") & ~(has("fixed") & has("last_affected"))).alias("read"), ordered.alias("events"), F.filter(made, lambda e: e["kind"] == "limit").alias("limits"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?:SEMVER|ECOSYSTEM)\(([^)]*)\)"), F.lit(1)), one)
+
+
+def _patch_list(text: Column) -> Column:
+    """The requirements of patched and unaffected clauses in order, null ones where the text can't be read from there on."""
+    none = F.array(F.struct(F.lit(None).cast("string").alias("text")))
+
+    def one(clause: Column) -> Column:
+        kind = F.regexp_extract(clause, r"(?s)^([^=]*)", 1)
+        asked = F.transform(_trimmed(F.regexp_extract(clause, r"(?s)^[^=]*=(.*)$", 1), r" \| "), lambda r: F.struct(r.alias("text")))
+        return F.when(kind == "categories", F.filter(none, lambda _: F.lit(False))).when(kind.isin("patched", "unaffected"), asked).otherwise(none)
 
-    return check(source, affected_range, version)
+    return F.transform(F.flatten(F.transform(_trimmed(text, ";"), one)), lambda r: semver.requirement(r["text"]))
+
+
+def _alternatives(text: Column) -> Column:
+    """For each alternative its comparisons, of an operator and a key that is null where it can't be read."""
+    pattern = r"^\s*(>=|<=|>|<|=)\s*(\S+)\s*$"
+    one = lambda p: F.struct(F.regexp_extract(p, pattern, 1).alias("op"), semver.key(F.regexp_extract(p, pattern, 2)).alias("key"))
+    return F.transform(F.split(text, r"\|\|", -1), lambda a: F.transform(F.split(a, ",", -1), one))
+
+
+def compiled(source: Column, affected_range: Column) -> Column:
+    """A range as keys to compare with, made once for each advisory row: struct(way, events, patches, alternatives)."""
+    text = F.coalesce(affected_range, F.lit(""))
+    source = F.coalesce(source, F.lit(""))
+    events = text.contains("SEMVER(") | text.contains("ECOSYSTEM(")
+    patches = (source == "rustsec_db") | text.contains("patched=") | text.contains("unaffected=")
+    way = F.when(withdrawn(text), "withdrawn").when(events, "events").when(patches, "patches").when(source == "ghsa", "alternatives").otherwise("none")
+    only = lambda name, value: F.when(way == name, value).alias(name)
+    return F.struct(way.alias("way"), only("events", _event_lists(text)), only("patches", _patch_list(text)), only("alternatives", _alternatives(text)))
+
+
+def holds(range_: Column, at: Column) -> Column:
+    """What a compiled() range says of the version with a key."""
+
+    def on(state: Column, e: Column) -> Column:
+        reached = ~e["bounded"] | (at >= e["key"])
+        passed = ~e["bounded"] | (at > e["key"])
+        return F.when((e["kind"] == 0) & reached, True).when(((e["kind"] == 1) & reached) | ((e["kind"] == 2) & passed), False).otherwise(state)
+
+    inside = lambda x: (F.size(x["limits"]) == 0) | F.exists(x["limits"], lambda e: e["any"] | (at < e["key"]))
+    hit = F.exists(range_["events"], lambda x: x["read"] & inside(x) & F.aggregate(x["events"], F.lit(False), on))
+    by_events = F.when(hit, YES).when(F.exists(range_["events"], lambda x: ~x["read"]), UNKNOWN).otherwise(NO)
+    told = F.filter(F.transform(range_["patches"], lambda r: F.when(r.isNull(), UNKNOWN).when(semver.meets(at, r), NO)), lambda x: x.isNotNull())
+    by_patches = F.coalesce(F.try_element_at(told, F.lit(1)), F.lit(YES))
+    compare = lambda c: F.coalesce(F.when(c["op"] == ">=", at >= c["key"]).when(c["op"] == "<=", at <= c["key"]).when(c["op"] == ">", at > c["key"]).when(c["op"] == "<", at < c["key"]).when(c["op"] == "=", at == c["key"]), F.lit(False))
+    unread = F.exists(range_["alternatives"], lambda a: F.exists(a, lambda c: c["key"].isNull()))
+    by_comparators = F.when(F.exists(range_["alternatives"], lambda a: F.forall(a, compare)), YES).when(unread, UNKNOWN).otherwise(NO)
+    way = range_["way"]
+    return F.when(way == "withdrawn", NO).when(at.isNull(), UNKNOWN).when(way == "events", by_events).when(way == "patches", by_patches).when(way == "alternatives", by_comparators).otherwise(UNKNOWN)
+
+
+def applies(source: Column, affected_range: Column, version: Column) -> Column:
+    return holds(compiled(source, affected_range), semver.key(version))
 
 
 def merged(rows: DataFrame) -> DataFrame:
     """One row per (version_id, advisory_id) of advisory rows joined to versions.
 
-    rows: version_id, version, advisory_id, source, affected_range, matched_version (or null), requires_resync, severity.
+    rows: version_id, version, advisory_id, source, affected_range, matched_version (or null), requires_resync, severity;
+    range and key, if they are there, are compiled() ranges and keys of versions.
     A withdrawn row that needs no new sync silences its advisory; rows that need one count as unknown; a row that
     names the version affects it. The strongest row wins, ties by source, range and row.
     """
-    state = F.when(F.col("requires_resync"), UNKNOWN).when(F.col("matched_version") == F.col("version_id"), YES).otherwise(applies(F.col("source"), F.col("affected_range"), F.col("version")))
+    if "range" not in rows.columns:
+        rows = rows.withColumn("range", compiled(F.col("source"), F.col("affected_range")))
+    if "key" not in rows.columns:
+        rows = rows.withColumn("key", semver.key(F.col("version")))
+    state = F.when(F.col("requires_resync"), UNKNOWN).when(F.col("matched_version") == F.col("version_id"), YES).otherwise(holds(F.col("range"), F.col("key")))
     judged = rows.withColumn("state", state).withColumn("silenced", withdrawn(F.col("affected_range")) & ~F.col("requires_resync")).withColumn("explicit", F.coalesce(F.col("matched_version") == F.col("version_id"), F.lit(False)))
     strength = F.when(F.col("state") == YES, 2).when(F.col("state") == UNKNOWN, 1).otherwise(0)
     best = F.min_by(F.struct("state", "source", "affected_range", "severity"), F.struct(-strength, ~F.col("explicit"), F.col("source"), F.col("affected_range"), F.col("row_id")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import advisory, semver
 from .graph import closure
 from .lookup import first_by, latest
+from .stored import stored
 
 
 def keyed(versions: DataFrame) -> DataFrame:
@@ -18,11 +19,11 @@ def keyed(versions: DataFrame) -> DataFrame:
 def candidates(wanted: DataFrame, versions: DataFrame) -> DataFrame:
     """(package_id, requirement, version rows) where the version meets the requirement.
 
-    Requirements are checked on distinct (requirement, version text) pairs of a package, joined by package.
+    Each distinct requirement of a package becomes intervals once, and versions their keys; the join only compares.
     """
-    asked = wanted.where("requirement IS NOT NULL").select("package_id", "requirement").distinct()
+    asked = wanted.where("requirement IS NOT NULL").select("package_id", "requirement").distinct().withColumn("required", semver.requirement(F.col("requirement")))
     pairs = asked.join(keyed(versions).select("package_id", "version_id", "version", "published_at", "key", "yanked", "downloads"), "package_id")
-    return pairs.where(semver.satisfies(F.col("version"), F.col("requirement")))
+    return pairs.where(semver.meets(F.col("key"), F.col("required"))).drop("required")
 
 
 def selected(wanted: DataFrame, versions: DataFrame) -> DataFrame:
@@ -41,6 +42,41 @@ def selected(wanted: DataFrame, versions: DataFrame) -> DataFrame:
     )
 
 
+def resolved(roots: DataFrame, versions: DataFrame, edges: DataFrame, levels: int | None = None) -> DataFrame:
+    """(root_id, package_id, requirements, version_id, version, status): what each root's requirements, and those of what they select, come to.
+
+    roots: (root_id, package_id, requirement). A package gets the highest version that meets all that is required of it
+    under a root. What the selected versions require, optional dependencies aside, is added, and packages of which more
+    is required now are selected anew, until nothing is added or so many levels are done: requirements are only ever
+    added, so this ends. status: selected, conflict (each requirement is met by some version, but none meets all),
+    unsatisfied (one is met by no version), unknown_package.
+    """
+    known = stored(keyed(versions).select("package_id", "version_id", "version", "published_at", "key"), "keyed-versions")
+    needs = edges.where("NOT optional").select("version_id", F.col("target_id").alias("package_id"), "requirement").where("requirement IS NOT NULL").distinct()
+    asked = stored(roots.select("root_id", "package_id", "requirement").where("requirement IS NOT NULL").distinct(), "required")
+    done = 1
+    while True:
+        sets = stored(asked.groupBy("root_id", "package_id").agg(F.sort_array(F.collect_set("requirement")).alias("all")), "requirements")
+        # packages share few sets of requirements, whatever the number of roots
+        distinct = sets.select("package_id", "all").distinct().withColumn("required", F.transform("all", semver.requirement))
+        fits = distinct.join(known, "package_id").where(F.forall("required", lambda r: F.coalesce(semver.meets(F.col("key"), r), F.lit(False))))
+        best = fits.groupBy("package_id", "all").agg(F.max_by(F.struct("version_id", "version"), F.struct("key", F.col("published_at").isNotNull(), "published_at", "version_id")).alias("best")).select("package_id", "all", "best.*")
+        chosen = stored(sets.join(best, ["package_id", "all"], "left"), "selected")
+        if levels is not None and done >= levels:
+            break
+        more = chosen.select("root_id", "version_id").join(needs, "version_id").select("root_id", "package_id", "requirement").distinct()
+        fresh = stored(more.join(asked, ["root_id", "package_id", "requirement"], "left_anti"), "required")
+        if fresh.isEmpty():
+            break
+        asked, done = asked.unionByName(fresh), done + 1
+    alone = candidates(asked, versions).select("package_id", "requirement").distinct().withColumn("met", F.lit(True))
+    lone = asked.join(alone, ["package_id", "requirement"], "left").groupBy("root_id", "package_id").agg(F.bool_or(F.col("met").isNull()).alias("unmet"))
+    there = versions.select("package_id").distinct().withColumn("there", F.lit(True))
+    rows = chosen.join(lone, ["root_id", "package_id"]).join(there, "package_id", "left")
+    status = F.when(F.col("version_id").isNotNull(), "selected").when(F.col("there").isNull(), "unknown_package").when(F.col("unmet"), "unsatisfied").otherwise("conflict")
+    return rows.select("root_id", "package_id", F.col("all").alias("requirements"), "version_id", "version", status.alias("status"))
+
+
 def jointly_unsatisfied(wanted: DataFrame, versions: DataFrame) -> DataFrame:
     """Packages with two requirements or more that no version meets together."""
     asked = wanted.where("requirement IS NOT NULL").select("package_id", "requirement").distinct().groupBy("package_id").agg(F.count("*").alias("asked")).where("asked > 1")
@@ -51,7 +87,9 @@ def jointly_unsatisfied(wanted: DataFrame, versions: DataFrame) -> DataFrame:
 
 def advisories_of(versions: DataFrame, advisories: DataFrame) -> DataFrame:
     """(version_id, advisory_id, state, ...) for versions that an advisory affects or may affect."""
-    rows = versions.select("version_id", "package_id", "version").join(advisories, "package_id")
+    ranges = advisories.withColumn("range", advisory.compiled(F.col("source"), F.col("affected_range")))
+    some = versions.join(advisories.select("package_id").distinct(), "package_id", "left_semi")
+    rows = some.select("version_id", "package_id", "version", semver.key(F.col("version")).alias("key")).join(ranges, "package_id")
     for c, t in (("matched_version", "long"), ("requires_resync", "boolean")):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None if t == "long" else False).cast(t))
@@ -65,7 +103,7 @@ def advisory_counts(versions: DataFrame, advisories: DataFrame) -> DataFrame:
 
 def audited(wanted: DataFrame, versions: DataFrame, advisories: DataFrame) -> DataFrame:
     """One row per (package_id, requirement) with its markers, ok if there are none."""
-    rows = selected(wanted, versions)
+    rows = stored(selected(wanted, versions), "audited")  # read three times
     chosen = versions.select("version_id", "yanked").join(rows.select("version_id").distinct(), "version_id", "left_semi")
     counts = advisory_counts(versions.join(rows.select("version_id").distinct(), "version_id", "left_semi"), advisories)
     joined = rows.join(chosen, "version_id", "left").join(counts, "version_id", "left")
@@ -126,7 +164,8 @@ def compatibility(pairs: DataFrame, versions: DataFrame, edges: DataFrame, newes
     chosen = pinned.select("pair", F.explode(F.array(*[F.struct(F.col(f"package_{x}").alias("target_id"), F.col(f"version_{x}").alias("version")) for x in "ab"])).alias("c")).select("pair", "c.*").distinct()
     # each requirement meets each version text of its package once, whatever the number of pairs
     texts = versions.select(F.col("package_id").alias("target_id"), "version").distinct()
-    met = asked.select("target_id", "requirement").distinct().join(texts, "target_id").where(semver.satisfies(F.col("version"), F.col("requirement")))
+    required = asked.select("target_id", "requirement").distinct().withColumn("required", semver.requirement(F.col("requirement")))
+    met = required.join(texts.withColumn("key", semver.key(F.col("version"))), "target_id").where(semver.meets(F.col("key"), F.col("required"))).drop("required", "key")
     direct = asked.join(chosen, ["pair", "target_id"]).join(met.withColumn("ok", F.lit(True)), ["target_id", "requirement", "version"], "left").where("ok IS NULL")
     several = asked.groupBy("pair", "target_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("requirement")).alias("all")).where("n > 1")
     sets = several.select("target_id", "all").distinct()

@@ -628,6 +628,20 @@ def dependency_conflicts(r):
     return resolve.jointly_unsatisfied(_wanted(r), r.versions).select("package_id", "asked")
 
 
+@query("""WITH base AS (SELECT DISTINCT l.package_id AS root_id, e.target_id AS package_id, e.least_minor FROM latest_versions l JOIN edges e USING (version_id) WHERE NOT e.optional),
+k AS (SELECT *, CAST(split_part(version, '.', 2) AS BIGINT) AS minor, CAST(split_part(version, '.', 3) AS BIGINT) AS patch FROM versions), tops AS (SELECT package_id, max(minor) AS top FROM k GROUP BY 1),
+s0 AS (SELECT root_id, package_id, max(least_minor) AS need FROM base GROUP BY 1, 2),
+p0 AS (SELECT root_id, package_id, arg_max(k.version_id, (minor, patch, published_at, k.version_id)) AS version_id FROM s0 JOIN k USING (package_id) WHERE minor >= need GROUP BY 1, 2),
+asked AS (SELECT * FROM base UNION SELECT root_id, e.target_id, e.least_minor FROM p0 JOIN edges e USING (version_id) WHERE NOT e.optional),
+s1 AS (SELECT root_id, package_id, max(least_minor) AS need, count(DISTINCT least_minor) AS n_requirements FROM asked GROUP BY 1, 2),
+p1 AS (SELECT root_id, package_id, arg_max(k.version_id, (minor, patch, published_at, k.version_id)) AS version_id FROM s1 JOIN k USING (package_id) WHERE minor >= need GROUP BY 1, 2)
+SELECT root_id, package_id, n_requirements, version_id, CASE WHEN version_id IS NOT NULL THEN 'selected' WHEN top IS NULL THEN 'unknown_package' ELSE 'unsatisfied' END AS status FROM s1 LEFT JOIN p1 USING (root_id, package_id) LEFT JOIN tops USING (package_id)""")
+def dependency_resolve_graph(r):
+    newest = r.latest_versions.select("version_id", F.col("package_id").alias("root_id"))
+    roots = r.edges.where("NOT optional").join(newest, "version_id").select("root_id", F.col("target_id").alias("package_id"), "requirement")
+    return resolve.resolved(roots, r.versions, r.edges, levels=2).select("root_id", "package_id", F.size("requirements").cast("long").alias("n_requirements"), "version_id", "status")
+
+
 _STATES = """k AS (SELECT version_id, package_id, CAST(split_part(version, '.', 2) AS BIGINT) AS minor FROM versions),
 rows AS (SELECT k.version_id, a.advisory_id, a.affected_range LIKE 'withdrawn=%' AS silenced, CASE WHEN a.affected_range LIKE 'withdrawn=%' THEN 0
     WHEN a.affected_range LIKE 'SEMVER%' THEN CASE WHEN minor < CAST(regexp_extract(a.affected_range, 'fixed=1\\.(\\d+)', 1) AS BIGINT) THEN 2 ELSE 0 END
