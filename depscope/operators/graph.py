@@ -97,6 +97,50 @@ def chased(links: DataFrame) -> DataFrame:
         left = n
 
 
+def trimmed(links: DataFrame) -> DataFrame:
+    """The links (a, b) that may be part of a cycle: those of nodes that nothing leads to, or that lead nowhere, go, again and again."""
+    links, n = _settled(links.select("a", "b").distinct()), -1
+    while True:
+        m = links.count()
+        if m in (0, n):
+            return links
+        n = m
+        starts, ends = links.select(F.col("a").alias("b")).distinct(), links.select(F.col("b").alias("a")).distinct()
+        links = _settled(links.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"))
+
+
+def strong_components(links: DataFrame) -> DataFrame:
+    """(node, component) of every node on a cycle over links (a, b); component is the least node that it shares cycles with.
+
+    Leaves go first. Then every node takes the least node that leads to it as its colour; of each colour, the nodes that
+    lead back to the one that named it are a component. These go, and the rest is trimmed and coloured anew. A step
+    holds one row for each node or link, whatever the number of paths.
+    """
+    every = links.select("a", "b").distinct()
+    found = _settled(every.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")))
+    core = trimmed(every.where("a <> b"))
+    while not core.isEmpty():
+        colour = _settled(core.select(F.col("a").alias("node")).unionByName(core.select(F.col("b").alias("node"))).distinct().withColumn("colour", F.col("node")))
+        while True:
+            told = core.join(colour.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("told"))
+            step = _settled(colour.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"), F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("new")))
+            colour = step.select("node", "colour")
+            if step.where("new").isEmpty():
+                break
+        coloured = core.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("of_a")), "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("of_b")), "b")
+        inner = _settled(coloured.where("of_a = of_b").select("a", "b"))
+        reached = front = _settled(colour.where("node = colour"))
+        while not front.isEmpty():
+            more = inner.join(front.select(F.col("node").alias("b"), "colour"), "b").select(F.col("a").alias("node"), "colour").distinct()
+            front = _settled(more.join(reached, ["node", "colour"], "left_anti"))
+            reached = _settled(reached.unionByName(front))
+        large = reached.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+        found = found.unionByName(reached.join(large, "colour", "left_semi").select("node", F.col("colour").alias("component")))
+        gone = reached.select("node")
+        core = trimmed(core.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
+    return found.groupBy("node").agg(F.min("component").alias("component"))
+
+
 def cyclic_roots(walk: DataFrame) -> DataFrame:
     """Roots that their own walk meets again."""
     return walk.where("to_id = root_id").select("root_id").distinct()

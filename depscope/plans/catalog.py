@@ -450,6 +450,13 @@ def graph_cycles(r):
     return graph.cyclic_roots(graph.walk_dependencies(r.packages, r.edges, r.versions, 2))
 
 
+@query("""WITH RECURSIVE link AS (SELECT DISTINCT l.package_id AS a, e.target_id AS b FROM latest_versions l JOIN edges e USING (version_id) WHERE e.kind = 'build'), reach AS (SELECT a, b FROM link UNION SELECT r.a, link.b FROM reach r JOIN link ON link.a = r.b)
+SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a""")
+def dependency_cycles(r):
+    links = r.edges.where("kind = 'build'").join(r.latest_versions.select("version_id", F.col("package_id").alias("a")), "version_id").select("a", F.col("target_id").alias("b"))
+    return graph.strong_components(links)
+
+
 # comparison
 
 
