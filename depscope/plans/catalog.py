@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score as S
 from ..functions import text as X
-from ..operators import api, codesearch, fulltext, graph, lookup, monitor, resolve, search, source_items, types
+from ..operators import advisory_sync, api, codesearch, fulltext, graph, lookup, monitor, resolve, search, source_items, types
 from ..sources import api_documents, snapshot
 from ..sources.registry import AS_OF, EVENTS_AS_OF, Registry, oracle
 
@@ -663,6 +663,32 @@ def advisory_states(r):
     return resolve.advisories_of(r.versions, r.advisories).select("version_id", "advisory_id", "state")
 
 
+def _sync(r: Registry) -> advisory_sync.Synced:
+    """A round in which a part of the questions fails, over rows of which some go and all others become critical."""
+    rows = r.advisories.select("row_id", "package_id", "source", "advisory_id", F.when(F.col("row_id") % 2 == 0, F.col("row_id")).alias("version_id"), "affected_range", "severity")
+    feed = rows.where("row_id % 5 <> 0").withColumn("severity", F.lit("critical")).drop("row_id")
+    source = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(k).alias("k")) for k, s in enumerate(("osv", "ghsa", "rustsec_db"))]))
+    answers = r.packages.select("package_id", source.alias("s")).select("package_id", "s.source", ((F.col("package_id") * 7 + F.col("s.k")) % 4 != 0).alias("ok"), F.lit("stopped").alias("message"))
+    stamps = r.packages.where("package_id % 2 = 0").select("package_id", _now("2001-06-01 00:00:00").alias("checked_at"))
+    return advisory_sync.synced(rows.drop("row_id"), feed, answers, stamps, _now())
+
+
+_ANSWERS = """e AS (SELECT row_id, package_id, source, advisory_id, CASE WHEN row_id % 2 = 0 THEN row_id END AS version_id, affected_range, severity FROM advisories),
+a AS (SELECT package_id, source, (package_id * 7 + k) % 4 <> 0 AS ok FROM packages, (VALUES ('osv', 0), ('ghsa', 1), ('rustsec_db', 2)) AS s(source, k))"""
+
+
+@query(f"""WITH {_ANSWERS}, f AS (SELECT DISTINCT ON (package_id, source, advisory_id, version_id) package_id, source, advisory_id, version_id, affected_range, 'critical' AS severity FROM e JOIN a USING (package_id, source) WHERE ok AND row_id % 5 <> 0 ORDER BY package_id, source, advisory_id, version_id, affected_range DESC)
+SELECT package_id, source, advisory_id, version_id, affected_range, severity FROM e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.ok AND a.package_id = e.package_id AND a.source = e.source) UNION ALL SELECT * FROM f""")
+def advisory_rows_synced(r):
+    return _sync(r).rows
+
+
+@query(f"""WITH {_ANSWERS}, c AS (SELECT package_id FROM a GROUP BY 1 HAVING bool_and(ok)) SELECT p.package_id, CASE WHEN c.package_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '2001-06-01' END AS checked_at
+FROM packages p LEFT JOIN c ON c.package_id = p.package_id WHERE c.package_id IS NOT NULL OR p.package_id % 2 = 0""")
+def advisory_stamps(r):
+    return _sync(r).stamps
+
+
 @query(f"WITH {_STATES} SELECT l.version_id, count(*) FILTER (WHERE strength = 2) AS affected, count(*) FILTER (WHERE strength = 1) AS unknown FROM latest_versions l LEFT JOIN st USING (version_id) GROUP BY 1")
 def advisory_counts(r):
     return resolve.advisory_counts(r.latest_versions, r.advisories)

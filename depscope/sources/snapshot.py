@@ -88,3 +88,29 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     if not done:
         raise FileNotFoundError(f"no snapshot under {root}")
     return spark.read.parquet(max(done))
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, function from a text to its path class) for a folder in any store."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def publish_together(tables: dict[str, DataFrame], root: str, version: int) -> str:
+    """Write tables as one snapshot. A mark is set when all are there; without it no reader takes the snapshot."""
+    path = f"{root.rstrip('/')}/v{version:012d}"
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+    fs, make = _files(spark, path)
+    fs.create(make(f"{path}/_COMPLETE")).close()
+    return path
+
+
+def current_together(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of the newest snapshot whose mark is set."""
+    fs, make = _files(spark, root)
+    found = [s.getPath().toString() for s in fs.listStatus(make(root)) if fs.exists(make(f"{s.getPath().toString()}/_COMPLETE"))] if fs.exists(make(root)) else []
+    if not found:
+        raise FileNotFoundError(f"no snapshot under {root}")
+    return {n: spark.read.parquet(f"{max(found)}/{n}") for n in names}
