@@ -96,6 +96,32 @@ def _files(spark: SparkSession, path: str):
     return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
 
 
+def complete(spark: SparkSession, root: str) -> list[str]:
+    """The folders of snapshots under root that were written to their end, oldest first."""
+    fs, make = _files(spark, root)
+    if not fs.exists(make(root)):
+        return []
+    return sorted(p for s in fs.listStatus(make(root)) if fs.exists(make(f"{(p := s.getPath().toString())}/_SUCCESS")))
+
+
+def publish_once(df: DataFrame, root: str, stream: str, batch: int) -> str | None:
+    """Publish a batch of a stream as the next snapshot, whatever the snapshots before it came from; None if this has happened.
+
+    The snapshot is marked with the stream and the batch. One that was lost half-way is written over. There is one writer.
+    """
+    spark = df.sparkSession
+    fs, make = _files(spark, root)
+    done = complete(spark, root)
+    mark = f"_batch-{stream}-{batch}"
+    if any(fs.exists(make(f"{p}/{mark}")) for p in done):
+        return None
+    number = int(done[-1].rpartition("/v")[2]) + 1 if done else 0
+    path = f"{root.rstrip('/')}/v{number:012d}"
+    df.write.mode("overwrite").parquet(path)
+    fs.create(make(f"{path}/{mark}")).close()
+    return path
+
+
 def publish_together(tables: dict[str, DataFrame], root: str, version: int) -> str:
     """Write tables as one snapshot. A mark is set when all are there; without it no reader takes the snapshot."""
     path = f"{root.rstrip('/')}/v{version:012d}"
