@@ -39,6 +39,7 @@ class Item:
     trait_display: str | None = None
     methods: list[dict] = field(default_factory=list)
     uses: list[dict] = field(default_factory=list)
+    patterns: list[str] = field(default_factory=list)
 
 
 def tokens(text: str) -> list[Token]:
@@ -174,6 +175,11 @@ class _Walk:
                 methods.append({"name": name, "signature": signature, "line": self.line(self.found[first].start), "has_body": self.is_(last, "{")})
             return closing
         own = Item(_KINDS[word], name, module, visibility, signature, 0, 0, attributes)
+        if word in ("enum", "struct"):  # messages in attributes of the type or of its variants
+            own.patterns = [m for a in attributes if (m := message(a)) is not None]
+            for k in range(last, closing):
+                if self.is_(k, "#") and self.is_(k + 1, "[") and (m := message(self.shown(k + 2, self.closes[k + 1]))) is not None:
+                    own.patterns.append(m)
         if word == "struct" and self.is_(last, "{") is False and self.is_(last, ";") is False:
             closing = last
         self.add(own, first, closing)
@@ -206,9 +212,38 @@ class _Walk:
         made.trait_display = None if cut is None else self.shown(begun, cut)
         made.name = last_name(made.type_display)
         if self.is_(last, "{"):
+            made.patterns = self.patterns(last + 1, self.closes[last])
             self.walk(last + 1, self.closes[last], module, made.methods)
         return made
 
+    def patterns(self, i: int, end: int) -> list[str]:
+        """The texts that code between two places writes: first ones of write! and writeln!, and those of write_str."""
+        out = []
+        for k in range(i, end):
+            opening = k + 2 if self.is_(k, "write", "writeln") and self.is_(k + 1, "!") else k + 1 if self.is_(k, "write_str") else end
+            if opening < end and self.is_(opening, "(", "[", "{"):
+                first = next((t for t in self.found[opening + 1 : self.closes[opening]] if t.kind in ("text", "raw")), None)
+                if first is not None:
+                    out.append(literal(first.text))
+        return out
+
+
+def literal(text: str) -> str:
+    """What a string token stands for, its plain escapes read."""
+    raw = re.fullmatch(r"[bc]?r(#*)\"(.*)\"\1", text, re.S)
+    if raw:
+        return raw[2]
+    inner = text[text.index('"') + 1 : -1]
+    inner = re.sub(r"\\\n\s*", "", inner)
+    return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}.get(m[1], m[1]), inner, flags=re.S)
+
+
+def message(attribute: str) -> str | None:
+    """The text of an error("...") attribute."""
+    found = re.match(r'(?:\w+\s*::\s*)*(?:error|display)\s*\(\s*((?:r#*)?".*)', attribute, re.S)
+    token = _TOKEN.match(found[1]) if found else None
+    return literal(token[0]) if token and (token["text"] or token["raw"]) else None
+
 
 def last_name(path: str) -> str:
     """The name that a written type or trait is looked up by: references and arguments aside, the last part of its path."""

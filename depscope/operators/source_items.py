@@ -19,7 +19,7 @@ from .graph import chased
 from .stored import pieces, stored, text_lengths
 
 _ITEM = """kind string, name string, module string, visibility string, signature string, start_line int, end_line int, attributes array<string>, type_display string, trait_display string,
-methods array<struct<name:string,signature:string,line:int,has_body:boolean>>, uses array<struct<path:string,name:string>>"""
+methods array<struct<name:string,signature:string,line:int,has_body:boolean>>, uses array<struct<path:string,name:string>>, patterns array<string>"""
 PIECE_BYTES = 4 << 20
 
 
@@ -82,6 +82,36 @@ def macro_exports(found: DataFrame) -> DataFrame:
     return rows.withColumn("usage", usage)
 
 
+def display_patterns(found: DataFrame) -> DataFrame:
+    """(package, path, type_name, place, pattern): what the types' Display implementations write, and messages in their attributes."""
+    shown = found.where((F.col("kind") == "impl") & (_last(F.col("trait_display")) == "Display"))
+    told = found.where(F.col("kind").isin("enum", "struct"))
+    return shown.unionByName(told).select("package", "path", F.col("name").alias("type_name"), F.posexplode("patterns").alias("place", "pattern"))
+
+
+#: Lines that a range of lines is cut into for a join.
+BUCKET_LINES = 256
+
+
+def in_scope(found: DataFrame, places: DataFrame) -> DataFrame:
+    """(package, path, line, module, name, target): the imports that hold at places (package, path, line).
+
+    They are those of the innermost module around the line. Modules are cut into buckets of lines and joined by these,
+    so that a file with many modules and places isn't compared pairwise. A null name is a glob.
+    """
+    spans = found.where("kind = 'module'").select("package", "path", F.concat_ws("::", "module", "name").alias("inside"), F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
+    cut = lambda c: F.floor(F.col(c) / BUCKET_LINES)
+    spans = spans.withColumn("bucket", F.explode(F.sequence(cut("from_line"), cut("to_line"))))
+    asked = places.select("package", "path", "line").distinct().withColumn("bucket", cut("line"))
+    around = asked.join(spans, ["package", "path", "bucket"]).where(F.col("line").between(F.col("from_line"), F.col("to_line")))
+    # of modules on one line the one of the longest name is innermost
+    inner = around.groupBy("package", "path", "line").agg(F.max_by("inside", F.struct("from_line", -F.col("to_line"), F.length("inside"))).alias("inside"))
+    roots = found.select("package", "path", module_of(F.col("path")).alias("root")).distinct()
+    module = asked.drop("bucket").join(inner, ["package", "path", "line"], "left").join(roots, ["package", "path"]).select("package", "path", "line", F.coalesce("inside", "root").alias("module"))
+    uses = found.where("kind = 'use'").select("package", "path", "module", F.explode("uses").alias("use")).where("coalesce(use.name, '') <> '_'")
+    return module.join(uses.select("package", "path", "module", F.col("use.name").alias("name"), _absolute(F.col("use.path"), F.col("module")).alias("target")), ["package", "path", "module"])
+
+
 def _absolute(path: Column, module: Column) -> Column:
     """A written path from the root: self and super are of the module it stands in; one without any is beside it."""
     parts, around = F.split(path, "::"), F.split(module, "::")

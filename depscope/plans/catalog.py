@@ -422,6 +422,19 @@ def resolved_reexports(r):
     return source_items.re_exports(_source_items(r)).select("package", "alias", "target", "kind")
 
 
+@query(f"""WITH {_PLACED} SELECT doc AS package, 'T' || k AS type_name, 'part "' || k || '" {{}}' AS pattern FROM p WHERE p_partkey % 4 <> 0""")
+def display_patterns(r):
+    return source_items.display_patterns(_source_items(r)).select("package", "type_name", "pattern")
+
+
+@query(f"""WITH {_PLACED}, u AS (SELECT doc, 3 * count(*) AS n FROM p GROUP BY 1)
+SELECT doc AS package, above + 13 AS line, 'crate' AS module, n AS imports FROM p JOIN u USING (doc)""")
+def imports_in_scope(r):
+    found = _source_items(r)
+    places = found.where("kind = 'function'").select("package", "path", F.col("start_line").alias("line"))
+    return source_items.in_scope(found, places).groupBy("package", "line", "module").agg(F.count("*").alias("imports"))
+
+
 # graph
 
 _HOP = "hop AS (SELECT DISTINCT l.package_id, e.target_id, e.kind, e.optional FROM latest_versions l JOIN edges e USING (version_id))"

@@ -212,7 +212,7 @@ class Registry:
             text("    size: Vec<u8>,"),
             text("}"),
             F.when(k % 4 != 0, text("impl<A: Clone> fmt::Display for m::T", n, "<A> {")).otherwise(text("impl<A> T", n, "<A> where A: Clone {")),
-            text('    pub fn run(&self) -> bool { let x = "fn fake() {"; x == r#"}"# || \'{\' != \'}\' }'),
+            text('    pub fn run(&self) -> bool { let x = "fn fake() {"; write!(f, "part \\"', n, '\\" {}", x); x == r#"}"# || \'{\' != \'}\' }'),
             text("}"),
             text("pub mod m", n, " { pub fn inner", n, "<'a>(x: &'a str) {} macro_rules! mac { ($x:expr) => { fn no() {} } } }"),
             F.when(k % 5 == 0, text("#[proc_macro_derive(D", n, ", attributes(one, two))]")).when(k % 5 == 1, "#[proc_macro_attribute]").when(k % 5 == 2, "#[proc_macro]").otherwise("#[inline]"),

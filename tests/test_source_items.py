@@ -95,3 +95,19 @@ def test_re_exports(spark):
 def test_empty(spark):
     found = S.items(spark.createDataFrame([], "package long, path string, text string"), "package", "path", "text")
     assert S.symbols(found).count() == S.implementations(found).count() == S.re_exports(found).count() == S.macro_exports(found).count() == 0
+
+
+def test_display_patterns(spark):
+    found = read(spark, ("src/lib.rs", 'impl fmt::Display for E { fn fmt(&self, f: &mut F) -> R { match self { E::A(x) => write!(f, "a {}: {x}", 1), E::B => f.write_str(r#"b "q""#), _ => writeln!(f, "c\\n\\\n   d") } } }\nimpl Debug for E { fn fmt(&self) { write!(f, "no") } }\n#[derive(Error)]\n#[error("whole {0}")]\nenum G { #[error("one \\"{0}\\"")] One(u8), #[error(transparent)] Two, #[source] Three }\nstruct H;'))
+    assert {(r["type_name"], r["place"], r["pattern"]) for r in S.display_patterns(found).collect()} == {("E", 0, "a {}: {x}"), ("E", 1, 'b "q"'), ("E", 2, "c\nd"), ("G", 0, "whole {0}"), ("G", 1, 'one "{0}"')}
+
+
+def test_imports_in_scope(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET_LINES", 2)
+    text = "use std::a;\npub mod m {\n  use super::x as y;\n  fn f() {}\n  mod n {\n    use crate::q::*;\n    fn g() {}\n  }\n  fn h() {}\n}\nfn i() {}\nmod one { fn j() {} }"
+    found = read(spark, ("src/lib.rs", text), ("src/k.rs", "use b::c as _;\nuse b::{self, d};\nfn l() {}"))
+    places = spark.createDataFrame([(1, "src/lib.rs", n) for n in (4, 7, 9, 11, 12, 400)] + [(1, "src/k.rs", 3), (1, "src/none.rs", 1)], "package long, path string, line int")
+    assert {(r["path"], r["line"], r["module"], r["name"], r["target"]) for r in S.in_scope(found, places).collect()} == {
+        ("src/lib.rs", 4, "crate::m", "y", "crate::x"), ("src/lib.rs", 9, "crate::m", "y", "crate::x"), ("src/lib.rs", 7, "crate::m::n", None, "crate::q"),
+        ("src/lib.rs", 11, "crate", "a", "crate::std::a"), ("src/lib.rs", 400, "crate", "a", "crate::std::a"), ("src/k.rs", 3, "crate::k", "b", "crate::k::b"), ("src/k.rs", 3, "crate::k", "d", "crate::k::b::d"),
+    }
