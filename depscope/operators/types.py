@@ -16,6 +16,14 @@ def methods() -> Column:
     return F.coalesce("methods", F.array().cast("array<string>"))
 
 
+def with_written(impls: DataFrame) -> DataFrame:
+    """impls with the written type, and whether a row is synthetic or negative; where these aren't known they are null and false."""
+    for name, value in (("type_display", F.lit(None).cast("string")), ("is_synthetic", F.lit(False)), ("is_negative", F.lit(False))):
+        if name not in impls.columns:
+            impls = impls.withColumn(name, value)
+    return impls
+
+
 def kind_rank() -> Column:
     rank = F.lit(len(KINDS))
     for i, kind in enumerate(KINDS):
@@ -26,7 +34,7 @@ def kind_rank() -> Column:
 def source_rank() -> Column:
     """Documented rows with content first, then other documented rows, then parsed ones."""
     documented = F.col("index_source") == "documented"
-    full = (F.size(methods()) > 0) | F.col("trait_display").isNotNull() | F.col("is_blanket")
+    full = (F.size(methods()) > 0) | F.col("trait_display").isNotNull() | F.col("is_blanket") | F.col("is_synthetic") | F.col("is_negative")
     return F.when(documented & full, 0).when(documented, 1).otherwise(2)
 
 
@@ -35,7 +43,7 @@ def implementations(impls: DataFrame, traits: list[str] | None = None, types: li
     for column, names in (("trait_name", traits), ("type_name", types)):
         if names is not None:
             impls = impls.where(F.lower(column).isin([n.lower() for n in names]))
-    return impls.select("*", kind_rank().alias("kind_rank"), source_rank().alias("source_rank"))
+    return with_written(impls).select("*", kind_rank().alias("kind_rank"), source_rank().alias("source_rank"))
 
 
 def priority() -> Column:
@@ -45,12 +53,13 @@ def priority() -> Column:
 
 
 def one_of_each(impls: DataFrame) -> DataFrame:
-    """Of rows that implement the same trait in the same way for the same type, the one that says most; the first of equal ones."""
+    """Of rows that implement the same trait in the same way for the same written type, the one that says most; the first of equal ones."""
     low = lambda c: F.coalesce(F.lower(c), F.lit("")).alias(f"key_{c}")
-    keyed = impls.select("*", *[low(c) for c in ("type_name", "trait_name", "trait_display")])
-    keys = ["release", "key_type_name", "key_trait_name", "key_trait_display", "impl_kind"]
+    written = ("type_name", "type_display", "trait_name", "trait_display")
+    keyed = with_written(impls).select("*", *[low(c) for c in written])
+    keys = ["release", *[f"key_{c}" for c in written], "impl_kind"]
     order = [priority().desc(), kind_rank(), source_rank(), F.col("type_name"), F.col("start_line"), F.col("impl_id")]
-    return first_by(keyed, keys, *order).drop("key_type_name", "key_trait_name", "key_trait_display")
+    return first_by(keyed, keys, *order).drop(*[f"key_{c}" for c in written])
 
 
 def by_type(impls: DataFrame, symbols: DataFrame) -> DataFrame:

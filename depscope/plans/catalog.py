@@ -777,8 +777,8 @@ def compatibility_of_dependencies(r):
 # types, traits and their implementations
 
 _KIND_RANK = "CASE impl_kind WHEN 'inherent' THEN 0 WHEN 'derive' THEN 1 WHEN 'trait' THEN 2 ELSE 3 END"
-_SOURCE_RANK = "CASE WHEN index_source = 'documented' AND (coalesce(len(methods), 0) > 0 OR trait_display IS NOT NULL OR is_blanket) THEN 0 WHEN index_source = 'documented' THEN 1 ELSE 2 END"
-_ONE_IMPL = f"""one AS (SELECT * FROM impls QUALIFY row_number() OVER (PARTITION BY release, lower(type_name), coalesce(lower(trait_name), ''), coalesce(lower(trait_display), ''), impl_kind ORDER BY CASE WHEN index_source = 'documented' THEN 4 ELSE 0 END + CASE WHEN coalesce(len(methods), 0) > 0 THEN 2 ELSE 0 END
+_SOURCE_RANK = "CASE WHEN index_source = 'documented' AND (coalesce(len(methods), 0) > 0 OR trait_display IS NOT NULL OR is_blanket OR is_synthetic OR is_negative) THEN 0 WHEN index_source = 'documented' THEN 1 ELSE 2 END"
+_ONE_IMPL = f"""one AS (SELECT * FROM impls QUALIFY row_number() OVER (PARTITION BY release, lower(type_name), coalesce(lower(type_display), ''), coalesce(lower(trait_name), ''), coalesce(lower(trait_display), ''), impl_kind ORDER BY CASE WHEN index_source = 'documented' THEN 4 ELSE 0 END + CASE WHEN coalesce(len(methods), 0) > 0 THEN 2 ELSE 0 END
     + CASE WHEN trait_display IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN has_bounds THEN 1 ELSE 0 END + CASE WHEN is_blanket THEN 1 ELSE 0 END DESC, {_KIND_RANK}, {_SOURCE_RANK}, type_name, start_line, impl_id) = 1)"""
 
 

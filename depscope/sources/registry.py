@@ -27,7 +27,7 @@ SQL = {
         CASE WHEN p_partkey % 6 = 0 THEN 'inner::' || p_name WHEN p_partkey % 4 <> 0 THEN 'root::' || p_brand || '::' || p_name END AS defined_at, p_size > 45 AS deprecated FROM part""",
     "impls": """SELECT p_partkey AS impl_id, p_size % 2 AS release, p_name AS type_name, CASE WHEN p_partkey % 4 <> 0 THEN split_part(p_type, ' ', 1) END AS trait_name,
         CASE p_partkey % 4 WHEN 0 THEN 'inherent' WHEN 1 THEN 'derive' WHEN 2 THEN 'trait' ELSE 'auto' END AS impl_kind, CASE WHEN p_partkey % 5 > 0 THEN list_transform(range(1, p_partkey % 5), lambda i: 'm' || i) END AS methods,
-        CASE WHEN p_partkey % 6 = 0 THEN p_brand END AS trait_display, p_partkey % 13 = 0 AS is_blanket, p_partkey % 17 = 0 AS has_bounds, CASE WHEN p_partkey % 3 = 0 THEN 'documented' ELSE 'parsed' END AS index_source,
+        CASE WHEN p_partkey % 6 = 0 THEN p_brand END AS trait_display, p_partkey % 13 = 0 AS is_blanket, p_partkey % 17 = 0 AS has_bounds, p_partkey % 19 = 0 AS is_synthetic, p_partkey % 23 = 0 AS is_negative, CASE WHEN p_partkey % 10 = 3 THEN p_name || '<u8>' ELSE p_name END AS type_display, CASE WHEN p_partkey % 3 = 0 THEN 'documented' ELSE 'parsed' END AS index_source,
         CAST(p_size * 10 AS BIGINT) AS start_line, CAST(p_size * 10 + p_partkey % 9 AS BIGINT) AS end_line FROM part""",
     "features": """SELECT l_orderkey AS version_id, 'f' || l_linenumber AS feature, 'dep:p' || (l_partkey % (SELECT count(*) FROM customer)) AS target FROM lineitem
         UNION SELECT l_orderkey, 'f' || l_linenumber, 'f' || (l_linenumber - 1) FROM lineitem WHERE l_linenumber > 1 AND l_linestatus = 'O' UNION SELECT l_orderkey, 'default', 'f' || max(l_linenumber) FROM lineitem GROUP BY 1""",
@@ -113,7 +113,7 @@ class Registry:
         return self.table("part").select(
             key.alias("impl_id"), (size % 2).alias("release"), F.col("p_name").alias("type_name"), F.when(key % 4 != 0, F.substring_index("p_type", " ", 1)).alias("trait_name"),
             F.when(key % 4 == 0, "inherent").when(key % 4 == 1, "derive").when(key % 4 == 2, "trait").otherwise("auto").alias("impl_kind"), F.when(key % 5 > 0, F.slice(names, F.lit(1), (key % 5 - 1).cast("int"))).alias("methods"),
-            F.when(key % 6 == 0, F.col("p_brand")).alias("trait_display"), (key % 13 == 0).alias("is_blanket"), (key % 17 == 0).alias("has_bounds"), F.when(key % 3 == 0, "documented").otherwise("parsed").alias("index_source"),
+            F.when(key % 6 == 0, F.col("p_brand")).alias("trait_display"), (key % 13 == 0).alias("is_blanket"), (key % 17 == 0).alias("has_bounds"), (key % 19 == 0).alias("is_synthetic"), (key % 23 == 0).alias("is_negative"), F.when(key % 10 == 3, F.concat("p_name", F.lit("<u8>"))).otherwise(F.col("p_name")).alias("type_display"), F.when(key % 3 == 0, "documented").otherwise("parsed").alias("index_source"),
             (size * 10).cast("long").alias("start_line"), (size * 10 + key % 9).cast("long").alias("end_line"),
         )
 

@@ -159,6 +159,16 @@ def test_one_implementation_of_each_identity(spark):
     assert types.by_type(impls.limit(0), symbols).count() == types.by_trait(impls.limit(0)).count() == 0
 
 
+def test_implementations_of_written_types(spark):
+    from depscope.operators import types
+
+    schema = "impl_id long, release int, type_name string, trait_name string, impl_kind string, methods array<string>, trait_display string, is_blanket boolean, has_bounds boolean, index_source string, start_line long, type_display string, is_synthetic boolean, is_negative boolean"
+    row = lambda i, shown, synthetic=False, negative=False: (i, 0, "Vec", "A", "trait", None, None, False, False, "documented", i, shown, synthetic, negative)
+    impls = spark.createDataFrame([row(1, "Vec<u8>"), row(2, "Vec<String>"), row(3, "vec<u8>"), row(4, None), row(5, None, True), row(6, "x", False, True)], schema)
+    assert {r["impl_id"] for r in types.one_of_each(impls).collect()} == {1, 2, 5, 6}
+    assert {r["impl_id"]: r["source_rank"] for r in types.implementations(impls).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0}
+
+
 def test_features_over_chains_and_cycles(spark):
     from depscope.operators import resolve
 
