@@ -81,8 +81,12 @@ def containing(symbols: DataFrame, places: DataFrame, kind: str, within: int = 2
 
 
 def nearest(symbols: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """The k symbols of a file nearest to each place by lines."""
-    near = places.join(symbols.select("file_id", "symbol_id", "name", "start_line"), "file_id").withColumn("distance", F.abs(F.col("start_line") - F.col("line")))
+    """The k symbols of a file nearest to each place by lines.
+
+    Of those that start in one line only the first k can be among them, so that a place meets k for each line of its file.
+    """
+    some = top_by(symbols.select("file_id", "symbol_id", "name", "start_line"), ["file_id", "start_line"], k, F.col("symbol_id")).drop("place")
+    near = places.join(some, "file_id").withColumn("distance", F.abs(F.col("start_line") - F.col("line")))
     return top_by(near, ["file_id", "line"], k, F.col("distance"), F.col("start_line"), F.col("symbol_id"))
 
 
