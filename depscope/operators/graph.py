@@ -57,13 +57,19 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _joined(some: DataFrame, others: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that change at every step: never by a broadcast, as the driver would collect one at each of the steps."""
+    return some.hint("merge").join(others, on, how)
+
+
 def closure(links: DataFrame, depth: int | None = None) -> DataFrame:
     """(start, node) for every node reachable from start over links (a, b): in at most `depth` steps, or in any number of them."""
     links = _settled(links.select("a", "b").distinct())
     reach = front = links.select(F.col("a").alias("start"), F.col("b").alias("node"))
     steps = 1
     while depth is None or steps < depth:
-        front = _settled(front.join(links, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct().join(reach, ["start", "node"], "left_anti"))
+        onward = _joined(front.select("start", F.col("node").alias("a")), links, "a").select("start", F.col("b").alias("node")).distinct()
+        front = _settled(_joined(onward, reach, ["start", "node"], "left_anti"))
         if front.isEmpty():
             break
         reach = reach.unionByName(front)
@@ -85,8 +91,8 @@ def chased(links: DataFrame) -> DataFrame:
         onward = open_links.select(F.col("a").alias("b"), F.col("b").alias("next"))
         # ended chains too must be known to those that lead into them
         ends = done.select(F.col("a").alias("b"), F.col("b").alias("end")) if done is not None else None
-        step = open_links.join(onward, "b", "left")
-        step = step.join(ends, "b", "left") if ends is not None else step.withColumn("end", F.lit(None).cast(links.schema["b"].dataType))
+        step = _joined(open_links, onward, "b", "left")
+        step = _joined(step, ends, "b", "left") if ends is not None else step.withColumn("end", F.lit(None).cast(links.schema["b"].dataType))
         step = _settled(step.select("a", F.coalesce("end", "next", "b").alias("b"), F.col("next").isNull().alias("ended")))
         ended = step.where("ended").select("a", "b")
         done = ended if done is None else done.unionByName(ended)
@@ -106,7 +112,7 @@ def trimmed(links: DataFrame) -> DataFrame:
             return links
         n = m
         starts, ends = links.select(F.col("a").alias("b")).distinct(), links.select(F.col("b").alias("a")).distinct()
-        links = _settled(links.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"))
+        links = _settled(_joined(_joined(links, starts, "b", "left_semi"), ends, "a", "left_semi").select("a", "b"))
 
 
 def strong_components(links: DataFrame) -> DataFrame:
@@ -122,22 +128,22 @@ def strong_components(links: DataFrame) -> DataFrame:
     while not core.isEmpty():
         colour = _settled(core.select(F.col("a").alias("node")).unionByName(core.select(F.col("b").alias("node"))).distinct().withColumn("colour", F.col("node")))
         while True:
-            told = core.join(colour.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("told"))
-            step = _settled(colour.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"), F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("new")))
+            told = _joined(core, colour.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("told"))
+            step = _settled(_joined(colour, told, "node", "left").select("node", F.least("colour", "told").alias("colour"), F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("new")))
             colour = step.select("node", "colour")
             if step.where("new").isEmpty():
                 break
-        coloured = core.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("of_a")), "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("of_b")), "b")
+        coloured = _joined(_joined(core, colour.select(F.col("node").alias("a"), F.col("colour").alias("of_a")), "a"), colour.select(F.col("node").alias("b"), F.col("colour").alias("of_b")), "b")
         inner = _settled(coloured.where("of_a = of_b").select("a", "b"))
         reached = front = _settled(colour.where("node = colour"))
         while not front.isEmpty():
-            more = inner.join(front.select(F.col("node").alias("b"), "colour"), "b").select(F.col("a").alias("node"), "colour").distinct()
-            front = _settled(more.join(reached, ["node", "colour"], "left_anti"))
+            more = _joined(inner, front.select(F.col("node").alias("b"), "colour"), "b").select(F.col("a").alias("node"), "colour").distinct()
+            front = _settled(_joined(more, reached, ["node", "colour"], "left_anti"))
             reached = _settled(reached.unionByName(front))
         large = reached.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
-        found = found.unionByName(reached.join(large, "colour", "left_semi").select("node", F.col("colour").alias("component")))
+        found = found.unionByName(_joined(reached, large, "colour", "left_semi").select("node", F.col("colour").alias("component")))
         gone = reached.select("node")
-        core = trimmed(core.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
+        core = trimmed(_joined(_joined(core, gone.withColumnRenamed("node", "a"), "a", "left_anti"), gone.withColumnRenamed("node", "b"), "b", "left_anti"))
     return found.groupBy("node").agg(F.min("component").alias("component"))
 
 

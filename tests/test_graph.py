@@ -30,3 +30,19 @@ def test_strong_components(spark):
     assert found == brute(links)
     assert graph.strong_components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count() == 0
     assert graph.strong_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_no_step_is_broadcast(spark, monkeypatch):
+    plans, plain = [], graph._settled
+
+    def settled(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(graph, "_settled", settled)
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (7, 1)], "a long, b long")
+    assert {tuple(r) for r in graph.strong_components(links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+    assert {tuple(r) for r in graph.chased(links.where("a in (1, 2, 5, 7)")).collect()} == {(1, 3), (2, 3), (5, 4), (7, 3)}
+    assert graph.closure(links).where("start = 7").count() == 6
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
