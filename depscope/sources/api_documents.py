@@ -21,6 +21,9 @@ from ..operators.stored import stored
 
 _OWN = """kind string, signature string, generics array<string>, conditions array<string>, shown string, type_name string, trait string, trait_name string, supers array<string>, blanket string, members array<string>, impls array<string>,
 form string, value string, target string, alias string, is_glob boolean, flags array<string>, parameters array<struct<name:string,type:string>>, returns string"""
+_TYPES = {"string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<struct<name:string,type:string>>": pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))}
+#: The fields of _OWN in Arrow.
+_OWN_FIELDS = [pa.field(f.split(" ")[0], _TYPES[f.split(" ")[1]]) for f in _OWN.replace("\n", " ").split(", ")]
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,47 +51,43 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("path", package.alias("package"), found.alias("version"), "text")
 
 
-def _visibility(item: Column) -> Column:
-    own = F.get_json_object(item, "$.visibility")
-    return F.when(own == "public", "public").when(own == "default", "private").when(own == "crate", "pub").when(own.isNotNull(), F.concat(F.lit("pub(in "), F.get_json_object(item, "$.visibility.restricted.path"), F.lit(")")))
+#: What an item has beside its own part; one parse of the item reads it.
+_ITEM = "name string, visibility string, docs string, attrs string, kind string, inner string, span struct<begin:array<int>,end:array<int>>, deprecation struct<since:string,note:string>"
+
+
+def _visibility(own: Column) -> Column:
+    return F.when(own == "public", "public").when(own == "default", "private").when(own == "crate", "pub").when(own.isNotNull(), F.concat(F.lit("pub(in "), F.get_json_object(own, "$.restricted.path"), F.lit(")")))
 
 
 def items(documents: DataFrame, key: str = "doc") -> DataFrame:
     """A row for each item of documents (key, text), written: what the document says of it, and `own`, read from its own part."""
     about = F.from_json("text", "index map<string,string>")
-    rows = documents.select(F.col(key).alias("doc"), F.explode(about["index"]).alias("id", "item"))
-    item = F.col("item")
-    inner = F.get_json_object(item, "$.inner")
-    old = F.get_json_object(item, "$.kind")  # formats that name the kind beside its content
-    kind = F.coalesce(old, F.element_at(F.json_object_keys(inner), 1))
-    span = lambda end, least: F.greatest(F.coalesce(F.get_json_object(item, f"$.span.{end}[0]").cast("int"), F.lit(1)), least)
-    start = span("begin", F.lit(1))
+    rows = documents.select(F.col(key).alias("doc"), F.explode(about["index"]).alias("id", "item")).select("doc", "id", F.from_json("item", _ITEM).alias("item"))
+    line = lambda end, least: F.greatest(F.coalesce(F.try_element_at(F.col(f"item.span.{end}"), F.lit(1)), F.lit(1)), least)
+    start = line("begin", F.lit(1))
     rows = rows.select(
-        "doc", "id", F.get_json_object(item, "$.name").alias("name"), _visibility(item).alias("visibility"), F.get_json_object(item, "$.docs").alias("docs"), F.get_json_object(item, "$.deprecation.since").alias("deprecated_since"),
-        F.get_json_object(item, "$.deprecation.note").alias("deprecated_note"), start.alias("start_line"), span("end", start).alias("end_line"), F.coalesce(F.get_json_object(item, "$.attrs"), F.lit("[]")).alias("attrs"), kind.alias("written_kind"),
-        F.when(old.isNotNull(), inner).otherwise(F.element_at(F.from_json(inner, "map<string,string>"), kind)).alias("body"),
+        "doc", "id", "item.name", _visibility(F.col("item.visibility")).alias("visibility"), "item.docs", F.col("item.deprecation.since").alias("deprecated_since"), F.col("item.deprecation.note").alias("deprecated_note"),
+        start.alias("start_line"), line("end", start).alias("end_line"), F.coalesce("item.attrs", F.lit("[]")).alias("attrs"), F.col("item.kind").alias("written_kind"), "item.inner",
     )
-    # a text that stands for a whole body is quoted once more, as JSON
-    rows = rows.withColumn("body", F.when(F.col("body").rlike(r'^\s*[\[{"0-9tfn]'), F.col("body")).otherwise(F.expr("substring(to_json(array(body)), 2, length(to_json(array(body))) - 2)"))).where("written_kind IS NOT NULL")
-    schema = F.from_json(F.lit("{}"), _OWN)
-    read = rows.select("*", schema.alias("own"))
-    names = [c for c in rows.columns if c != "body"]
+    names = [c for c in rows.columns if c not in ("written_kind", "inner")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
-            made = [A.described(k, n, b or "null") for k, n, b in zip(column("written_kind").to_pylist(), column("name").to_pylist(), column("body").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[column(c) for c in names], pa.array(made, batch.schema.field("own").type)], names=[*names, "own"])
+            of = [A.part(k, i) for k, i in zip(column("written_kind").to_pylist(), column("inner").to_pylist(), strict=True)]
+            row = pa.array([r for r, x in enumerate(of) if x is not None], pa.int64())
+            made = [A.described(x[0], n, x[1]) for x, n in zip(of, column("name").to_pylist(), strict=True) if x is not None]
+            own = pa.StructArray.from_arrays([pa.array([m.get(f.name) for m in made], f.type) for f in _OWN_FIELDS], fields=_OWN_FIELDS)
+            yield pa.RecordBatch.from_arrays([*[column(c).take(row) for c in names], own.field(0), own], names=[*names, "kind", "own"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != "body")
-    made = read.mapInArrow(run, schema)
-    return stored(made.select(*[c for c in names if c != "written_kind"], F.col("own.kind").alias("kind"), "own"), "api-items")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
+    return stored(rows.mapInArrow(run, f"{schema}, kind string, own struct<{_OWN}>"), "api-items")
 
 
 def paths(documents: DataFrame, key: str = "doc") -> DataFrame:
-    """(doc, id, path) of what the documents give paths for."""
+    """(doc, id, path) of what the documents give paths for, written."""
     about = F.from_json("text", "paths map<string,struct<path:array<string>>>")
-    return documents.select(F.col(key).alias("doc"), F.explode(about["paths"]).alias("id", "of")).select("doc", "id", F.array_join("of.path", "::").alias("path"))
+    return stored(documents.select(F.col(key).alias("doc"), F.explode(about["paths"]).alias("id", "of")).select("doc", "id", F.array_join("of.path", "::").alias("path")), "api-paths")
 
 
 def _rank(path: Column) -> Column:
