@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 
+from depscope.operators import source_items as S
 from depscope.operators import stored as T
 from depscope.sources import api_documents as D
 from depscope.sources.registry import Registry
@@ -42,3 +43,24 @@ def test_a_worker_gets_few_bytes_at_once(spark):
 
     found = [r["n"] for r in T.stored(rows.mapInArrow(sizes, "n long"), "sizes").collect()]
     assert sum(found) == 64 and max(found) <= 5 and spark.conf.get(key) == before
+
+
+def test_items_of_sources_are_not_copied(spark, monkeypatch):
+    import dataclasses
+
+    from depscope.functions import rust_items as R
+
+    def copied(*_):
+        raise AssertionError("an item was copied")
+
+    monkeypatch.setattr(dataclasses, "asdict", copied)
+    assert not hasattr(S, "asdict") and not hasattr(R.Token("word", "a", 0, 1), "__dict__")
+    files = spark.createDataFrame([("p", "src/lib.rs", "pub struct A; impl A { fn b() {} } use c::d;"), ("q", "src/x.rs", None), ("r", "src/x.rs", "")], "package string, path string, text string")
+    assert [(r["package"], r["kind"], r["name"], len(r["methods"]), [u["path"] for u in r["uses"]]) for r in S.items(files, "package", "path", "text").collect()] == [("p", "struct", "A", 0, []), ("p", "impl", "A", 1, []), ("p", "use", "", 0, ["c::d"])]
+
+
+def test_tokens_that_begin_as_texts_do():
+    from depscope.functions.rust_items import tokens
+
+    text = """br'x' r#type r"a b" br##"c"## b'\\n' c"d" rate 'life b"e" // no\n bar/*/*x*/*/cat 1.5 r#"""
+    assert [(t.kind, t.text) for t in tokens(text)] == [("word", "br"), ("char", "'x'"), ("word", "r#type"), ("raw", 'r"a b"'), ("raw", 'br##"c"##'), ("char", "b'\\n'"), ("text", 'c"d"'), ("word", "rate"), ("life", "'life"), ("text", 'b"e"'), ("word", "bar"), ("word", "cat"), ("number", "1.5"), ("word", "r"), ("mark", "#")]
