@@ -1,8 +1,8 @@
 """Full-text search: an inverted index with positions, web-search syntax, phrases, ranks.
 
 The index is a table (stem, ids, positions): a row for each stem of each few MB of texts, with the documents that hold
-it and its places in each. Tasks write their rows sorted by stem, so that a query reads the pages of its own stems;
-nothing is shuffled, and no row grows with the table. Words keep their positions, stop words included, so phrases may
+it and its places in each. The rows of each piece are sorted by stem, and pages are short, so that a query reads those
+of its own stems; nothing is shuffled or sorted beyond a piece, and no row grows with the table. Words keep their positions, stop words included, so phrases may
 span these.
 """
 
@@ -25,6 +25,8 @@ from .stored import pieces, stored, text_lengths
 #: Bytes of the texts whose words make rows together.
 PIECE_BYTES = 4 << 20
 _WORD = re.compile(r"[^\W_]+")
+#: Rows of a page of the stored index: fewer than the stems of a piece, so that a page spans few stems.
+PAGE_ROWS = 500
 #: The sum of 1 / n^2, to which a stem's occurrences come closer.
 _LIMIT = 1.64493406685
 
@@ -73,6 +75,11 @@ def _rows(piece: pa.RecordBatch, config: Config) -> pa.RecordBatch:
     stem, size = np.array(stems, np.int64), np.array(size, np.int64)
     row = np.repeat(np.arange(len(size)), size)
     position = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 1
+    names = pa.array(list(number), pa.string())
+    place = np.empty(len(number) + 1, np.int64)  # of each stem in the order of their bytes, which Parquet compares
+    by_name = sorted(range(len(number)), key=list(map(str.encode, number)).__getitem__)
+    place[by_name], place[-1] = np.arange(len(number)), -1
+    names, stem = names.take(pa.array(by_name, pa.int64())), place[stem]
     order = np.argsort(stem, kind="stable")  # documents and positions stay ascending within a stem
     order = order[np.searchsorted(stem[order], 0) :]
     stem, row = stem[order], row[order]
@@ -82,7 +89,7 @@ def _rows(piece: pa.RecordBatch, config: Config) -> pa.RecordBatch:
     places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(position[order].astype(np.int32)))
     bounds = pa.array(np.append(begun, len(first)), pa.int32())
     ids = piece.column(0).take(pa.array(row[first]))
-    return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()).take(pa.array(stem[first[begun]])), pa.ListArray.from_arrays(bounds, ids), pa.ListArray.from_arrays(bounds, places)], names=["stem", "ids", "positions"])
+    return pa.RecordBatch.from_arrays([names.take(pa.array(stem[first[begun]])), pa.ListArray.from_arrays(bounds, ids), pa.ListArray.from_arrays(bounds, places)], names=["stem", "ids", "positions"])
 
 
 @dataclass
@@ -101,8 +108,8 @@ class Index:
 
 def build(docs: DataFrame, id_col: str, text_col: str, config: Config = ENGLISH) -> Index:
     """Index the texts of docs, whose numbers tell them apart; null texts have no words."""
-    rows = postings(docs, id_col, text_col, config).sortWithinPartitions("stem")
-    return Index(stored(rows, "fulltext"), docs.select(F.col(id_col).alias("id")), config)
+    rows = postings(docs, id_col, text_col, config)
+    return Index(stored(rows, "fulltext", page_rows=PAGE_ROWS), docs.select(F.col(id_col).alias("id")), config)
 
 
 # queries

@@ -64,3 +64,22 @@ def test_tokens_that_begin_as_texts_do():
 
     text = """br'x' r#type r"a b" br##"c"## b'\\n' c"d" rate 'life b"e" // no\n bar/*/*x*/*/cat 1.5 r#"""
     assert [(t.kind, t.text) for t in tokens(text)] == [("word", "br"), ("char", "'x'"), ("word", "r#type"), ("raw", 'r"a b"'), ("raw", 'br##"c"##'), ("char", "b'\\n'"), ("text", 'c"d"'), ("word", "rate"), ("life", "'life"), ("text", 'b"e"'), ("word", "bar"), ("word", "cat"), ("number", "1.5"), ("word", "r"), ("mark", "#")]
+
+
+def test_the_index_is_sorted_by_its_pieces_only(spark, monkeypatch):
+    from depscope.operators import fulltext
+
+    plans, plain = [], fulltext.stored
+
+    def stored(df, name, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, **more)
+
+    monkeypatch.setattr(fulltext, "stored", stored)
+    docs = spark.createDataFrame([(1, "pear fig apple fig Éclair"), (2, None), (3, "the fig zoo")], "id long, text string").coalesce(1)
+    index = fulltext.build(docs, "id", "text", fulltext.SIMPLE)
+    assert not any(x in plans[0] for x in ("Sort", "Exchange hash", "Exchange range"))
+    rows = index.table.collect()
+    assert [r["stem"] for r in rows] == ["apple", "fig", "pear", "the", "zoo", "éclair"]
+    assert (rows[1]["ids"], rows[1]["positions"]) == ([1, 3], [[2, 4], [2]])
+    assert [r["id"] for r in fulltext.match(index, "fig -pear").collect()] == [3]
