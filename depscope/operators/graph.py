@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lookup import latest
+from .stored import stored
 
 MAX_DEPTH = 4
+#: Edges of a package that one part of it holds, about.
+HUB = 10_000
 
 
 def walk_dependencies(roots: DataFrame, edges: DataFrame, versions: DataFrame, depth: int) -> DataFrame:
@@ -31,14 +34,38 @@ def walk_dependents(roots: DataFrame, edges: DataFrame, versions: DataFrame, dep
 def _walk(roots: DataFrame, hop: DataFrame, depth: int) -> DataFrame:
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
+    hop = stored(hop.where("package_id IS NOT NULL"), "hop")
+    hubs = _hubs(hop) if depth > 1 else None
     front, found = roots.select(F.col("package_id").alias("root_id"), "package_id"), None
     for d in range(1, depth + 1):
-        level = front.join(hop, "package_id").select("root_id", F.col("package_id").alias("from_id"), F.col("target_id").alias("to_id"), "kind", "optional", F.lit(d).cast("long").alias("depth"))
+        met = front.join(hop, "package_id") if d == 1 else _dealt(front, hop, hubs)
+        level = met.select("root_id", F.col("package_id").alias("from_id"), F.col("target_id").alias("to_id"), "kind", "optional", F.lit(d).cast("long").alias("depth"))
         found = level if found is None else found.unionByName(level)
         front = level.select("root_id", F.col("to_id").alias("package_id")).distinct()
     return found
 
 
+def _hubs(hop: DataFrame) -> DataFrame:
+    """The packages of more than HUB edges, and the parts that their edges are dealt to."""
+    counts = hop.groupBy("package_id").agg(F.count("*").alias("edges")).where(F.col("edges") > HUB)
+    return stored(counts.select("package_id", F.ceil(F.col("edges") / HUB).cast("int").alias("parts")), "hubs")
+
+
+def _dealt(front: DataFrame, hop: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The join of front and hop by package_id, in as many tasks as a shuffle has partitions.
+
+    It gives many times what it reads, by which adaptive execution would join tasks up, so the number is given. The
+    edges of a hub are dealt to its parts by their targets, and its front goes to each; a hub has more than HUB edges,
+    so that hubs are few.
+    """
+    n = int(hop.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.coalesce("parts", F.lit(1))
+    edges = hop.join(F.broadcast(hubs), "package_id", "left").withColumn("part", F.pmod(F.hash("target_id"), parts)).drop("parts")
+    front = front.join(F.broadcast(hubs), "package_id", "left").select("root_id", "package_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    by = ["package_id", "part"]
+    return front.repartition(n, *by).join(edges.repartition(n, *by), by)
+
+
 def distances(walk: DataFrame) -> DataFrame:
     """Least distance of each node from each root, the root at 0."""
     seen = walk.select("root_id", F.col("to_id").alias("node_id"), F.col("depth").alias("distance")).unionByName(walk.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).cast("long").alias("distance")))

@@ -46,3 +46,23 @@ def test_no_step_is_broadcast(spark, monkeypatch):
     assert {tuple(r) for r in graph.chased(links.where("a in (1, 2, 5, 7)")).collect()} == {(1, 3), (2, 3), (5, 4), (7, 3)}
     assert graph.closure(links).where("start = 7").count() == 6
     assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_a_level_is_dealt_to_all_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(graph, "HUB", 10, raising=False)
+    # 0 leads to 1, and 1 to 2 to 60, each by two kinds, of which one is met twice; 2 leads to 3 to 9 and to nothing known
+    pairs = [(0, 1)] + [(1, i) for i in range(2, 61)] + [(2, i) for i in range(3, 10)] + [(2, None)]
+    edges = [(t, a, k, k == "dev") for a, t in pairs for k in ("dev", "normal", "normal")]
+    versions = spark.createDataFrame([(i, i, "2020") for i in range(61)] + [(99, None, "2020")], "version_id long, package_id long, published_at string")
+    edges = spark.createDataFrame([(99 if v is None else v, *rest) for v, *rest in edges], "version_id long, target_id long, kind string, optional boolean")
+    roots = spark.createDataFrame([(i,) for i in range(61)], "package_id long")
+    found = [(tuple(r)[:6], r["at"]) for r in graph.walk_dependents(roots, edges, versions, 2).withColumn("at", F.spark_partition_id()).collect()]
+    want = [(a, a, t, k, k == "dev", 1) for a, t in pairs for k in ("dev", "normal")]
+    want += [(a, t, u, k, k == "dev", 2) for a, t in pairs for b, u in pairs if b == t for k in ("dev", "normal")]
+    order = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted((r for r, _ in found), key=order) == sorted(want, key=order)
+    assert len({at for r, at in found if r[5] == 2}) > 1
+    # the edges of a package with more than HUB of them are not all met in one task
+    assert len({at for r, at in found if r[0] == 0 and r[5] == 2}) > 1
