@@ -32,6 +32,8 @@ from .rows import renewed, with_arrow_columns, with_numbered_columns
 
 MARK = "▁"
 CACHE_ENTRIES = 200_000
+#: Longer parts are encoded for each few MB of texts anew, so that the memory of what is known is bounded.
+LONGEST = 128
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -179,7 +181,8 @@ class Codec:
             normal = [self.map.normalise(t) for t in texts]
             texts, sources = [x[0].decode() for x in normal], [np.array(x[1]) for x in normal]
         cut = [self._cut(" " + t) if self.cuts and t and MARK not in t else None for t in texts]
-        self._learn(list(set().union(*(c for c in cut if c)).difference(self.known)))
+        new = list(set().union(*(c for c in cut if c)).difference(self.known))
+        self._learn(new)
         out = []
         for text, parts, source in zip(texts, cut, sources, strict=True):
             if parts:
@@ -198,6 +201,9 @@ class Codec:
             if source is not None:
                 starts, ends = source[starts], source[ends]
             out.append((ids, starts.astype(np.int32), np.asarray(ends, np.int32)))
+        for p in new:
+            if len(p) > LONGEST:
+                del self.known[p]
         return out
 
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -256,4 +262,4 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     made = encode_and_decode(docs, model, keep=["doc_id"])
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256) if c == "decoded" else F.sha2(F.array_join(c, ",").cast("binary"), 256)
-    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"), F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("covered_bytes"))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"), F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("covered_bytes"))

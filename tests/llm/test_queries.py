@@ -84,6 +84,25 @@ def test_sentencepiece(spark, rows, folder):
     assert found(spark, folder, "op8_sentencepiece", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
 
 
+def test_sentencepiece_texts_without_tokens(spark, rows, folder):
+    # all columns: one that is not asked for is not made either
+    made = llm.queries()["op8_sentencepiece"](spark, folder).collect()
+    assert Counter((r["doc_id"], r["covered_bytes"]) for r in made) == Counter((i, len((x or "").encode())) for i, x in rows)
+    assert sum(r["n_tokens"] == 0 for r in made) == sum(not x for _, x in rows) > 0
+
+
+def test_sentencepiece_keeps_no_long_part():
+    import sentencepiece
+
+    from depscope.llm import sentencepiece_codec
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    codec, lib = sentencepiece_codec.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["the Ring " + c * 5000 + " end." for c in "abcd"] * 2
+    assert [x[0].tolist() for x in codec.encode(texts)] == lib.encode(texts)
+    assert {" the", " Ring", " end."} <= set(codec.known) and max(map(len, codec.known)) <= sentencepiece_codec.LONGEST
+
+
 def test_suffix_dedup(spark, rows, folder):
     data = [(x or "").encode() for _, x in rows]
     starts = Counter(d[k : k + 200] for d in data for k in range(len(d) - 199))
